@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from lociflow.llm.language_id import op6
 from lociflow.llm.lengths import op5
 from lociflow.llm.mixing import op10
 from lociflow.llm.near_dup import op1
 from lociflow.llm.pfor import op7
-from lociflow.llm.sql import MIXING
+from lociflow.llm.sql import MIXING, TOP_K
+from lociflow.llm.topk import op9
 
 QUERIES = {
     "op1_simhash_near_dup": op1,
     "op5_token_length_histogram": op5,
+    "op6_hyperdimensional_language_id": op6,
     "op7_token_id_blocks": op7,
+    "op9_branch_and_bound_top_k": op9,
     "op10_poisson_mixing": op10,
 }
 
-SQL = {"op10_poisson_mixing": MIXING}
+SQL = {"op10_poisson_mixing": MIXING, "op9_branch_and_bound_top_k": TOP_K}
