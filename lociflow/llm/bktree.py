@@ -86,16 +86,24 @@ class Union:
                 self.label = up
 
 
-def spanning_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(keys: np.ndarray, prints: np.ndarray, radius: int, names: np.ndarray | None = None, more: np.ndarray | None = None, whole: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the same prints as all pairs within the radius under a common key do: one for each
-    print that isn't the first of its set, so never more than there are prints."""
+    print that isn't the first of its set, so never more than there are prints.
+
+    With ``more``, further 64 bits of each print, a pair must also be within ``whole`` over all bits.
+    ``names`` are returned in place of the prints."""
+    names = prints if names is None else names
     _, tree, size = np.unique(keys, return_inverse=True, return_counts=True)
     shared = size[tree] > 1
-    keys, prints = keys[shared], prints[shared]
+    keys, prints, names = keys[shared], prints[shared], names[shared]
+    more = None if more is None else more[shared]
     if not len(prints):
-        return prints, prints
+        return names, names
     sets = Union(len(prints))
     for i, j in Forest(keys, prints).neighbours(radius):
+        if more is not None:
+            near = np.bitwise_count(prints[i] ^ prints[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j]) <= whole
+            i, j = i[near], j[near]
         sets.add(i, j)
     tied = np.flatnonzero(sets.label != np.arange(len(prints)))
-    return prints[tied], prints[sets.label[tied]]
+    return names[tied], names[sets.label[tied]]
