@@ -159,7 +159,7 @@ def _(v):
     return FL.filter_by_extra(_with_extra(v), keep={"sources": ["^a", "c$"]}).select("aid")
 
 
-@query("q_filter_extra_regex_remove", "SELECT aid FROM adj WHERE NOT regexp_matches(sources, 'b') AND "at" = 'N'")
+@query("q_filter_extra_regex_remove", "SELECT aid FROM adj WHERE NOT regexp_matches(sources, 'b') AND \"at\" = 'N'")
 def _(v):
     return FL.filter_by_extra(_with_extra(v), keep={"at": ["N"]}, remove={"sources": ["b"]}, type_col="at").select("aid")
 
