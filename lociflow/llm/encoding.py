@@ -20,7 +20,24 @@ WORD_SPLITTER = {
 }
 #: Words of visible ASCII and Latin-1 letters: composed already, and lower-cased letter by letter.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
+
+
+class Lists:
+    """Lists of ids end to end."""
+
+    def __init__(self):
+        self.size, self.start, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def add(self, size: np.ndarray, flat: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[which]
+        upto = np.cumsum(size)
+        return self.flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.start[which] - (upto - size), size)], size
 
 
 class Encoder:
@@ -32,7 +49,7 @@ class Encoder:
     one batch to the next; a batch of more is still encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -52,35 +69,39 @@ class Encoder:
 
     def _forget(self) -> None:
         self.word: dict[bytes, int] = {}
-        self.piece: dict[str, list[int]] = {}
-        self.flat = np.empty(0, np.uint32)
-        self.size = np.empty(0, np.int64)
+        self.piece: dict[str, int] = {}
+        self.words, self.pieces = Lists(), Lists()
 
     def _learn(self, words: list[bytes]) -> None:
-        """``words`` are new; their ids are put at the end of the flat array."""
-        ids: list = [None] * len(words)
-        cut, odd = {}, []
-        for i, w in enumerate(words):
-            t = w.decode("utf-8", "replace")
-            if "<|" in t or not PLAIN.fullmatch(t):
-                odd.append((i, t))
-            else:
-                cut[i] = PIECES.findall(t.lower())
-        fresh = [p for p in dict.fromkeys(chain.from_iterable(cut.values())) if p not in self.piece]
+        """``words`` are new; their lists of ids come after those known."""
+        texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        full = PLAIN.fullmatch
+        odd = [i for i, t in enumerate(texts) if not full(t) or "<|" in t]
+        whole = self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)
+        for i in odd:
+            texts[i] = ""
+        cut = PIECES.findall("\n".join([*texts, ""]).lower())
+        fresh = [p for p in dict.fromkeys(cut) if p not in self.piece]
+        if "\n" not in self.piece:
+            self.pieces.add(np.zeros(1, np.int64), np.empty(0, np.uint32))
+            self.piece["\n"] = 0
+            fresh = [p for p in fresh if p != "\n"]
         for begin in range(0, len(fresh), 20_000):
             part = fresh[begin : begin + 20_000]
             got = self.of_pieces.encode("\n".join(part), add_special_tokens=False)
-            own = [[] for _ in part]
-            for n, k in zip(got.word_ids, got.ids):
-                own[n].append(k)
-            self.piece.update(zip(part, own))
-        for i, pieces in cut.items():
-            ids[i] = self.piece[pieces[0]] if len(pieces) == 1 else list(chain.from_iterable(map(self.piece.__getitem__, pieces)))
-        for (i, _), got in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
-            ids[i] = got.ids
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-        self.size = np.concatenate([self.size, size])
+            self.pieces.add(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)), np.array(got.ids, np.uint32))
+        self.piece.update(zip(fresh, range(len(self.piece), len(self.piece) + len(fresh))))
+        which = np.fromiter(map(self.piece.__getitem__, cut), np.int64, len(cut))
+        flat, size = self.pieces.take(which)
+        # A line feed, which has no ids, ends a word.
+        ends = np.flatnonzero(which == 0)
+        of_word = np.diff(np.concatenate([[0], np.cumsum(size)[ends]]))
+        if odd:
+            own = [x.ids for x in whole]
+            more = np.fromiter(map(len, own), np.int64, len(own))
+            flat = np.insert(flat, np.repeat((np.cumsum(of_word) - of_word)[odd], more), np.fromiter(chain.from_iterable(own), np.uint32, int(more.sum())))
+            of_word[odd] = more
+        self.words.add(of_word, flat)
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         return self.encode(texts, only_lengths=True)[1]
@@ -101,14 +122,12 @@ class Encoder:
             self._learn(fresh)
         n_words = np.fromiter(map(len, split), np.int64, len(split))
         which = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
-        size = self.size[which]
-        upto = np.concatenate([[0], np.cumsum(size)])
+        upto = np.concatenate([[0], np.cumsum(self.words.size[which])])
         bounds = np.concatenate([[0], np.cumsum(n_words)])
         of_text = upto[bounds[1:]] - upto[bounds[:-1]]
         if only_lengths:
             return np.empty(0, np.uint32), of_text
-        start = np.cumsum(self.size) - self.size
-        return self.flat[np.arange(upto[-1]) - np.repeat(upto[:-1] - start[which], size)], of_text
+        return self.words.take(which)[0], of_text
 
 
 def portions(texts: list[str | None], limit: int = 1 << 21):
