@@ -114,8 +114,8 @@ def adjacency_size(svlen=None, sequence=None, svtype=None) -> Column:
 
 
 def strip_chr(name) -> Column:
-    """Without a leading ``chr``, in any case."""
-    return F.regexp_replace(c(name), "^(?i)chr", "")
+    """Without a leading ``chr``."""
+    return F.regexp_replace(c(name), "^chr", "")
 
 
 def reference_phasing(side, hap) -> Column:
