@@ -46,15 +46,15 @@ def legacy_cn(text: Column | str, keys: tuple[str, ...]) -> Column:
     entries = F.filter(F.split(c(text), ";"), lambda x: F.length(F.trim(x)) > 0)
     parts = lambda x: F.split(F.regexp_replace(x, r"[()\s]", ""), ",")
     numbers = lambda x: F.map_from_arrays(F.array(*map(F.lit, keys)), F.transform(F.slice(parts(x), 2, len(keys)), lambda n: n.cast("int")))
-    return F.map_from_entries(F.transform(entries, lambda x: F.struct(parts(x)[0].alias("k"), numbers(x).alias("v"))))
+    return F.map_from_entries(F.transform(entries, lambda x: F.struct(F.get(parts(x), F.lit(0)).alias("k"), numbers(x).alias("v"))))
 
 
 def legacy_bounds(text: Column | str) -> Column:
     """``(clone,lA-uA,lB-uB);...`` as clone -> haplotype -> l / u -> number."""
     entries = F.filter(F.split(c(text), ";"), lambda x: F.length(F.trim(x)) > 0)
     parts = lambda x: F.split(F.regexp_replace(x, r"[()\s]", ""), ",")
-    one = lambda p: F.create_map(F.lit("l"), F.split(p, "-")[0].cast("int"), F.lit("u"), F.split(p, "-")[1].cast("int"))
-    return F.map_from_entries(F.transform(entries, lambda x: F.struct(parts(x)[0].alias("k"), F.create_map(F.lit("A"), one(parts(x)[1]), F.lit("B"), one(parts(x)[2])).alias("v"))))
+    one = lambda p: F.create_map(F.lit("l"), F.get(F.split(p, "-"), F.lit(0)).cast("int"), F.lit("u"), F.get(F.split(p, "-"), F.lit(1)).cast("int"))
+    return F.map_from_entries(F.transform(entries, lambda x: F.struct(F.get(parts(x), F.lit(0)).alias("k"), F.create_map(F.lit("A"), one(F.get(parts(x), F.lit(1))), F.lit("B"), one(F.get(parts(x), F.lit(2)))).alias("v"))))
 
 
 def literal(value: Column | str) -> Column:

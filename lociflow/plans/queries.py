@@ -828,3 +828,53 @@ def _(v):
 def _(v):
     out = A.merged(v.adj.withColumn("ord", F.col("k")), 20000)
     return out.select("mid", *ENDS, F.array_join("members", ",").alias("members"))
+
+
+# --- integer program
+
+
+def _inputs(v):
+    from lociflow.operators import milp
+
+    cut = I.cut_segments(v.seg, v.breakend)
+    refs = I.reference_adjacencies(cut).select("aid", *ENDS, "at")
+    ends = cut.select(F.explode(F.array(*(M.position_id("chr", x, F.lit(s)) for x, s in (("start", "-"), ("end", "+"))))).alias("node")).distinct()
+    held = A.breakends(v.adj).withColumn("node", M.position_id("chr", "coord", "strand")).join(ends, "node", "left_semi").groupBy("aid").agg(F.count("*").alias("n")).where("n = 2").select("aid")
+    adj = v.adj.select("aid", *ENDS, "at").join(held, "aid", "left_semi").unionByName(refs)
+    cn = cut.select("sid", "fid").join(v.scnt.withColumnRenamed("sid", "fid"), "fid").select("sid", "clone", "hap", "cn")
+    bounds = T.bounds(cn, cut, "uniform-min-max")
+    return milp.Inputs(cut, cn, bounds, adj, I.reference_telomeres(v.seg))
+
+
+_MODEL = _CUTS + """, refs AS (SELECT 'r' || row_number() OVER (ORDER BY chr, start, "end") AS aid, chr AS chr1, "end" AS coord1, '+' AS strand1, chr AS chr2, n AS coord2, '-' AS strand2, 'R' AS "at" FROM (SELECT *, lead(start) OVER (PARTITION BY chr ORDER BY start, "end") AS n FROM cutseg) WHERE n IS NOT NULL),
+ends AS (SELECT chr, start AS coord, '-' AS strand FROM cutseg UNION SELECT chr, "end", '+' FROM cutseg),
+ok AS (SELECT aid FROM breakend b JOIN ends USING (chr, coord, strand) GROUP BY aid HAVING count(*) = 2),
+al AS (SELECT aid, chr1, coord1, strand1, chr2, coord2, strand2, "at" FROM adj JOIN ok USING (aid) UNION ALL SELECT * FROM refs)
+"""
+
+
+@query("q_milp_var_counts", _MODEL + """, n AS (SELECT (SELECT count(DISTINCT fid) FROM cutseg) AS f, 2 AS c, (SELECT count(*) FROM cutseg) AS s, (SELECT count(*) FROM al WHERE "at" = 'R') AS r, (SELECT count(*) FROM al WHERE "at" = 'N') AS nv)
+SELECT 'acn' AS kind, c * 4 * (r + nv) AS n FROM n UNION ALL SELECT 'cn', c * 2 * s FROM n UNION ALL SELECT 'delta', c * 2 * s FROM n UNION ALL SELECT 'flip', f FROM n UNION ALL SELECT 'ncn', c * nv FROM n UNION ALL SELECT 'overall', 4 * (r + nv) FROM n UNION ALL SELECT 'present', c * 4 * (r + nv) FROM n UNION ALL SELECT 'rcn', c * 4 * r FROM n""")
+def _(v):
+    from lociflow.operators import milp
+
+    return milp.variables(_inputs(v)).groupBy(F.substring_index("name", "|", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("q_milp_balance_rows", _MODEL + """, tel AS (SELECT chr, min(start) AS coord, '-' AS strand FROM seg GROUP BY chr UNION ALL SELECT chr, max("end"), '+' FROM seg GROUP BY chr)
+SELECT 'node|' || c.clone || '|' || e.chr || ':' || e.strand || e.coord || '|' || h.hap AS row, CASE WHEN t.chr IS NOT NULL THEN '>=' ELSE '=' END AS sense FROM ends e CROSS JOIN cl c CROSS JOIN (VALUES ('A'), ('B')) h(hap) LEFT JOIN tel t USING (chr, coord, strand)""")
+def _(v):
+    from lociflow.operators import milp
+
+    return milp.balance_rows(_inputs(v))[0][0].select("row", "sense")
+
+
+@query("q_milp_delta_rows", _MODEL + "SELECT k || h || '|' || c.clone || '|' || s.sid AS row FROM cutseg s CROSS JOIN cl c CROSS JOIN (VALUES ('A'), ('B')) h(h) CROSS JOIN (VALUES ('over'), ('under')) k(k)")
+def _(v):
+    from lociflow.operators import milp
+
+    parts = milp.delta_rows(_inputs(v))
+    out = parts[0][0]
+    for x, _ in parts[1:]:
+        out = out.unionByName(x)
+    return out.select("row")

@@ -135,7 +135,7 @@ def legacy_scnb(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """``(sid, clone, hap, bound, value)`` of ``chr start end (clone,lA-uA,lB-uB);...`` lines under a header."""
     p = F.split("value", sep)
     rows = lines(spark, path).where(~F.lower("value").startswith("chr" + sep))
-    own = rows.select(F.concat(p[0], F.lit(":"), p[1], F.lit("-"), p[2]).alias("sid"), legacy_bounds(p[3]).alias("cnb"))
+    own = rows.select(F.concat(F.get(p, F.lit(0)), F.lit(":"), F.get(p, F.lit(1)), F.lit("-"), F.get(p, F.lit(2))).alias("sid"), legacy_bounds(F.get(p, F.lit(3))).alias("cnb"))
     return scnb(own)
 
 
@@ -143,7 +143,7 @@ def legacy_scnt(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """``(sid, clone, hap, cn)`` of ``chr start end (clone,a,b);...`` lines, blank ones, comments and a header skipped."""
     p = F.split("value", sep)
     rows = lines(spark, path).where(~F.lower("value").startswith("chr" + sep))
-    return scnt(rows.select(F.concat(p[0], F.lit(":"), p[1], F.lit("-"), p[2]).alias("sid"), legacy_cn(p[3], ("A", "B")).alias("cn")))
+    return scnt(rows.select(F.concat(F.get(p, F.lit(0)), F.lit(":"), F.get(p, F.lit(1)), F.lit("-"), F.get(p, F.lit(2))).alias("sid"), legacy_cn(F.get(p, F.lit(3)), ("A", "B")).alias("cn")))
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
@@ -153,7 +153,7 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.text(path).withColumn("aln", F.monotonically_increasing_id()).where(~F.col("value").startswith("@"))
     p = F.split("value", "\t")
-    own = rows.select(p[0].alias("read"), "aln", p[1].cast("int").alias("flag"), p[2].alias("chr"), p[3].cast("long").alias("start"), p[5].alias("cigar"), F.col("value").alias("line"))
+    own = rows.select(F.get(p, F.lit(0)).alias("read"), "aln", F.get(p, F.lit(1)).cast("int").alias("flag"), F.get(p, F.lit(2)).alias("chr"), F.get(p, F.lit(3)).cast("long").alias("start"), F.get(p, F.lit(5)).alias("cigar"), F.col("value").alias("line"))
     moves = F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), F.lit(1))
     length = F.aggregate(moves, F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long"))
     mapped = own.where((F.col("chr") != "*") & (F.col("flag").bitwiseAND(F.lit(4)) == 0))

@@ -39,7 +39,7 @@ def battenberg(spark: SparkSession, path: str, sample: str, sep: str = "\t", str
 def hatchet_clones(spark: SparkSession, path: str, sample: str, sep: str = "\t", min_usage: float = 0.01) -> list[str]:
     """Clones that some segment of the sample uses, numbered by column."""
     p = F.split("value", sep)
-    rows = lines(spark, path).where(p[3] == sample).select(F.posexplode(F.slice(p, 7, 10_000)).alias("k", "x")).where("k % 2 = 1")
+    rows = lines(spark, path).where(F.get(p, F.lit(3)) == sample).select(F.posexplode(F.slice(p, 7, 10_000)).alias("k", "x")).where("k % 2 = 1")
     used = rows.where(F.col("x").cast("double") >= min_usage).select((F.floor(F.col("k") / 2) + 1).cast("string").alias("c")).distinct()
     return sorted((r["c"] for r in used.collect()), key=int)  # a handful of clones
 
@@ -48,10 +48,10 @@ def hatchet(spark: SparkSession, path: str, sample: str, clones: list[str] | Non
     """Pairs of (a|b, usage) from the seventh column on; the end is exclusive."""
     clones = hatchet_clones(spark, path, sample, sep, min_usage) if clones is None else clones
     p = F.split("value", sep)
-    rows = lines(spark, path).where(p[3] == sample)
-    cn = lambda c, k: F.split(p[6 + 2 * (int(c) - 1)], r"\|")[k]
+    rows = lines(spark, path).where(F.get(p, F.lit(3)) == sample)
+    cn = lambda c, k: F.split(F.get(p, F.lit(6 + 2 * (int(c) - 1))), r"\|")[k]
     all_ = F.array(*(_clone(c, cn(c, 0), cn(c, 1)) for c in clones)) if clones else F.array().cast("array<struct<clone:string,a:int,b:int>>")
-    return _made(rows.select(p[0].alias("chr"), p[1].cast("long").alias("start"), (p[2].cast("long") - 1).alias("end"), all_.alias("clones")), strip)
+    return _made(rows.select(F.get(p, F.lit(0)).alias("chr"), F.get(p, F.lit(1)).cast("long").alias("start"), (F.get(p, F.lit(2)).cast("long") - 1).alias("end"), all_.alias("clones")), strip)
 
 
 def remixt(spark: SparkSession, path: str, sep: str = "\t", strip: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -103,17 +103,17 @@ def gff(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, m
     """Segments with their attributes as extras. ``mapping`` renames chromosomes; those it lacks are kept or with ``skip`` left out."""
     p = F.split("value", "\t")
     rows = lines(spark, path)
-    chr_ = p[0]
+    chr_ = F.get(p, F.lit(0))
     if mapping is not None:
         known = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]) if mapping else F.create_map().cast("map<string,string>")
         if missing == "skip":
-            rows = rows.where(F.map_contains_key(known, p[0]))
-        chr_ = F.coalesce(F.try_element_at(known, p[0]), p[0])
-    pairs = F.filter(F.transform(F.split(p[8], ";"), F.trim), lambda x: F.length(x) > 0)
-    gtf = ~p[8].contains("=")
+            rows = rows.where(F.map_contains_key(known, F.get(p, F.lit(0))))
+        chr_ = F.coalesce(F.try_element_at(known, F.get(p, F.lit(0))), F.get(p, F.lit(0)))
+    pairs = F.filter(F.transform(F.split(F.get(p, F.lit(8)), ";"), F.trim), lambda x: F.length(x) > 0)
+    gtf = ~F.get(p, F.lit(8)).contains("=")
     key = lambda x: F.when(gtf, F.substring_index(x, " ", 1)).otherwise(F.substring_index(x, "=", 1))
     value = lambda x: F.regexp_replace(F.when(gtf, F.regexp_replace(x, "^[^ ]* ?", "")).otherwise(F.regexp_replace(x, "^[^=]*=?", "")), '^"|"$', "")
     made = F.transform(pairs, lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))
     extra = F.map_from_entries(F.filter(made, lambda e, i: ~F.exists(F.slice(made, F.lit(1), i), lambda q: q["k"] == e["k"])))
-    rows = rows.select((strip_chr(chr_) if strip else chr_).alias("chr"), p[3].cast("long").alias("start"), p[4].cast("long").alias("end"), extra.alias("extra"))
+    rows = rows.select((strip_chr(chr_) if strip else chr_).alias("chr"), F.get(p, F.lit(3)).cast("long").alias("start"), F.get(p, F.lit(4)).cast("long").alias("end"), extra.alias("extra"))
     return rows.select(segment_id().alias("sid"), "chr", "start", "end", "extra")

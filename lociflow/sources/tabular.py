@@ -82,8 +82,8 @@ def breakdancer(spark: SparkSession, path: str, suffix: str = "", strip: bool =
     every = _row_number(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()))
     rows = every.where((F.length(F.trim("value")) > 0) & ~F.trim("value").startswith("#")).withColumn("aid", F.col("n").cast("string"))
     p = F.split(F.trim("value"), "\t")
-    size = F.when(p[6] == "CTX", "-1").otherwise(p[7])
+    size = F.when(F.get(p, F.lit(6)) == "CTX", "-1").otherwise(F.get(p, F.lit(7)))
     whole = lambda x: x.cast("double").cast("long").cast("string")
-    extra = _external(F.lit("svtype"), p[6], F.lit("svlen"), size, F.lit("score"), whole(p[8]), F.lit("num_reads"), whole(p[9]), F.lit("num_reads_lib"), p[10])
-    rows = rows.select("aid", "ord", p[0].alias("chr1"), p[1].cast("long").alias("coord1"), majority_strand(p[2]).alias("strand1"), p[3].alias("chr2"), p[4].cast("long").alias("coord2"), majority_strand(p[5]).alias("strand2"), extra.alias("extra"))
+    extra = _external(F.lit("svtype"), F.get(p, F.lit(6)), F.lit("svlen"), size, F.lit("score"), whole(F.get(p, F.lit(8))), F.lit("num_reads"), whole(F.get(p, F.lit(9))), F.lit("num_reads_lib"), F.get(p, F.lit(10)))
+    rows = rows.select("aid", "ord", F.get(p, F.lit(0)).alias("chr1"), F.get(p, F.lit(1)).cast("long").alias("coord1"), majority_strand(F.get(p, F.lit(2))).alias("strand1"), F.get(p, F.lit(3)).alias("chr2"), F.get(p, F.lit(4)).cast("long").alias("coord2"), majority_strand(F.get(p, F.lit(5))).alias("strand2"), extra.alias("extra"))
     return _finished(rows, suffix, strip, F.try_element_at("extra", F.lit("svtype")), F.try_element_at("extra", F.lit("svlen")))

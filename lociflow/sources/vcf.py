@@ -27,13 +27,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     head = rows.where(F.col("value").startswith("#CHROM")).first()
     names = head["value"].rstrip("\n").split("\t")[9:] if head else []
     p = F.split("value", "\t")
-    pairs = F.transform(F.filter(F.split(p[7], ";"), lambda x: (F.length(x) > 0) & (x != ".")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("true").alias("v")))
+    pairs = F.transform(F.filter(F.split(F.get(p, F.lit(7)), ";"), lambda x: (F.length(x) > 0) & (x != ".")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("true").alias("v")))
     info = F.map_from_entries(F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == e["k"])))
-    keys = F.split(p[8], ":")
-    values = lambda k: F.map_from_entries(F.filter(F.transform(keys, lambda n, i: F.struct(n.alias("k"), F.try_element_at(F.split(p[k], ":"), i + 1).alias("v"))), lambda e: e["v"].isNotNull()))
+    keys = F.split(F.get(p, F.lit(8)), ":")
+    values = lambda k: F.map_from_entries(F.filter(F.transform(keys, lambda n, i: F.struct(n.alias("k"), F.try_element_at(F.split(F.get(p, F.lit(k)), ":"), i + 1).alias("v"))), lambda e: e["v"].isNotNull()))
     samples = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), values(9 + i))]) if names else F.create_map().cast("map<string,map<string,string>>")
     out = rows.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(
-        "ord", p[0].alias("chrom"), p[1].cast("long").alias("pos"), p[2].alias("id"), p[3].alias("ref"), p[4].alias("alt"), p[6].alias("filter"), info.alias("info"), samples.alias("samples")
+        "ord", F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).cast("long").alias("pos"), F.get(p, F.lit(2)).alias("id"), F.get(p, F.lit(3)).alias("ref"), F.get(p, F.lit(4)).alias("alt"), F.get(p, F.lit(6)).alias("filter"), info.alias("info"), samples.alias("samples")
     )
     w = Window.partitionBy("id")
     return out.withColumn("__last", F.max("ord").over(w)).where("ord = __last").drop("__last")
@@ -70,11 +70,14 @@ def merged_extra(*maps: Column) -> Column:
     """Later maps win."""
     out = F.coalesce(maps[0], F.create_map().cast(_EMPTY))
     for m in maps[1:]:
-        m = F.coalesce(m, F.create_map().cast(_EMPTY))
-        out = F.map_concat(F.map_filter(out, lambda k, v, m=m: ~F.map_contains_key(m, k)), m)
+        out = _over(out, F.coalesce(m, F.create_map().cast(_EMPTY)))
     return out
 
 
+def _over(old: Column, new: Column) -> Column:
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
 def bases() -> Column:
     """REF and ALT of insertions and deletions given as sequences."""
     given = F.col("alt").rlike("^[A-Za-z,]+$") & F.lower(info("SVTYPE")).rlike("ins|del")
