@@ -130,7 +130,7 @@ def prototypes(learn: DataFrame, text_col: str, lang_col: str, dimensions: int =
     if (n := whole.count()) > MOST_LANGUAGES:
         raise ValueError(f"{n} languages; at most {MOST_LANGUAGES} prototypes are broadcast")
     found = sorted((r["lang"], r["v"]) for r in whole.collect())
-    return [x for x, _ in found], np.array([v for _, v in found]).reshape(len(found), -1)
+    return [x for x, _ in found], np.array([v for _, v in found], np.float64).reshape(len(found), dimensions)
 
 
 def identify(docs: DataFrame, langs: list[str], protos: np.ndarray, text_col: str = "text", dimensions: int = DIMENSIONS, gram: int = GRAM) -> DataFrame:
