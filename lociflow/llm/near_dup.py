@@ -22,7 +22,7 @@ from lociflow.shared import cut, ensure_importable
 
 BITS = 64
 #: Prints for each key value that a pigeonhole scheme may have before a finer one is taken.
-PER_KEY = 16
+PER_KEY = 64
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -61,16 +61,27 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> Da
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
+def _blocks(count: int, radius: int, bits: int) -> tuple[int, list[int]]:
+    m = 1
+    while count > PER_KEY << (bits * m // (radius + m)) and m < 4:
+        m += 1
+    return m, [bits * i // (radius + m) for i in range(radius + m + 1)]
+
+
+def pigeonhole_masks(count: int, radius: int, bits: int = BITS) -> list[int]:
+    """The bits that each of the keys of ``pigeonhole`` holds, in the keys' order."""
+    m, edges = _blocks(count, radius, bits)
+    one = [((1 << edges[b + 1]) - (1 << edges[b])) for b in range(radius + m)]
+    return [sum(one[b] for b in blocks) for blocks in combinations(range(radius + m), m)]
+
+
 def pigeonhole(fp: Column, count: int, radius: int, bits: int = BITS) -> Column:
     """Array of keys; two prints within the radius have one in common, whatever the count.
 
     The bits are cut into ``radius + m`` blocks, of which ``m`` must agree. The count of distinct prints
     only sets ``m``: more prints, longer keys, so the members of a key stay few.
     """
-    m = 1
-    while count > PER_KEY << (bits * m // (radius + m)) and m < 4:
-        m += 1
-    edges = [bits * i // (radius + m) for i in range(radius + m + 1)]
+    m, edges = _blocks(count, radius, bits)
     keys = []
     for which, blocks in enumerate(combinations(range(radius + m), m)):
         key = F.lit(which)
@@ -180,8 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Prints of 128 bits are grouped; loose links between prints bring together what may be similar. In each
     loose component the document with the smallest id leads: it stays, and those whose shingles are verified
-    to be similar to it go; the rest is linked again among itself, until no link is left. So each document
-    that goes is similar to one that stays, and no two that stay and are loosely linked are similar. Texts with equal
+    to be similar to it go; then the smallest of the rest leads, until none is left. So each document that goes
+    is similar to one that stays, and no two of a component that stay are similar. Texts with equal
     prints are taken as similar; all texts without words have print 0 and are one group. A null id counts as the
     largest. Rows that repeat an id stay if it leads any group; of those with equal texts one stays. An empty
     table gives an empty one.
@@ -205,22 +216,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One text for each print that has a loose link.
     held = texts.join(prints.join(members.select("fp", "fp2", "low", "node"), ["fp", "fp2"]).where("id = low").select("id", "node"), "id")
     held = cut(held.groupBy("node").agg(F.min("id").alias("low"), F.min("text").alias("text")), "loose-texts")
-    gone, waiting = [], held.select("node", "low")
-    while waiting is not None and not left.isEmpty():
-        comp = connected_components(left)
-        tied = waiting.join(comp, "node").select("node", "low", "component")
-        lead = tied.groupBy("component").agg(F.min(F.struct("low", "node")).alias("first")).select("component", F.col("first.node").alias("lead"))
-        pairs = tied.join(lead, "component").where("node <> lead").select("node", "lead")
+    # The smallest left of a component leads; what is similar to it goes; then the next of those that are left leads.
+    gone, waiting = [], cut(held.select("node", "low").join(connected_components(left), "node"), "waiting")
+    while not waiting.isEmpty():
+        lead = waiting.groupBy("component").agg(F.min(F.struct("low", "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        lead = lead.select("component", F.col("first.node").alias("lead"))
+        pairs = waiting.join(lead, "component").where("node <> lead").select("node", "lead")
         pairs = pairs.join(held.select("node", "text"), "node").join(held.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
         similar = cut(_verified(pairs, k, similarity), "similar")
         gone.append(similar.select("node"))
-        done = cut(similar.select("node").unionByName(lead.select(F.col("lead").alias("node"))), "done")
-        waiting = cut(waiting.join(done, "node", "left_anti"), "waiting")
-        rest = groups.join(waiting.select("node"), "node", "left_semi")
-        left = cut(_loose_links(rest, max(1, rest.count())), "loose")
+        done = similar.select("node").unionByName(lead.select(F.col("lead").alias("node")))
+        rest = waiting.join(done, "node", "left_anti")
+        several = rest.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        waiting = cut(rest.join(several, "component", "left_semi"), "waiting")
     stays = groups.select("node", "low")
-    for x in gone:
-        stays = stays.join(x, "node", "left_anti")
+    if gone:
+        every = gone[0]
+        for x in gone[1:]:
+            every = every.unionByName(x)
+        stays = stays.join(every, "node", "left_anti")
     stays = stays.select(F.col("low").alias("__low"))
     out = docs.withColumn("__key", key).join(stays.distinct(), F.col("__key") == F.col("__low"), "left_semi")
     repeated = prints.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
