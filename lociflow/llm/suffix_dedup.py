@@ -21,19 +21,19 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.llm.packing import pack, unpack
 from lociflow.llm.suffix_array import repeats_before, suffix_array
 from lociflow.shared import cut, ensure_importable
 
 LENGTH, SEED = 50, 16
 #: Bytes of a chunk, and of the part of it that is worked on at a time.
-CHUNK, PART = 16 << 20, 2 << 20
+CHUNK, PART = 4 << 20, 1 << 19
 #: Bytes of text for each shard of hashes and of contexts.
-SHARD = 8 << 20
+SHARD = 2 << 20
 #: Between contexts; no byte of UTF-8.
 GAP = 255
 #: A null id is later than any other.
@@ -42,22 +42,6 @@ _TABLE = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 256, dtyp
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of bytes, each with its size, compressed."""
-    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(r) for r in raw], "<i8").tobytes() + b"".join(raw))
-
-
-def _unpack(data: bytes, *types: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    sizes = np.frombuffer(raw, "<i8", len(types))
-    at, out = 8 * len(types), []
-    for t, n in zip(types, sizes.tolist()):
-        out.append(np.frombuffer(raw, t, n // np.dtype(t).itemsize, at))
-        at += n
-    return out
-
-
 def anchors(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(hash, first, last)``: the anchor's hash and the first and last start of the strings of each context, in order.
 
@@ -86,7 +70,13 @@ def anchors(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = np.append(new[1:], n) - 1
     keep = place[new] >= 0
     first = new[keep]
-    return low[first], first, last[keep]
+    return _spread(low[first]), first, last[keep]
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Anchors' hashes are the least of many, so they crowd at the low end; mixed, they are even over the shards."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -103,12 +93,12 @@ class Part:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
 
     def packed(self) -> bytes:
-        return _pack(self.ids, self.null, self.size, self.data)
+        return pack(self.ids, self.null, self.size, self.data)
 
     @classmethod
     def unpacked(cls, data: bytes) -> Part:
         part = cls.__new__(cls)
-        part.ids, part.null, part.size, part.data = _unpack(data, "<i8", "?", "<i8", "u1")
+        part.ids, part.null, part.size, part.data = unpack(data, "<i8", "?", "<i8", "u1")
         return part
 
     def contexts(self):
@@ -145,7 +135,7 @@ def _chunks(rows: DataFrame, shards: int) -> DataFrame:
             first = np.concatenate([[0], first])
         several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first) if len(first) else np.empty(0, bool)
         h = h[first]
-        packed = [(s, _pack(h[k], several[k])) for s, k in _by_shard(h, shards)]
+        packed = [(s, pack(h[k], several[k])) for s, k in _by_shard(h, shards)]
         n, m = len(parts), len(packed)
         yield pa.record_batch([pa.array([name] * (n + m)), pa.array([None] * n + [s for s, _ in packed], pa.int64()), pa.array([p.packed() for p in parts] + [x for _, x in packed], pa.binary())], ["chunk", "shard", "data"])
 
@@ -172,7 +162,7 @@ def _chunks(rows: DataFrame, shards: int) -> DataFrame:
 
 def _shared_hashes(rows: pa.Table) -> pa.Table:
     """Of one shard: for each chunk those of its hashes that stand in two documents."""
-    chunks, parts = rows.column("chunk").to_pylist(), [_unpack(x.as_py(), "<u8", "?") for x in rows.column("data")]
+    chunks, parts = rows.column("chunk").to_pylist(), [unpack(x.as_py(), "<u8", "?") for x in rows.column("data")]
     h = np.concatenate([p[0] for p in parts])
     order = np.argsort(h, kind="stable")
     h = h[order]
@@ -182,7 +172,7 @@ def _shared_hashes(rows: pa.Table) -> pa.Table:
     kept = np.zeros(len(h), bool)
     kept[order] = np.repeat(several, size)
     ends = np.cumsum([len(p[0]) for p in parts])
-    out = [(c, _pack(p[0][k])) for c, p, k in zip(chunks, parts, np.split(kept, ends[:-1])) if k.any()]
+    out = [(c, pack(p[0][k])) for c, p, k in zip(chunks, parts, np.split(kept, ends[:-1])) if k.any()]
     return pa.table([pa.array([c for c, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], ["of_chunk", "data"])
 
 
@@ -199,7 +189,7 @@ def _kept_contexts(part: Part, hashes: np.ndarray):
 
 
 def _hash_list(table: pa.Table) -> np.ndarray:
-    own = [_unpack(x.as_py(), "<u8")[0] for x in table.column("data")]
+    own = [unpack(x.as_py(), "<u8")[0] for x in table.column("data")]
     return np.sort(np.concatenate(own)) if own else np.empty(0, np.uint64)
 
 
@@ -223,7 +213,7 @@ def _contexts(shards: int):
         out = []
         for s, k in _by_shard(h, shards):
             own = rows[k]
-            out.append((s, _pack(h[k], np.frombuffer(b"".join(r[1] for r in own), np.uint8), np.array([r[2] for r in own], np.int64), np.array([len(r[3]) for r in own], np.uint8), np.frombuffer(b"".join(r[3] for r in own), np.uint8))))
+            out.append((s, pack(h[k], np.frombuffer(b"".join(r[1] for r in own), np.uint8), np.array([r[2] for r in own], np.int64), np.array([len(r[3]) for r in own], np.uint8), np.frombuffer(b"".join(r[3] for r in own), np.uint8))))
         return pa.table([pa.array([s for s, _ in out], pa.int64()), pa.array([chunk] * len(out), pa.string()), pa.array([x for _, x in out], pa.binary())], ["shard", "chunk", "data"])
 
     return run
@@ -260,7 +250,7 @@ def least_documents(h: np.ndarray, low: np.ndarray, size: np.ndarray, data: np.n
 
 def _decide(rows: pa.Table) -> pa.Table:
     """Of one shard: for each chunk its contexts' keys and the least documents of their strings, in runs."""
-    chunks, parts = rows.column("chunk").to_pylist(), [_unpack(x.as_py(), "<u8", "u1", "<i8", "u1", "u1") for x in rows.column("data")]
+    chunks, parts = rows.column("chunk").to_pylist(), [unpack(x.as_py(), "<u8", "u1", "<i8", "u1", "u1") for x in rows.column("data")]
     seen: dict[bytes, int] = {}
     h, low, sizes, texts, places = [], [], [], [], []
     for hashes, keys, lows, size, data in parts:
@@ -284,8 +274,8 @@ def _decide(rows: pa.Table) -> pa.Table:
         runs.append((m[first], np.diff(np.append(first, len(m)))))
     out = []
     for (_, keys, *_), place in zip(parts, places):
-        out.append(_pack(keys, np.array([len(runs[k][0]) for k in place], np.uint8), np.concatenate([runs[k][0] for k in place]), np.concatenate([runs[k][1] for k in place]).astype(np.uint8)))
-    own = [_pack(np.unique(p[0])) for p in parts]
+        out.append(pack(keys, np.array([len(runs[k][0]) for k in place], np.uint8), np.concatenate([runs[k][0] for k in place]), np.concatenate([runs[k][1] for k in place]).astype(np.uint8)))
+    own = [pack(np.unique(p[0])) for p in parts]
     return pa.table([pa.array(chunks, pa.string()), pa.array(out, pa.binary()), pa.array(own, pa.binary())], ["of_chunk", "data", "hashes"])
 
 
@@ -314,7 +304,7 @@ def _results(digest: bool):
         place: dict[bytes, int] = {}
         n_runs, run_docs, lengths = [], [], []
         for x in found.column("data"):
-            keys, n, d, size = _unpack(x.as_py(), "u1", "u1", "<i8", "u1")
+            keys, n, d, size = unpack(x.as_py(), "u1", "u1", "<i8", "u1")
             raw = keys.tobytes()
             for i in range(len(n)):
                 place[raw[16 * i : 16 * i + 16]] = len(place)
@@ -323,7 +313,7 @@ def _results(digest: bool):
             lengths.append(size)
         join = lambda a, t: np.concatenate(a) if a else np.empty(0, t)
         first_run = np.concatenate([[0], np.cumsum(join(n_runs, np.uint8), dtype=np.int64)])
-        hashes = [_unpack(x.as_py(), "<u8")[0] for x in found.column("hashes")]
+        hashes = [unpack(x.as_py(), "<u8")[0] for x in found.column("hashes")]
         hashes = np.unique(join(hashes, np.uint64))
         rows = []
         for x in docs.column("data"):
