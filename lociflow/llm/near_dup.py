@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.bktree import spanning_links
+from lociflow.llm.bktree import Forest, Union, spanning_links
 from lociflow.llm.text import ascii_words, shingle_hashes
 from lociflow.operators.components import connected_components
 from lociflow.shared import cut, ensure_importable
@@ -39,13 +39,14 @@ def simhash(words: list[bytes], k: int) -> int:
     return _majority(hashes) if len(hashes) else 0
 
 
-def simhash_pair(words: list[bytes], k: int) -> tuple[int, int]:
-    """``simhash`` and 64 bits more, from the same shingles hashed once again."""
-    hashes = shingle_hashes(words, k)
-    if not len(hashes):
-        return 0, 0
-    again = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return _majority(hashes), _majority(again ^ (again >> np.uint64(29)))
+def wide_simhash(words: list[bytes], k: int, words64: int) -> np.ndarray:
+    """``simhash`` and further 64-bit words, each from the same shingles hashed once again."""
+    hashes, out = shingle_hashes(words, k), np.zeros(words64, np.uint64)
+    for n in range(words64 if len(hashes) else 0):
+        out[n] = _majority(hashes)
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = hashes ^ (hashes >> np.uint64(29))
+    return out
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -150,9 +151,10 @@ def sampled_keys(fp: Column, count: int, radius: int, miss: float = 0.01, bits:
     return F.array(*keys)
 
 
-#: Of 64 and of 128 bits: what the keys of loose links are sampled for, and how far loose links reach. Texts that
-#: share 0.8 of their shingles differ in 19 of 128 bits on average, with a deviation of 4; others in 64, with 6.
-SAMPLED, LOOSE, LOOSE_WHOLE = 12, 18, 32
+#: What keys are sampled for; how far loose links reach in 64 and in 128 bits; 64-bit words of a wide print, and how
+#: far links reach in it. Texts that share 0.8 of their shingles differ in 0.15 of the bits: in 19 of 128 (deviation
+#: 4) and 78 of 512 (deviation 8); unlike texts in 64 and 256.
+SAMPLED, LOOSE, LOOSE_WHOLE, WIDE, REACH = 12, 18, 32, 8, 84
 
 
 def _loose_links(groups: DataFrame, count: int) -> DataFrame:
@@ -169,6 +171,35 @@ def _loose_links(groups: DataFrame, count: int) -> DataFrame:
     return keyed.repartition(shards, "key").mapInArrow(run, "a long, b long").distinct()
 
 
+def _wide_links(groups: DataFrame, count: int) -> DataFrame:
+    """Links within REACH of wide prints, the nearest pairs of a key first, one for each print that hangs on another."""
+    keyed = groups.select("node", "fp", "wide", F.explode(sampled_keys(F.col("fp"), count, SAMPLED)).alias("key"))
+    shards = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 20_000)
+
+    def run(batches):
+        found = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(3).to_numpy()) for b in batches]
+        if not found:
+            return
+        node, fp, keys = (np.concatenate([f[k] for f in found]) for k in (0, 1, 3))
+        wide = np.frombuffer(b"".join(x for f in found for x in f[2]), "<u8").reshape(-1, WIDE)
+        _, tree, size = np.unique(keys, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(size[tree] > 1)
+        sets, links = Union(len(node)), []
+        for i, j in Forest(keys[some], fp[some].view(np.uint64)).neighbours(LOOSE) if len(some) else ():
+            i, j = some[i], some[j]
+            far = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
+            order = np.argsort(far, kind="stable")
+            for x, y in zip(*(z[order][far[order] <= REACH].tolist() for z in (i, j))):
+                if sets.label[x] != sets.label[y]:
+                    sets.add(np.array([x]), np.array([y]))
+                    links.append((node[x], node[y]))
+        if links:
+            a, b = zip(*links)
+            yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return keyed.repartition(shards, "key").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Of ``(node, lead, text, lead_text)`` the ``node`` and ``lead`` whose texts' sets of shingles have that Jaccard similarity."""
 
@@ -187,15 +218,14 @@ def _verified(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group of texts that share ``similarity`` of their ``k``-word shingles.
-
-    Prints of 128 bits are grouped; loose links between prints bring together what may be similar. In each
-    loose component the document with the smallest id leads: it stays, and those whose shingles are verified
-    to be similar to it go; then the smallest of the rest leads, until none is left. So each document that goes
-    is similar to one that stays, and no two of a component that stay are similar. Texts with equal
-    prints are taken as similar; all texts without words have print 0 and are one group. A null id counts as the
-    largest. Rows that repeat an id stay if it leads any group; of those with equal texts one stays. An empty
-    table gives an empty one.
+    """The rows of ``docs`` that stay: of each group of near-duplicates the one with the smallest id.
+
+    Prints that lie loosely near another in 128 bits are linked where their wide prints (512 bits) are near; a link
+    holds if the texts share ``similarity`` of their sets of ``k``-word shingles, and groups are what links that hold
+    connect. Links are found under keys of sampled bits, the nearest first, and no more than connect a key's prints.
+    Texts with equal 128 bits are one group; all texts without words have print 0 and are one group. A null id
+    counts as the largest. Rows that repeat an id stay if it is the smallest of any group; of those with equal texts
+    one stays. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
@@ -203,39 +233,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for batch in batches:
-            pairs = [simhash_pair(ascii_words(x), k) for x in batch.column(1).to_pylist()]
-            own = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], ["id", "fp", "fp2"])
+            own = np.array([wide_simhash(ascii_words(x), k, WIDE) for x in batch.column(1).to_pylist()], "<u8").reshape(-1, WIDE)
+            one, two = (own[:, n].astype(np.uint64).view(np.int64) for n in (0, 1))
+            yield pa.record_batch([batch.column(0), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in own], pa.binary())], ["id", "fp", "fp2", "wide"])
 
     texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut(texts.mapInArrow(run, "id long, fp long, fp2 long"), "pair-prints")
-    groups = prints.groupBy("fp", "fp2").agg(F.min("id").alias("low"))
+    prints = cut(texts.mapInArrow(run, "id long, fp long, fp2 long, wide binary"), "pair-prints")
+    groups = prints.groupBy("fp", "fp2").agg(F.min("id").alias("low"), F.min("wide").alias("wide"))
     groups = cut(groups.withColumn("node", F.monotonically_increasing_id()), "pair-groups")
-    left = cut(_loose_links(groups, groups.count()), "loose")
-    members = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct().join(groups, "node")
-    # One text for each print that has a loose link.
-    held = texts.join(prints.join(members.select("fp", "fp2", "low", "node"), ["fp", "fp2"]).where("id = low").select("id", "node"), "id")
-    held = cut(held.groupBy("node").agg(F.min("id").alias("low"), F.min("text").alias("text")), "loose-texts")
-    # The smallest left of a component leads; what is similar to it goes; then the next of those that are left leads.
-    gone, waiting = [], cut(held.select("node", "low").join(connected_components(left), "node"), "waiting")
-    while not waiting.isEmpty():
-        lead = waiting.groupBy("component").agg(F.min(F.struct("low", "node")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        lead = lead.select("component", F.col("first.node").alias("lead"))
-        pairs = waiting.join(lead, "component").where("node <> lead").select("node", "lead")
-        pairs = pairs.join(held.select("node", "text"), "node").join(held.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
-        similar = cut(_verified(pairs, k, similarity), "similar")
-        gone.append(similar.select("node"))
-        done = similar.select("node").unionByName(lead.select(F.col("lead").alias("node")))
-        rest = waiting.join(done, "node", "left_anti")
-        several = rest.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-        waiting = cut(rest.join(several, "component", "left_semi"), "waiting")
-    stays = groups.select("node", "low")
-    if gone:
-        every = gone[0]
-        for x in gone[1:]:
-            every = every.unionByName(x)
-        stays = stays.join(every, "node", "left_anti")
-    stays = stays.select(F.col("low").alias("__low"))
+    left = _loose_links(groups, groups.count())
+    near = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    members = cut(groups.join(near, "node"), "loose")
+    links = cut(_wide_links(members, max(1, members.count())), "wide-links")
+    # One text for each print that has a link, its document's with the smallest id.
+    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    held = texts.join(prints.select("id", "fp", "fp2").join(members.join(linked, "node").select("fp", "fp2", "low", "node"), ["fp", "fp2"]).where("id = low").select("id", "node"), "id")
+    held = cut(held.groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
+    pairs = links.select(F.col("a").alias("node"), F.col("b").alias("lead")).join(held, "node").join(held.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
+    comp = connected_components(_verified(pairs, k, similarity), "node", "lead")
+    tied = groups.select("node", "low").join(comp, "node")
+    first = tied.groupBy("component").agg(F.min(F.struct("low", "node")).alias("first")).select(F.col("first.node").alias("node"))
+    gone = tied.select("node").join(first, "node", "left_anti")
+    stays = groups.select("node", "low").join(gone, "node", "left_anti").select(F.col("low").alias("__low"))
     out = docs.withColumn("__key", key).join(stays.distinct(), F.col("__key") == F.col("__low"), "left_semi")
     repeated = prints.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
