@@ -45,11 +45,11 @@ class Encoder:
 
     With the splitter above no token crosses white space, so ids are looked up word by word: plain words are
     cut into pieces here and the model encodes each distinct piece; any other word goes through the whole
-    tokenizer. With any other splitter whole texts go through it. ``keep`` bounds the words remembered from
-    one batch to the next; a batch of more is still encoded whole.
+    tokenizer. With any other splitter whole texts go through it. ``keep`` and ``keep_pieces`` bound what is
+    remembered from one batch to the next; a batch of more is still encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 500_000, keep_pieces: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -64,14 +64,17 @@ class Encoder:
         )
         self.of_pieces = Tokenizer(self.whole.model)
         self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.keep = keep
-        self._forget()
-
-    def _forget(self) -> None:
+        self.keep, self.keep_pieces = keep, keep_pieces
         self.word: dict[bytes, int] = {}
         self.piece: dict[str, int] = {}
         self.words, self.pieces = Lists(), Lists()
 
+    def _forget(self) -> None:
+        if len(self.word) > self.keep:
+            self.word, self.words = {}, Lists()
+        if len(self.piece) > self.keep_pieces:
+            self.piece, self.pieces = {}, Lists()
+
     def _learn(self, words: list[bytes]) -> None:
         """``words`` are new; their lists of ids come after those known."""
         texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
@@ -112,8 +115,7 @@ class Encoder:
             got = [x.ids for x in self.whole.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
             size = np.fromiter(map(len, got), np.int64, len(got))
             return np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size
-        if len(self.word) > self.keep:
-            self._forget()
+        self._forget()
         split = [x.encode("utf-8", "replace").split() if x else [] for x in texts]
         known = self.word
         fresh = list({w for words in split for w in words} - known.keys())
@@ -130,6 +132,16 @@ class Encoder:
         return self.words.take(which)[0], of_text
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: what it knows serves the worker's later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def portions(texts: list[str | None], limit: int = 1 << 21):
     """Ranges of the list that hold about ``limit`` characters; a longer text is a portion of its own."""
     begin, held = 0, 0

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.encoding import Encoder, portions
+from lociflow.llm.encoding import encoder, portions
 from lociflow.llm.pfor import default_tokenizer
 from lociflow.shared import cut, ensure_importable
 
@@ -26,11 +26,11 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text", en
     ensure_importable(docs.sparkSession)
 
     def run(batches):
-        encoder, met = Encoder(tokenizer), Counter()
+        lengths, met = encoder(tokenizer).lengths, Counter()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for b, e in portions(texts):
-                met.update(dict(zip(*(x.tolist() for x in np.unique(encoder.lengths(texts[b:e]) + end_ids, return_counts=True)))))
+                met.update(dict(zip(*(x.tolist() for x in np.unique(lengths(texts[b:e]) + end_ids, return_counts=True)))))
         if met:
             yield pa.record_batch([pa.array([*met], pa.int64()), pa.array([*met.values()], pa.int64())], ["length", "n_docs"])
 

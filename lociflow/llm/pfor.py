@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.encoding import Encoder, portions
+from lociflow.llm.encoding import encoder, portions
 from lociflow.shared import ensure_importable, fresh_path
 
 MAGIC = b"LFPFOR01"
@@ -206,11 +206,11 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None =
     dealt = rows.repartitionByRange(ranges, "id", "tie").sortWithinPartitions("id", "tie")
 
     def run(batches):
-        encoder, part, writer, number = Encoder(tokenizer), TaskContext.get().partitionId(), None, 0
+        encode, part, writer, number = encoder(tokenizer).encode, TaskContext.get().partitionId(), None, 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for b, e in portions(texts):
-                flat, size = encoder.encode(texts[b:e])
+                flat, size = encode(texts[b:e])
                 if end_id is not None:
                     flat = np.insert(flat, np.cumsum(size), end_id)
                     size = size + 1
