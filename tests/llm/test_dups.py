@@ -162,3 +162,34 @@ def test_fuzzy_lines(spark, odd, some, empty):
         assert sorted(map(tuple, dedup_lines(docs).select("doc_id", "n_removed").collect()), key=repr) == brute_lines(rows)
     assert dedup_lines(empty).count() == 0
     assert edit_distance("kitten", "sitting") == 3 and edit_distance("", "ab") == 2
+
+
+def test_fuzzy_lines_by_edit_similarity_alone(spark, odd, some, sf):
+    from lociflow.llm.fuzzy_lines import op8, similar
+
+    for docs in (odd, some):
+        rows = [tuple(r) for r in docs.select("doc_id", "text").distinct().collect()]
+        found = [(i, t, x) for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) for line in (t or "").split("\n") if (x := normal(line))]
+        texts = sorted({x for *_, x in found}, key=len)
+        comp = {x: x for x in texts}
+
+        def root(x):
+            while comp[x] != x:
+                x = comp[x]
+            return x
+
+        for k, a in enumerate(texts):
+            for b in texts[k + 1 :]:
+                if 4 * len(b) > 5 * len(a):
+                    break
+                if sum(abs(a.count(c) - b.count(c)) for c in "aeinrst") <= 0.4 * len(b) and similar(a, b, 0.8):
+                    comp[root(a)] = root(b)
+        kept, gone = set(), {}
+        for i, t, x in found:
+            gone[(i, t)] = gone.get((i, t), 0) + (root(x) in kept)
+            kept.add(root(x))
+        got = {(r["doc_id"], r["n_removed"]) for r in dedup_lines(docs, radius=None).collect()}
+        assert got == {(i, gone.get((i, t), 0)) for i, t in rows}
+    edited = spark.createDataFrame([(1, "one small line about nothing"), (2, "one large line about nothing")], "doc_id long, text string")
+    assert sum(r["n_removed"] for r in dedup_lines(edited, radius=None).collect()) == 1
+    assert sum(r["n_removed"] for r in op8(spark, sf).collect()) == sum(r["n_removed"] for r in dedup_lines(some, radius=None).collect())
