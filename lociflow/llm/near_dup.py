@@ -153,8 +153,8 @@ def sampled_keys(fp: Column, count: int, radius: int, miss: float = 0.01, bits:
 
 #: What keys are sampled for; how far loose links reach in 64 and in 128 bits; 64-bit words of a wide print, and how
 #: far links reach in it. Texts that share 0.8 of their shingles differ in 0.15 of the bits: in 19 of 128 (deviation
-#: 4) and 78 of 512 (deviation 8); unlike texts in 64 and 256.
-SAMPLED, LOOSE, LOOSE_WHOLE, WIDE, REACH = 12, 18, 32, 8, 84
+#: 4) and 78 of 512 (deviation 8); unlike texts in 64 and 256. REACH lies almost 4 deviations above, so that the shingles decide.
+SAMPLED, LOOSE, LOOSE_WHOLE, WIDE, REACH = 12, 18, 32, 8, 108
 
 
 def _loose_links(groups: DataFrame, count: int) -> DataFrame:

@@ -193,3 +193,19 @@ def test_fuzzy_lines_by_edit_similarity_alone(spark, odd, some, sf):
     edited = spark.createDataFrame([(1, "one small line about nothing"), (2, "one large line about nothing")], "doc_id long, text string")
     assert sum(r["n_removed"] for r in dedup_lines(edited, radius=None).collect()) == 1
     assert sum(r["n_removed"] for r in op8(spark, sf).collect()) == sum(r["n_removed"] for r in dedup_lines(some, radius=None).collect())
+
+
+def test_near_duplicates_just_over_the_similarity(spark):
+    from lociflow.llm.text import shingle_hashes
+
+    draw, rows = np.random.default_rng(8), []
+    while len(rows) < 160:
+        a = [b"w%d" % x for x in draw.integers(0, 10**6, 300)]
+        b = a.copy()
+        for j in draw.choice(300, 7, replace=False):
+            b[j] = b"v%d" % draw.integers(10**6)
+        x, y = (set(shingle_hashes(t, 5).tolist()) for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.82:
+            rows += [(len(rows) + k, b" ".join(t).decode()) for k, t in enumerate((a, b))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(r["doc_id"] % 2 for r in out.collect()) <= 2
