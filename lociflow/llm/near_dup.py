@@ -40,8 +40,8 @@ def simhash(words: list[bytes], k: int) -> int:
 
 
 def wide_simhash(words: list[bytes], k: int, words64: int) -> np.ndarray:
-    """``simhash`` and further 64-bit words, each from the same shingles hashed once again."""
-    hashes, out = shingle_hashes(words, k), np.zeros(words64, np.uint64)
+    """``simhash`` of the distinct shingles and further 64-bit words, each from the same shingles hashed once again."""
+    hashes, out = np.unique(shingle_hashes(words, k)), np.zeros(words64, np.uint64)
     for n in range(words64 if len(hashes) else 0):
         out[n] = _majority(hashes)
         hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)

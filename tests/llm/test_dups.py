@@ -209,3 +209,10 @@ def test_near_duplicates_just_over_the_similarity(spark):
             rows += [(len(rows) + k, b" ".join(t).decode()) for k, t in enumerate((a, b))]
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sum(r["doc_id"] % 2 for r in out.collect()) <= 2
+
+
+def test_near_duplicates_count_a_shingle_once(spark):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words[40:60] * 60))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in out.collect()] == [1]
