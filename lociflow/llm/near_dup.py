@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Prints that lie loosely near another in 128 bits are linked where their wide prints (512 bits) are near; a link
     holds if the texts share ``similarity`` of their sets of ``k``-word shingles, and groups are what links that hold
     connect. Links are found under keys of sampled bits, the nearest first, and no more than connect a key's prints.
-    Texts with equal 128 bits are one group; all texts without words have print 0 and are one group. A null id
+    Texts with equal sets of shingles are one group, those with equal prints only if they share enough; all texts without words have print 0 and are one group. A null id
     counts as the largest. Rows that repeat an id stay if it is the smallest of any group; of those with equal texts
     one stays. An empty table gives an empty one.
     """
@@ -233,13 +234,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for batch in batches:
-            own = np.array([wide_simhash(ascii_words(x), k, WIDE) for x in batch.column(1).to_pylist()], "<u8").reshape(-1, WIDE)
+            words = [ascii_words(x) for x in batch.column(1).to_pylist()]
+            own = np.array([wide_simhash(x, k, WIDE) for x in words], "<u8").reshape(-1, WIDE)
+            sets = [xxhash.xxh128_digest(np.unique(shingle_hashes(x, k)).astype("<u8").tobytes()) for x in words]
             one, two = (own[:, n].astype(np.uint64).view(np.int64) for n in (0, 1))
-            yield pa.record_batch([batch.column(0), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in own], pa.binary())], ["id", "fp", "fp2", "wide"])
+            yield pa.record_batch([batch.column(0), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(sets, pa.binary())], ["id", "fp", "fp2", "wide", "shingles"])
 
     texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut(texts.mapInArrow(run, "id long, fp long, fp2 long, wide binary"), "pair-prints")
-    groups = prints.groupBy("fp", "fp2").agg(F.min("id").alias("low"), F.min("wide").alias("wide"))
+    prints = cut(texts.mapInArrow(run, "id long, fp long, fp2 long, wide binary, shingles binary"), "pair-prints")
+    groups = prints.groupBy("fp", "fp2", "shingles").agg(F.min("id").alias("low"), F.min("wide").alias("wide"))
     groups = cut(groups.withColumn("node", F.monotonically_increasing_id()), "pair-groups")
     left = _loose_links(groups, groups.count())
     near = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
@@ -247,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_wide_links(members, max(1, members.count())), "wide-links")
     # One text for each print that has a link, its document's with the smallest id.
     linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    held = texts.join(prints.select("id", "fp", "fp2").join(members.join(linked, "node").select("fp", "fp2", "low", "node"), ["fp", "fp2"]).where("id = low").select("id", "node"), "id")
+    held = texts.join(prints.select("id", "shingles").join(members.join(linked, "node").select("shingles", "low", "node"), "shingles").where("id = low").select("id", "node"), "id")
     held = cut(held.groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
     pairs = links.select(F.col("a").alias("node"), F.col("b").alias("lead")).join(held, "node").join(held.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
     comp = connected_components(_verified(pairs, k, similarity), "node", "lead")

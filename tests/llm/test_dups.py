@@ -216,3 +216,14 @@ def test_near_duplicates_count_a_shingle_once(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words + words[40:60] * 60))]
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r["doc_id"] for r in out.collect()] == [1]
+
+
+def test_near_duplicates_verify_equal_prints(spark, monkeypatch):
+    from lociflow.llm import near_dup
+
+    # Unlike texts with equal prints, whatever they are made from.
+    monkeypatch.setattr(near_dup, "wide_simhash", lambda words, k, words64: np.full(words64, 7, np.uint64))
+    line = [f"r{k}" for k in range(21)] * 100
+    rows = [(i, " ".join(line + [f"u{i}x{k}" for k in range(60)])) for i in range(4)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 3]
