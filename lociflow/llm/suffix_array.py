@@ -13,6 +13,8 @@ import numpy as np
 
 #: Letters up to which whole buckets are handled at a time.
 FEW = 1024
+#: Positions in a lane along which common prefixes are carried.
+LANE = 512
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -70,11 +72,11 @@ def _names(s: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> tuple[np.ndarr
 
 
 def _induce_buckets(s: np.ndarray, small: np.ndarray, lms: np.ndarray, letters: int) -> np.ndarray:
-    n = len(s)
+    n, narrow = len(s), s.astype(np.uint16)
     begin = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=letters))])
     sa = np.full(n, -1, np.int64)
     # LMS positions at the ends of their buckets, in the order given.
-    order = np.argsort(s[lms], kind="stable")
+    order = np.argsort(narrow[lms], kind="stable")
     held = np.bincount(s[lms], minlength=letters)
     upto = np.cumsum(held)
     placed = lms[order]
@@ -83,9 +85,8 @@ def _induce_buckets(s: np.ndarray, small: np.ndarray, lms: np.ndarray, letters:
 
     def deal(of: np.ndarray, at: np.ndarray, step: int) -> None:
         """Appends positions, in order, to the buckets of their letters."""
-        chars = s[of]
-        by = np.argsort(chars, kind="stable")
-        chars = chars[by]
+        by = np.argsort(narrow[of], kind="stable")  # of 16-bit numbers: a radix sort, linear
+        chars = s[of[by]]
         first = np.flatnonzero(np.diff(chars, prepend=-1))
         size = np.diff(np.append(first, len(chars)))
         rank = np.arange(len(chars)) - np.repeat(first, size)
@@ -149,25 +150,35 @@ def _induce_positions(s: np.ndarray, small: np.ndarray, lms: np.ndarray, letters
     return np.array(sa, np.int64)
 
 
-def repeats_before(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """In text order, whether the common prefix of a suffix and the one ranked before it has ``length`` or more bytes.
+def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """In text order, the common prefix of each suffix and the one ranked before it, up to ``most`` letters.
 
-    ``text`` is uint8. Permuted common prefixes: each suffix is compared with its neighbour in rank, eight
-    bytes at a time, up to ``length``; those that differ fall out.
+    A suffix shares with its neighbour at least what the one before it in the text shares with its own, less a
+    letter, so the length is carried along the text and only what is beyond it is compared. The text is cut into
+    lanes that are walked side by side; the carrying begins anew at the start of a lane.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    alive = np.flatnonzero((before >= 0) & (np.arange(n) + length <= n) & (before + length <= n))
-    for d in [*range(0, length - 7, 8), length - 8] if length >= 8 else range(length):
-        if length >= 8:
-            a = np.ascontiguousarray(words[alive + d]).view(np.uint64)[:, 0]
-            b = np.ascontiguousarray(words[before[alive] + d]).view(np.uint64)[:, 0]
-        else:
-            a, b = padded[alive + d], padded[before[alive] + d]
-        alive = alive[a == b]
-    out = np.zeros(n, bool)
-    out[alive] = True
+    out = np.zeros(n, np.int64)
+    carried = np.zeros(-(-n // LANE), np.int64)
+    for step in range(min(LANE, n)):
+        at = np.arange(step, n, LANE)
+        h = np.maximum(carried[: len(at)] - 1, 0)
+        other = before[at]
+        h[other < 0] = 0
+        open_ = np.flatnonzero(other >= 0)
+        while len(open_):
+            k = h[open_]
+            a, b = at[open_] + k, other[open_] + k
+            fits = (k < most) & (np.maximum(a, b) < n)
+            open_, a, b = open_[fits], a[fits], b[fits]
+            open_ = open_[text[a] == text[b]]
+            h[open_] += 1
+        out[at] = carried[: len(at)] = h
     return out
+
+
+def repeats_before(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
+    """In text order, whether the common prefix of a suffix and the one ranked before it has ``length`` or more letters."""
+    return permuted_prefixes(text, sa, length) >= length

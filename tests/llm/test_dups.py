@@ -93,7 +93,8 @@ def test_suffix_arrays(monkeypatch, few):
 def test_common_prefixes():
     t = np.frombuffer(b"abcabcabcxabcabcabcy" * 2, np.uint8)
     sa = S.suffix_array(t)
-    for n in (3, 9, 12):
+    for n, lane in ((3, 512), (9, 7), (12, 512), (12, 3)):
+        S.LANE = lane
         got = S.repeats_before(t, sa, n)
         raw = t.tobytes()
         for r, i in enumerate(sa.tolist()):
@@ -125,10 +126,22 @@ def brute_removed(rows, length=50):
 def test_repeats_are_removed(spark, odd, some, empty):
     for docs in (odd, some):
         rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-        assert sorted(map(tuple, remove_repeats(docs, digest=True).collect()), key=repr) == brute_removed(rows)
+        want = brute_removed(rows)
+        assert sorted(map(tuple, remove_repeats(docs, digest=True).collect()), key=repr) == want
+        assert sorted(map(tuple, remove_repeats(docs, digest=True, hot=1).collect()), key=repr) == want
     assert remove_repeats(empty).count() == 0
 
 
+def test_long_texts_are_cut_and_still_compared(spark):
+    from lociflow.llm import suffix_dedup as D
+
+    draw = np.random.default_rng(4)
+    long = bytes(draw.integers(97, 100, D.SLICE + 5000).astype(np.uint8)).decode()
+    rows = [(1, long), (2, "xy" + long[1000:]), (3, "z" * 200 + long[D.SLICE - 60 : D.SLICE + 60])]
+    got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()}
+    assert got == {1: 0, 2: len(long) - 1000, 3: 120}
+
+
 def brute_lines(rows):
     from lociflow.llm.fuzzy_lines import Prints, similar
 
