@@ -8,6 +8,7 @@ document are laid side by side and the longest stretch with enough equal words i
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from lociflow.shared import cut, ensure_importable
 MASKS = ("11111", "1101101", "110100101", "1010010011", "1100010000111")
 #: Words that a stretch has at least (an item of fewer: all of its words), and the share that is equal.
 STRETCH, SIMILARITY = 13, 0.8
-#: Words of the test items up to which their hashes are sent to every executor; more are joined by a shuffle.
-BROADCAST_WORDS = 1_000_000
+#: Bytes of the test items up to which their hashes are sent to every executor; more are joined by a shuffle.
+BROADCAST_BYTES = 8_000_000
 WORD = re.compile(r"\w+")
 _FILTER_BITS = 22
 
@@ -53,9 +54,23 @@ def mask_offsets(mask: str) -> list[int]:
 
 
 def masks_for(length: int) -> list[str]:
-    """The masks that fit; a short item has one that looks at all its words."""
-    fit = [m for m in MASKS if len(m) <= length]
-    return fit if length >= STRETCH else [*fit, "1" * length] if length < len(MASKS[0]) and length else fit
+    """The masks for an item of that many words.
+
+    A stretch begins and ends with equal words, so of an item of fewer than STRETCH words, which must be found
+    whole, a fifth of the inner words may differ. These are parted into blocks, two more than may differ, and
+    each mask ignores as many blocks as words may differ: some mask ignores all that do.
+    """
+    if length >= STRETCH:
+        return list(MASKS)
+    wrong = length - int(np.ceil(SIMILARITY * length - 1e-9))
+    if not wrong:
+        return ["1" * length] if length else []
+    edges = [1 + (length - 2) * k // (wrong + 2) for k in range(wrong + 3)]
+    out = []
+    for blocks in combinations(range(wrong + 2), wrong):
+        gone = {i for b in blocks for i in range(edges[b], edges[b + 1])}
+        out.append("".join("0" if i in gone else "1" for i in range(length)))
+    return out
 
 
 def window_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -140,7 +155,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     and ``covered_words`` (words in a verified stretch).
 
     An item is held if a stretch of at least STRETCH words, or of all the item's words if it has fewer, has
-    at least SIMILARITY of its words equal at equal places. Null or empty texts hold nothing and are held by
+    at least SIMILARITY of its words, the first and the last among them, equal at equal places. Null or empty texts hold nothing and are held by
     nothing; an item with a null id is left out; items that repeat an id are each searched for. Columns of
     ``docs`` by the added names, in any case, are replaced.
     """
@@ -148,8 +163,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     ensure_importable(spark)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("item_ids", "n_words", "covered_words")])
     items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).where("item_id is not null and item_text is not null").distinct()
-    size = items.agg(F.sum(F.size(F.split("item_text", r"\W+")).cast("long"))).first()[0] or 0
-    if size <= BROADCAST_WORDS:
+    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         return _by_broadcast(docs, items.collect(), text_col)
     return _by_shuffle(docs, items, text_col)
 
@@ -200,30 +215,40 @@ def _by_broadcast(docs: DataFrame, items: list, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, _schema(docs))
 
 
-def _hashed(df: DataFrame, key: str, text: str, all_masks: bool) -> DataFrame:
-    """``(key, mask window hash, place)`` for each window of each row."""
+def _hashed(df: DataFrame, key: str, text: str, masks_of) -> DataFrame:
+    """``(key, mask window hash, place)`` for each window of each row, for the masks that ``masks_of`` gives for its length."""
 
     def run(batches):
         hasher = Hasher()
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = hasher(words_of(t))
-                masks = [*MASKS, *("1" * n for n in range(1, len(MASKS[0])))] if all_masks else masks_for(len(h))
-                own = [window_hashes(h, m).view(np.int64) for m in masks]
+                own = [window_hashes(h, m).view(np.int64) for m in masks_of(len(h))]
                 if n := sum(map(len, own)):
                     yield pa.record_batch([pa.array([k] * n, pa.int64()), pa.array(np.concatenate(own)), pa.array(np.concatenate([np.arange(len(w)) for w in own]))], ["key", "hash", "place"])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, "key long, hash long, place long")
 
 
+def _lengths(items: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([min(STRETCH, len(words_of(t))) for t in batch.column(0).to_pylist()], pa.int32())], ["n"])
+
+    return items.select("item_text").mapInArrow(run, "n int")
+
+
 def _by_shuffle(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
     """For test sets without a bound: windows are joined on their hash, then texts meet the items they hit."""
     at = docs.columns.index(text_col)
     numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
     listed = cut(items.withColumn("__item", F.monotonically_increasing_id()), "decontam-items")
     texts = numbered.where(F.col(text_col).isNotNull())
-    here = _hashed(texts.withColumn("__text", F.col(text_col).cast("string")), "__row", "__text", True).select(F.col("key").alias("row"), "hash", F.col("place").alias("p"))
-    there = _hashed(listed, "__item", "item_text", False).select(F.col("key").alias("item"), "hash", F.col("place").alias("q"))
+    # Lengths of items under STRETCH words, of which there are few, and their masks; longer items share theirs.
+    lengths = sorted({r[0] for r in _lengths(listed).distinct().collect()})
+    every = sorted({m for n in lengths for m in masks_for(n)})
+    here = _hashed(texts.withColumn("__text", F.col(text_col).cast("string")), "__row", "__text", lambda n: every).select(F.col("key").alias("row"), "hash", F.col("place").alias("p"))
+    there = _hashed(listed, "__item", "item_text", masks_for).select(F.col("key").alias("item"), "hash", F.col("place").alias("q"))
     hits = here.join(there, "hash").select("row", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
     pairs = hits.groupBy("row", "item").agg(F.collect_list("shift").alias("shifts"))
     pairs = pairs.join(listed, F.col("item") == F.col("__item")).join(texts.select(F.col("__row"), F.col(text_col).cast("string").alias("__text")), F.col("row") == F.col("__row"))
