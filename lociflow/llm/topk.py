@@ -18,25 +18,27 @@ from lociflow.shared import cut, ensure_importable
 CANDIDATES, QUERIES = 4096, 512
 #: Dimensions summed up between two rounds of compaction.
 STEP = 16
-#: Components of this size or more would overflow a 64-bit score.
-LARGEST = 1 << 26
+#: Scores count as the nearest numbers below this size, which a long holds.
+MOST = 1 << 63
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """``(id, v)``, one row for each id, components floored to integers."""
-    x = lambda v: F.floor(v.cast("double") * scale)
-    fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) * scale < LARGEST)
+    """``(id, v)``: the rows that take part, as doubles; those whose scaled components no double holds are left out too."""
+    fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("e")).where(F.col("id").isNotNull() & F.col("e").isNotNull())
     rows = rows.where(F.forall("e", lambda v: F.coalesce(fine(v), F.lit(False))))
-    return rows.select("id", F.transform("e", x).cast("array<int>").alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select("id", F.col("e").cast("array<double>").alias("v"))
 
 
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """``(dim, ids, block)``: vectors of equal length, dimension by dimension (little-endian 32-bit integers)."""
+def packed(rows: DataFrame, size: int, scale: int) -> DataFrame:
+    """``(dim, wide, ids, block)``: scaled and floored vectors of equal length, dimension by dimension (little-endian 32-bit
+    integers; ``wide``: doubles, which hold any floored double)."""
 
     def emit(dim, ids, parts):
-        block = np.stack(parts).astype("<i4") if dim else np.empty((len(ids), 0), "<i4")
-        return pa.record_batch([pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([block.T.tobytes()], pa.binary())], ["dim", "ids", "block"])
+        block = np.floor(np.stack(parts) * scale) if dim else np.empty((len(ids), 0))
+        wide = bool((np.abs(block) >= 1 << 31).any())
+        block = block.T.astype("<f8" if wide else "<i4").tobytes()
+        return pa.record_batch([pa.array([dim], pa.int32()), pa.array([wide]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([block], pa.binary())], ["dim", "wide", "ids", "block"])
 
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
@@ -54,7 +56,7 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
         for dim, (ids, parts) in held.items():
             yield emit(dim, ids, parts)
 
-    return rows.mapInArrow(run, "dim int, ids binary, block binary")
+    return rows.mapInArrow(run, "dim int, wide boolean, ids binary, block binary")
 
 
 class Search:
@@ -68,12 +70,15 @@ class Search:
     @staticmethod
     def _norms(block: np.ndarray) -> np.ndarray:
         """Norm of what is left from each step on; a little more than exact, so a bound stays one."""
-        squares = block.astype(np.float64) ** 2
+        with np.errstate(over="ignore"):  # an infinite norm bounds too; blocks that have one are searched without bounds
+            squares = block.astype(np.float64) ** 2
         tails = [np.sqrt(squares[d:].sum(0)) * (1 + 1e-9) for d in range(0, max(len(block), 1), STEP)]
         return np.stack([*tails, np.zeros(block.shape[1])])
 
     def show(self, ids: np.ndarray, block: np.ndarray) -> None:
         size = float(np.abs(block).max(initial=0)) * float(np.abs(self.q).max(initial=0)) * max(len(block), 1)
+        if not size < 2**62:
+            return self._show_large(ids, block)
         kind = np.float64 if size < 2**53 else np.int64  # exact either way
         c, q, left = block.astype(kind), self.q.astype(kind), self._norms(block)
         first = q[:STEP].T @ c[:STEP]
@@ -84,7 +89,8 @@ class Search:
             least = scores.min() if len(scores) >= self.k else None
             for step, d in enumerate(range(STEP, len(block), STEP), 1):
                 if least is not None:
-                    keep = score + self.left[step, n] * left[step, alive] + 1e-6 >= least
+                    bound = score + self.left[step, n] * left[step, alive]
+                    keep = bound + 1e-6 + 1e-12 * np.abs(bound) >= least
                     alive, score = alive[keep], score[keep]
                 if not len(alive):
                     break
@@ -92,12 +98,21 @@ class Search:
             if len(alive):
                 self.best[n] = self._cut(np.concatenate([scores, score.astype(np.int64)]), np.concatenate([names, ids[alive]]))
 
+    def _show_large(self, ids: np.ndarray, block: np.ndarray) -> None:
+        """For components whose products 64 bits may not hold: whole numbers of any size, without bounds."""
+        whole = np.vectorize(int, otypes=[object])
+        found = np.vectorize(lambda x: max(-MOST, min(MOST - 1, x)), otypes=[np.int64])(whole(self.q).T @ whole(block))
+        for n, own in enumerate(self.ids):
+            alive = np.flatnonzero(ids != own)
+            scores, names = self.best[n]
+            self.best[n] = self._cut(np.concatenate([scores, found[n, alive]]), np.concatenate([names, ids[alive]]))
+
     def _cut(self, scores: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(scores) > self.k:
             kth = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
             near = scores >= kth
             scores, names = scores[near], names[near]
-        top = np.lexsort((names, -scores))[: self.k]
+        top = np.lexsort((names, ~scores))[: self.k]
         return scores[top], names[top]
 
 
@@ -105,19 +120,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """``(query_id, rank, vec_id, score)``: for each row that ``is_query`` picks, the ``k`` other rows with the highest
     inner product of ``floor(scale * x)``; fewer where there are fewer. Ties go to the smaller id.
 
-    Null ids, null vectors and vectors with a null or non-finite component, or one of 2**26 / scale or more,
-    take no part. An id that is repeated stands for one row, the one with the least vector. Only vectors of
-    equal length are compared; empty vectors score 0 among themselves. No queries, no rows. Further columns
-    play no part.
+    Null ids, null vectors and vectors with a null or non-finite component take no part. Rows that repeat an id are
+    candidates each by themselves, and none is a candidate of its own id; the best of all rows of a query's id are
+    ranked together. Scores are summed exactly; one that no long holds counts as the long nearest to it.
+    Only vectors of equal length are compared; empty vectors score 0 among themselves. No queries, no rows. Further
+    columns play no part.
 
     Both sides are packed and written; the blocks of queries meet the blocks of candidates, so no side needs
     to fit in memory, and each pair of blocks sends on ``k`` rows a query.
     """
     ensure_importable(vectors.sparkSession)
-    rows = usable(vectors, id_col, vec_col, scale)
-    queries = rows.join(vectors.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
-    asked = cut(packed(queries, QUERIES), "queries").select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("block").alias("q_block"))
-    there = cut(packed(rows, CANDIDATES), "candidates")
+    queries = usable(vectors.where(is_query), id_col, vec_col, scale)
+    asked = cut(packed(queries, QUERIES, scale), "queries").select(*(F.col(c).alias(f"q_{c}") for c in ("dim", "wide", "ids", "block")))
+    there = cut(packed(usable(vectors, id_col, vec_col, scale), CANDIDATES, scale), "candidates")
     # A grid: blocks of candidates in rows, of queries in columns; each cell is a join key of its own.
     down, across = (-(-x.count() // n) or 1 for x, n in ((there, 16), (asked, 2)))
     deal = lambda ids, n: F.pmod(F.xxhash64(ids), F.lit(n)).cast("int")
@@ -127,7 +142,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     pairs = there.join(asked, (F.col("dim") == F.col("q_dim")) & (F.col("r") == F.col("q_r")) & (F.col("c") == F.col("q_c")))
 
     def run(batches):
-        searches: dict[bytes, Search] = {}
+        searches: dict[tuple, Search] = {}
 
         def told():
             for s in searches.values():
@@ -140,15 +155,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
         for batch in batches:
             for row in batch.to_pylist():
-                shape = lambda ids: (row["dim"], len(ids))
-                ids = np.frombuffer(row["ids"], "<i8")
-                own = np.frombuffer(row["q_ids"], "<i8")
-                key = row["q_ids"]
+                ids, own = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+                block_of = lambda name, ids: np.frombuffer(row[f"{name}block"], "<f8" if row[f"{name}wide"] else "<i4").reshape(row["dim"], len(ids))
+                key = row["q_ids"], row["q_block"]
                 if key not in searches:
                     if len(searches) == 32:
                         yield from told()
-                    searches[key] = Search(own, np.frombuffer(row["q_block"], "<i4").reshape(shape(own)), k)
-                searches[key].show(ids, np.frombuffer(row["block"], "<i4").reshape(shape(ids)))
+                    searches[key] = Search(own, block_of("q_", own), k)
+                searches[key].show(ids, block_of("", ids))
         yield from told()
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
