@@ -20,8 +20,10 @@ from lociflow.shared import cut, ensure_importable
 DIMENSIONS, GRAM = 1024, 3
 #: Prototypes are broadcast up to this many languages; more raise an error, for nothing bounds their size.
 MOST_LANGUAGES = 2048
-#: Vectors of n-grams remembered by a worker; with more met, it begins anew.
+#: Vectors of n-grams, and of letters, remembered by a worker; with more met, it begins anew.
 KEEP = 24_000
+#: Distinct n-grams whose counts and vectors are multiplied at a time.
+SLICE = 4096
 #: Between words; no letter has this number.
 GAP = 0
 
@@ -39,6 +41,8 @@ class Profiles:
 
     def _of_letter(self, code: int) -> np.ndarray:
         if code not in self.letter:
+            if len(self.letter) >= KEEP:
+                self.letter = {}
             draw = np.random.Generator(np.random.PCG64([self.seed, code]))
             self.letter[code] = (2 * draw.integers(0, 2, self.d, dtype=np.int8) - 1).astype(np.int8)
         return self.letter[code]
@@ -60,7 +64,7 @@ class Profiles:
         return self.table[np.fromiter(map(self.place.__getitem__, grams.tolist()), np.int64, len(grams))]
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(owner, gram, vector)``: for each n-gram of each text the text, the n-gram's number among the distinct ones, and their vectors.
+        """``(owner, gram, names)``: for each n-gram of each text the text and the n-gram's number among the distinct ones, and these.
 
         Texts are lower-cased; what is no letter parts words, and each word is taken with a gap at either end. An
         n-gram lies within a word and its gaps.
@@ -76,11 +80,11 @@ class Profiles:
             self.is_letter = np.array([chr(i).isalpha() for i in range(int(code.max()) + 1)])
         letter = self.is_letter[code]
         code = np.where(letter, code, GAP)
-        keep = letter | np.concatenate([[True], letter[:-1]])  # one gap for a run
+        keep = letter | np.concatenate([[True], letter[:-1] | (own[1:] != own[:-1])])  # one gap for a run, and one before each text
         code, own, letter = code[keep], own[keep], letter[keep]
         n = len(code) - self.gram + 1
         if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, self.d), np.int8)
+            return (np.empty(0, np.int64),) * 3
         gram = np.zeros(n, np.int64)
         fine = (own[:n] == own[self.gram - 1 :]) & (letter[:n] | letter[1 : n + 1])
         for k in range(self.gram):
@@ -88,17 +92,23 @@ class Profiles:
             if 0 < k < self.gram - 1:
                 fine &= letter[k : k + n]
         names, which = np.unique(gram[fine], return_inverse=True)
-        return own[:n][fine], which, self._of_grams(names)
+        return own[:n][fine], which, names
 
     def bundles(self, texts: list[str | None], owner: np.ndarray | None = None, n: int | None = None) -> np.ndarray:
         """One vector for each text, or for each of ``n`` owners of the texts; whole numbers."""
-        of, which, vectors = self.counts(texts)
+        of, which, names = self.counts(texts)
         n = len(texts) if n is None else n
         of = of if owner is None else owner[of]
-        if not len(of):
-            return np.zeros((n, self.d), np.float32)
-        held = np.bincount(of * len(vectors) + which, minlength=n * len(vectors)).reshape(n, -1)
-        return held.astype(np.float32) @ vectors.astype(np.float32)
+        out = np.zeros((n, self.d), np.float32)
+        if len(names) > SLICE:
+            order = np.argsort(which, kind="stable")
+            of, which = of[order], which[order]
+        for b in range(0, len(names), SLICE):
+            i, j = np.searchsorted(which, [b, b + SLICE]) if len(names) > SLICE else (0, len(which))
+            vectors = self._of_grams(names[b : b + SLICE])
+            held = np.bincount(of[i:j] * len(vectors) + which[i:j] - b, minlength=n * len(vectors)).reshape(n, -1)
+            out += held.astype(np.float32) @ vectors.astype(np.float32)
+        return out
 
 
 def small_portions(texts):
