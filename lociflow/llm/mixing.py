@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.shared import cut
+
 #: A mean above this is the sum of equal parts of at most this, each inverted with a number of its own.
 PART = 8.0
 #: Counts beyond this have probability under 1e-18 for a mean of PART, less than a step of the uniform numbers.
@@ -69,7 +71,8 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", mas
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     table = rates(docs, source_col, F.lit(1) if mass is None else mass, weights)
     table = table.select(F.col("mix_source").alias("__source"), F.col("rate").alias("__rate"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    if docs.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    table = cut(table, "mix-rates")
+    if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     joined = docs.join(table, docs[source_col].eqNullSafe(F.col("__source")))
     # The count is how many values of the distribution function are at most u.
@@ -78,7 +81,11 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", mas
     single = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
     several = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, i: acc + one(i))
     counted = joined.withColumn("__u", u).withColumn("__n", F.when(F.col("__parts") == 1, single).otherwise(several))
-    copies = counted.where("__n > 0").select(*docs.columns, F.col("__rate").alias("mix_rate"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy"))
+    # In two steps, so that no array of a row grows with the rate beyond its square root.
+    side = F.ceil(F.sqrt("__n")).cast("int")
+    blocks = counted.where("__n > 0").select(*docs.columns, F.col("__rate").alias("mix_rate"), "__n", F.explode(F.sequence(F.lit(0), F.col("__n") - 1, side)).alias("__first"))
+    last = F.least(F.col("__n"), F.col("__first") + side) - 1
+    copies = blocks.select(*docs.columns, "mix_rate", F.explode(F.sequence("__first", last)).alias("mix_copy"))
     out = copies.withColumn("mix_order", uniform(F.lit(seed + 1), F.col(id_col), F.col("mix_copy")))
     return out.orderBy("mix_order", id_col, "mix_copy") if shuffle else out
 
