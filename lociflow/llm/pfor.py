@@ -25,11 +25,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.llm.encoding import encoder, portions
-from lociflow.shared import ensure_importable, fresh_path
+from lociflow.shared import cut, ensure_importable, fresh_path
 
 MAGIC = b"LFPFOR01"
 HEAD = np.dtype([("low", "<u4"), ("n", "<u2"), ("odd", "<u2"), ("width", "u1")])
@@ -190,13 +190,14 @@ def read_file(content: bytes):
         begin = end
 
 
-def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, share: float = 0.9) -> list[dict]:
+def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, share: float = 0.9) -> DataFrame:
     """Encode whole texts and write files under ``folder`` (a URI that pyarrow can write), documents in
     ascending id order from file to file.
 
     Null ids come first, rows that repeat an id stand in order of their text's hash, a null or empty text
-    has just the end id. An empty table gives no files. Returns the files in order: ``file``, ``docs``,
-    ``ids`` and ``start``, the ids in the files before it.
+    has just the end id. An empty table gives no files. Returns a row for each file: ``file``, ``docs``,
+    ``ids`` and ``start``, the ids in the files before it. Starts are summed within a range of documents and
+    then, in one task, over the ranges.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
@@ -223,12 +224,13 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None =
         if writer is not None:
             yield _row(writer)
 
-    found = dealt.mapInArrow(run, "file string, docs long, ids long").collect()  # one row for each file
-    files, start = [], 0
-    for r in sorted(found, key=lambda r: r["file"]):
-        files.append(r.asDict() | {"start": start})
-        start += r["ids"]
-    return files
+    found = cut(dealt.mapInArrow(run, "file string, docs long, ids long"), "token-files")
+    found = found.withColumn("range", F.substring("file", 5, 8))
+    zero = F.lit(0).cast("long")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = found.groupBy("range").agg(F.sum("ids").alias("n")).select("range", F.coalesce(F.sum("n").over(before), zero).alias("before"))
+    within = Window.partitionBy("range").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return found.join(ranges, "range").select("file", "docs", "ids", (F.col("before") + F.coalesce(F.sum("ids").over(within), zero)).alias("start"))
 
 
 def _row(writer: Writer) -> pa.RecordBatch:
@@ -236,19 +238,19 @@ def _row(writer: Writer) -> pa.RecordBatch:
     return pa.record_batch([pa.array([writer.final.rsplit("/", 1)[1]]), pa.array([docs], pa.int64()), pa.array([ids], pa.int64())], ["file", "docs", "ids"])
 
 
-def read_ids(spark, folder: str, files: list[dict], digest: bool = False) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` of each document in the files, or its CRC-32 in place of the ids."""
-    start_of = {f["file"]: f["start"] for f in files}
+def read_ids(folder: str, files: DataFrame, digest: bool = False) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids)`` of each document in the files that ``write_ids`` returned, or its CRC-32 in place
+    of the ids. Each file is opened where its row is; no files, no rows."""
     kind = "ids_crc32 long" if digest else "ids array<long>"
-    schema = f"doc_id long, start long, n_tokens long, {kind}"
-    if not files:
-        return spark.createDataFrame([], schema)
 
     def run(batches):
+        fs, root = filesystem(folder)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                start, rows = start_of[path.rsplit("/", 1)[1]], []
-                for doc_id, ids in read_file(content.as_py()):
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with fs.open_input_stream(f"{root}/{name}") as f:
+                    content = f.read()
+                rows = []
+                for doc_id, ids in read_file(content):
                     rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()) if digest else ids))
                     start += len(ids)
                     if len(rows) >= (4096 if digest else 64):
@@ -257,8 +259,8 @@ def read_ids(spark, folder: str, files: list[dict], digest: bool = False) -> Dat
                 if rows:
                     yield _docs(rows, digest)
 
-    stored = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.pfor").load(folder).select("path", "content")
-    return stored.mapInArrow(run, schema)
+    listed = cut(files.select("file", "start"), "token-starts")
+    return listed.repartition(max(1, listed.count())).mapInArrow(run, f"doc_id long, start long, n_tokens long, {kind}")
 
 
 def _docs(rows: list, digest: bool) -> pa.RecordBatch:
@@ -277,7 +279,7 @@ def digest_of(docs: DataFrame) -> DataFrame:
     """Written to the shared folder and read back."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "token-ids")
-    return read_ids(spark, folder, write_ids(docs, default_tokenizer(), folder), digest=True)
+    return read_ids(folder, write_ids(docs, default_tokenizer(), folder), digest=True)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lociflow.llm import decontam as D
+from lociflow.llm import language_id as G
 from lociflow.llm import lengths as L
 from lociflow.llm import pfor as P
 from lociflow.llm.encoding import Encoder
@@ -52,6 +53,17 @@ def test_files_hold_all_documents_in_order(spark, odd, empty, ids_of):
     assert P.digest_of(empty).count() == 0
 
 
+def test_ids_are_read_back(spark, odd, empty, ids_of, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "FILE_IDS", 40)  # several files in a range
+    files = P.write_ids(odd, P.default_tokenizer(), f"file://{tmp_path}/a", end_id=None)
+    got = P.read_ids(f"file://{tmp_path}/a", files).collect()
+    assert files.count() > 3 and sum(f["ids"] for f in files.collect()) == sum(r["n_tokens"] for r in got)
+    assert sorted((repr(r["doc_id"]), r["ids"]) for r in got) == sorted((repr(r["doc_id"]), ids_of(r["text"])) for r in odd.collect())
+    order = sorted(got, key=lambda r: (r["start"], r["n_tokens"]))
+    assert [r["start"] for r in order] == [0, *np.cumsum([r["n_tokens"] for r in order])[:-1].tolist()]
+    assert P.read_ids(f"file://{tmp_path}/b", P.write_ids(empty, P.default_tokenizer(), f"file://{tmp_path}/b")).count() == 0
+
+
 def test_length_sums(spark, odd, empty, ids_of):
     hist = L.length_histogram(odd, P.default_tokenizer())
     n = [len(ids_of(r["text"])) for r in odd.collect()]
@@ -62,7 +74,10 @@ def test_length_sums(spark, odd, empty, ids_of):
     limits = {r["context"]: (r["docs_over"], r["tokens_total"], r["tokens_kept"]) for r in L.truncated_totals(hist, [5, 10**9]).collect()}
     assert limits == {5: (sum(k > 5 for k in n), sum(n), sum(min(k, 5) for k in n)), 10**9: (0, sum(n), sum(n))}
     assert L.quantiles(L.suffix_sums(hist), [0.5]).first()["length"] == sorted(n)[-(-len(n) // 2) - 1]
-    assert L.suffix_sums(L.length_histogram(empty, P.default_tokenizer())).count() == 0
+    none = L.length_histogram(empty, P.default_tokenizer())
+    assert L.suffix_sums(none).count() == 0
+    assert [tuple(r) for r in L.quantiles(L.suffix_sums(none), [0.5]).collect()] == [(0.5, None)]
+    assert [tuple(r) for r in L.truncated_totals(none, [5]).collect()] == [(5, 0, 0, 0)]
 
 
 def test_gradient_and_total_probability():
@@ -118,16 +133,36 @@ def test_scores(spark, some, odd, empty):
     assert score_documents(empty, F.lit(True)).count() == 0
 
 
-def test_languages(spark, some, odd, empty):
+def test_languages(spark, some, odd, empty, monkeypatch):
     learn = some.where(remainder(F.col("doc_id"), 4) != 2)
     langs, protos = prototypes(learn, "text", "lang")
     assert langs == ["de", "en", "es", "fr"]
+    # A bundle is the sum of its n-grams' bound vectors, whatever the slices, and prototypes are sums of bundles.
+    letter = lambda ch: 2 * np.random.Generator(np.random.PCG64([7, ord(ch)])).integers(0, 2, 1024, dtype=np.int8).astype(int) - 1
+    gap = 2 * np.random.Generator(np.random.PCG64([7, 0])).integers(0, 2, 1024, dtype=np.int8).astype(int) - 1
+
+    def brute(text):
+        total = np.zeros(1024, int)
+        for word in "".join(ch if ch.isalpha() else " " for ch in (text or "").lower()).split():
+            vs = [gap, *map(letter, word), gap]
+            for k in range(len(vs) - 2):
+                total += np.roll(vs[k], 2) * np.roll(vs[k + 1], 1) * vs[k + 2]
+        return total
+
+    texts = [r["text"] for r in some.where("length(text) < 3000").limit(12).collect()] + [None, "", "a", "ab  12 c"]
+    for size in (4096, 50):
+        monkeypatch.setattr(G, "SLICE", size)
+        assert np.array_equal(G.Profiles().bundles(texts), np.array([brute(t) for t in texts], np.float32))
+    sums = {x: sum(brute(r["text"]) for r in learn.where(F.col("lang") == x).collect()) for x in ("de", "fr")}
+    assert all(np.array_equal(protos[langs.index(x)], v) for x, v in sums.items())
     held = identify(some.where(remainder(F.col("doc_id"), 4) == 2), langs, protos).collect()
     right = sum(r["lang"] == r["lang_pred"] for r in held)
     assert right >= 0.97 * len(held) and all(0 <= r["score"] <= 1 for r in held)
     out = {r["doc_id"]: r for r in identify(odd, langs, protos).collect()}
     assert [out[k]["lang_pred"] for k in (3, 4, 5, 11)] == ["und"] * 4 and out[1]["lang_pred"] in langs
     assert identify(empty, langs, protos).count() == 0
+    many = " ".join(chr(0x4E00 + k % 20000) + chr(0x4E00 + k // 5 % 20000) for k in range(200_000))
+    assert identify(spark.createDataFrame([(1, many)], "doc_id long, text string"), langs, protos).first()["lang_pred"] in langs
     none = prototypes(empty, "text", "lang")
     assert {r["lang_pred"] for r in identify(odd, *none).collect()} == {"und"}
 
@@ -148,7 +183,7 @@ def brute_held(text, item):
 @pytest.mark.parametrize("shuffle", [False, True])
 def test_passages(spark, odd, empty, monkeypatch, shuffle):
     if shuffle:
-        monkeypatch.setattr(D, "BROADCAST_WORDS", -1)
+        monkeypatch.setattr(D, "BROADCAST_BYTES", -1)
     item = [f"q{k}" for k in range(20)]
     worn = item.copy()
     worn[3], worn[11], worn[16] = "x", "y", "z"
@@ -168,3 +203,22 @@ def test_masks_find_two_replacements_in_thirteen_words():
 
     for gone in combinations(range(D.STRETCH), 2):
         assert any(all(p + o not in gone for o in D.mask_offsets(m)) for m in D.MASKS for p in range(D.STRETCH - len(m) + 1))
+
+
+@pytest.mark.parametrize("n", range(1, 21))
+def test_no_placement_of_replaced_words_is_missed(n):
+    from itertools import combinations
+
+    item = D.Hasher()([f"w{k}" for k in range(n)])
+    index, wrong = D.Index({0: item}), n - -(-4 * n // 5)
+    others = D.Hasher()([f"x{k}" for k in range(n + 5)])
+    for gone in combinations(range(1, n - 1), min(wrong, 3)):
+        text = np.concatenate([others[:3], item, others[:2]])
+        text[[3 + g for g in gone]] = others[list(gone)]
+        held = any(D.overlap(text, item, shift) for _, shift in index.candidates(text))
+        assert held == bool(D.overlap(text, item, 3)), gone
+    if n < D.STRETCH:
+        for gone in combinations(range(1, n - 1), wrong):
+            text = item.copy()
+            text[list(gone)] = others[list(gone)]
+            assert any(D.overlap(text, item, shift) for _, shift in index.candidates(text)), gone
