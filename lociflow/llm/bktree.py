@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+#: All edges shorter than the index, as bits.
+_BELOW = np.array([(1 << k) - 1 for k in range(65)], np.uint64)
 #: Pairs of query and node looked at in one step; bounds the memory of a search.
 FRONTIER = 1 << 19
 
@@ -22,7 +24,8 @@ def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Forest:
     """Trees over ``prints`` (uint64), one for each value of ``keys``; equal prints of a key hang together
-    by an edge of length 0. ``order`` lists the nodes grouped by parent and sorted by edge."""
+    by an edge of length 0. ``order`` lists the nodes grouped by parent and sorted by edge; a node's children
+    are there from ``start`` to ``end``, and ``edges`` has a bit for each edge below 64 that it has."""
 
     def __init__(self, keys: np.ndarray, prints: np.ndarray):
         n = len(prints)
@@ -42,7 +45,14 @@ class Forest:
             rest = below != waiting
             waiting, at = waiting[rest], below[rest]
         self.order = np.lexsort((edge, parent))
-        self.code = (parent * 65 + edge)[self.order]
+        size = np.bincount(parent[parent >= 0], minlength=n)
+        self.end = np.cumsum(size) + n - int(size.sum())  # the roots come first
+        self.start = self.end - size
+        self.edges = np.zeros(n, np.uint64)
+        some = np.flatnonzero(size)
+        if len(some):
+            bits = np.where(edge < 64, np.uint64(1) << np.minimum(edge, 63).astype(np.uint64), np.uint64(0))
+            self.edges[some] = np.bitwise_or.reduceat(bits[self.order], self.start[some])
 
     def neighbours(self, radius: int):
         """Yields arrays ``(i, j)``, j before i, of pairs under the same key within the radius."""
@@ -60,8 +70,9 @@ class Forest:
                 hit = (far <= radius) & (node < query)
                 if hit.any():
                     yield query[hit], node[hit]
-                low = np.searchsorted(self.code, node * 65 + np.maximum(far - radius, 0))
-                high = np.searchsorted(self.code, node * 65 + np.minimum(far + radius, 64), "right")
+                edges, start = self.edges[node], self.start[node]
+                low = start + np.bitwise_count(edges & _BELOW[np.maximum(far - radius, 0)])
+                high = np.where(far + radius >= 64, self.end[node], start + np.bitwise_count(edges & _BELOW[np.minimum(far + radius + 1, 64)]))
                 owner, place = _expand(low, high)
                 if len(owner):
                     stack.append((query[owner], self.order[place]))
@@ -86,6 +97,31 @@ class Union:
                 self.label = up
 
 
+class Sets:
+    """Disjoint sets over 0 .. n-1, joined one pair at a time."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart; the smaller root names the set."""
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+    def labels(self) -> np.ndarray:
+        return np.array([self.root(x) for x in range(len(self.up))], np.int64)
+
+
 def spanning_links(keys: np.ndarray, prints: np.ndarray, radius: int, names: np.ndarray | None = None, more: np.ndarray | None = None, whole: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the same prints as all pairs within the radius under a common key do: one for each
     print that isn't the first of its set, so never more than there are prints.

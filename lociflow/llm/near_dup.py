@@ -8,6 +8,7 @@ would have no size bound; here a shard's trees are built and searched where the
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -16,7 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.bktree import Forest, Union, spanning_links
+from lociflow.llm.bktree import Forest, Sets, spanning_links
+from lociflow.llm.encoding import portions
 from lociflow.llm.text import ascii_words, shingle_hashes
 from lociflow.operators.components import connected_components
 from lociflow.shared import cut, ensure_importable
@@ -26,28 +28,46 @@ BITS = 64
 PER_KEY = 64
 
 
-def _majority(hashes: np.ndarray) -> int:
-    ones = np.zeros(BITS, np.int64)
-    for begin in range(0, len(hashes), 1 << 16):
-        part = hashes[begin : begin + (1 << 16)].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+#: Bytes n as eight lanes of one bit each, so that up to 255 of them can be added up.
+_LANES = np.array([sum((n >> k & 1) << 8 * k for k in range(8)) for n in range(256)], np.uint64)
+#: Hashes whose bits are added up at a time.
+_AT_ONCE = 1 << 15
+
+
+def majorities(hashes: list[np.ndarray], words64: int = 1) -> np.ndarray:
+    """For each array of hashes ``words64`` 64-bit words: a bit is 1 if it is set in over half the hashes. Further words are
+    made from the same hashes, each hashed once again. No hashes: 0."""
+    out = np.zeros((len(hashes), words64), np.uint64)
+    some = [i for i, h in enumerate(hashes) if len(h)]
+    size = np.array([len(hashes[i]) for i in some], np.int64)
+    # Lanes hold 255, so longer arrays are added up in parts.
+    parts = -(-size // 255)
+    owner = np.repeat(np.arange(len(some)), parts)
+    piece = 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) + np.repeat(np.cumsum(size) - size, parts)
+    h = np.concatenate([hashes[i] for i in some]) if some else np.empty(0, np.uint64)
+    ends, first = np.append(piece[1:], len(h)), np.cumsum(parts) - parts
+    for n in range(words64 if some else 0):
+        ones = np.empty((len(piece), 64), np.uint8)
+        b = 0
+        while b < len(piece):
+            e = max(b + 1, int(np.searchsorted(ends, piece[b] + _AT_ONCE, "right")))
+            own = np.ascontiguousarray(h[piece[b] : ends[e - 1]].astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)
+            ones[b:e] = np.add.reduceat(_LANES[own], piece[b:e] - piece[b], axis=0).astype("<u8").view(np.uint8).reshape(-1, 64)
+            b = e
+        whole = np.add.reduceat(ones, first, axis=0, dtype=np.int32) if len(first) < len(piece) else ones.astype(np.int32)
+        out[some, n] = np.packbits(2 * whole > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return out
 
 
 def simhash(words: list[bytes], k: int) -> int:
     """64 bits; a bit is 1 if it is set in over half the hashes of the ``k``-word shingles. No words: 0."""
-    hashes = shingle_hashes(words, k)
-    return _majority(hashes) if len(hashes) else 0
+    return int(majorities([shingle_hashes(words, k)])[0, 0])
 
 
-def wide_simhash(words: list[bytes], k: int, words64: int) -> np.ndarray:
-    """``simhash`` of the distinct shingles and further 64-bit words, each from the same shingles hashed once again."""
-    hashes, out = np.unique(shingle_hashes(words, k)), np.zeros(words64, np.uint64)
-    for n in range(words64 if len(hashes) else 0):
-        out[n] = _majority(hashes)
-        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        hashes = hashes ^ (hashes >> np.uint64(29))
-    return out
+def distinct_shingles(words: list[bytes], k: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words, k))
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -56,8 +76,10 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> Da
 
     def run(batches):
         for batch in batches:
-            prints = [simhash(ascii_words(x), k) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "fp"])
+            texts, prints = batch.column(1).to_pylist(), [np.empty(0, np.uint64)]
+            for b, e in portions(texts):
+                prints.append(majorities([shingle_hashes(ascii_words(x), k) for x in texts[b:e]])[:, 0])
+            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(prints).view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
@@ -172,27 +194,37 @@ def _loose_links(groups: DataFrame, count: int) -> DataFrame:
     return keyed.repartition(shards, "key").mapInArrow(run, "a long, b long").distinct()
 
 
-def _wide_links(groups: DataFrame, count: int) -> DataFrame:
-    """Links within REACH of wide prints, the nearest pairs of a key first, one for each print that hangs on another."""
-    keyed = groups.select("node", "fp", "wide", F.explode(sampled_keys(F.col("fp"), count, SAMPLED)).alias("key"))
-    shards = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 20_000)
+def _wide_links(members: DataFrame, count: int, forests: int) -> DataFrame:
+    """``(a, b)``: links within REACH of wide prints between nodes of different ``label``, the nearest pairs of a key first.
+
+    Within a key the first forest takes a pair whose ends it doesn't connect yet, else the second does, and so on; a
+    pair that all ``forests`` connect is left out, and so is one that a node's ``failed`` names.
+    """
+    keyed = members.select("node", "fp", "wide", "label", "failed", F.explode(sampled_keys(F.col("fp"), count, SAMPLED)).alias("key"))
+    shards = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 20_000)
 
     def run(batches):
-        found = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(3).to_numpy()) for b in batches]
+        found = [(*(b.column(k).to_numpy() for k in (0, 1, 3, 5)), b.column(2).to_pylist(), b.column(4).to_pylist()) for b in batches]
         if not found:
             return
-        node, fp, keys = (np.concatenate([f[k] for f in found]) for k in (0, 1, 3))
-        wide = np.frombuffer(b"".join(x for f in found for x in f[2]), "<u8").reshape(-1, WIDE)
+        node, fp, label, keys = (np.concatenate([f[k] for f in found]) for k in range(4))
+        wide = np.frombuffer(b"".join(x for f in found for x in f[4]), "<u8").reshape(-1, WIDE)
+        failed = [set(x) if x else () for f in found for x in f[5]]
+        order = np.lexsort((label, keys))
+        again = np.flatnonzero((keys[order][1:] == keys[order][:-1]) & (label[order][1:] == label[order][:-1])) + 1
+        sets, links = [Sets(len(node)) for _ in range(forests)], []
+        for s in sets:  # what hangs together already does so in every forest
+            for x, y in zip(order[again].tolist(), order[again - 1].tolist()):
+                s.join(x, y)
         _, tree, size = np.unique(keys, return_inverse=True, return_counts=True)
         some = np.flatnonzero(size[tree] > 1)
-        sets, links = Union(len(node)), []
         for i, j in Forest(keys[some], fp[some].view(np.uint64)).neighbours(LOOSE) if len(some) else ():
             i, j = some[i], some[j]
             far = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
-            order = np.argsort(far, kind="stable")
-            for x, y in zip(*(z[order][far[order] <= REACH].tolist() for z in (i, j))):
-                if sets.label[x] != sets.label[y]:
-                    sets.add(np.array([x]), np.array([y]))
+            far[label[i] == label[j]] = REACH + 1
+            order = np.argsort(far, kind="stable")[: int((far <= REACH).sum())]
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                if (not failed[x] or node[y] not in failed[x]) and any(s.join(x, y) for s in sets):
                     links.append((node[x], node[y]))
         if links:
             a, b = zip(*links)
@@ -202,20 +234,53 @@ def _wide_links(groups: DataFrame, count: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Of ``(node, lead, text, lead_text)`` the ``node`` and ``lead`` whose texts' sets of shingles have that Jaccard similarity."""
+    """``(node, lead, held)`` of ``(node, lead, text, lead_text)``: whether the texts' sets of shingles have that Jaccard similarity."""
 
     def run(batches):
+        set_of = lru_cache(64)(lambda text: distinct_shingles(ascii_words(text), k))
         for batch in batches:
-            node, lead, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for n, m, a, b in zip(node, lead, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = (np.unique(shingle_hashes(ascii_words(t), k)) for t in (a, b))
+            held = []
+            for a, b in zip(batch.column(2), batch.column(3)):  # texts one at a time: a batch may hold many long ones
+                x, y = set_of(a.as_py()), set_of(b.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both):
-                    rows.append((n, m))
-            if rows:
-                yield pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["node", "lead"])
+                held.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(held, pa.bool_())], ["node", "lead", "held"])
 
-    return pairs.select("node", "lead", "text", "lead_text").mapInArrow(run, "node long, lead long")
+    return pairs.select("node", "lead", "text", "lead_text").mapInArrow(run, "node long, lead long, held boolean")
+
+
+def _links_that_hold(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``(node, lead)``: links of ``similarity`` that connect the ``members`` just as all pairs under a common key and within
+    REACH that have it do.
+
+    A link that doesn't hold may have kept another pair of the same sets from being looked at. So the families in which
+    one failed are searched again, between what is not connected yet and without the pairs that failed, with twice as
+    many forests each time, until nothing fails or no pair is left.
+    """
+    nodes = lambda df, *cols: reduce(DataFrame.unionByName, [df.select(F.col(c).alias("node")) for c in cols]).distinct()
+    none = F.lit(None).cast("array<long>")
+    now, checked, forests = members.withColumn("label", F.col("node")).withColumn("failed", none), None, 1
+    while True:
+        links = cut(_wide_links(now, max(1, now.count()), forests), "wide-links")
+        # One text for each print that has a link, its document's with the smallest id.
+        linked = members.select("node", "id", "tie").join(nodes(links, "a", "b"), "node")
+        held = cut(texts.join(linked, ["id", "tie"]).groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
+        pairs = links.select(F.col("a").alias("node"), F.col("b").alias("lead")).join(held, "node").join(held.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
+        new = cut(_verified(pairs, k, similarity), "verified")
+        checked = new if checked is None else cut(checked.unionByName(new), "verified")
+        if new.where("not held").isEmpty():
+            return checked.where("held").select("node", "lead")
+        family = connected_components(checked, "node", "lead").withColumnRenamed("component", "family")
+        again = new.where("not held").select("node").join(family, "node").select("family").distinct()
+        label = connected_components(checked.where("held"), "node", "lead").withColumnRenamed("component", "label")
+        both = checked.where("not held").select("node", F.col("lead").alias("other"))
+        both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other")))
+        failed = both.groupBy("node").agg(F.collect_set("other").alias("failed"))
+        now = members.join(family.join(again, "family", "left_semi").select("node"), "node", "left_semi").join(label, "node", "left").join(failed, "node", "left")
+        now = cut(now.withColumn("label", F.coalesce("label", "node")), "failed-families")
+        if forests == 1:
+            texts = cut(texts.join(now.select("id", "tie").distinct(), ["id", "tie"], "left_semi"), "family-texts")
+        forests *= 2
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -223,10 +288,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Prints that lie loosely near another in 128 bits are linked where their wide prints (512 bits) are near; a link
     holds if the texts share ``similarity`` of their sets of ``k``-word shingles, and groups are what links that hold
-    connect. Links are found under keys of sampled bits, the nearest first, and no more than connect a key's prints.
-    Texts with equal sets of shingles are one group, those with equal prints only if they share enough; all texts without words have print 0 and are one group. A null id
-    counts as the largest. Rows that repeat an id stay if it is the smallest of any group; of those with equal texts
-    one stays. An empty table gives an empty one.
+    connect. Links are found under keys of sampled bits, the nearest first; families with one that doesn't hold are
+    searched again until nothing changes. Texts with equal sets of shingles are one group, those with equal prints only
+    if they share enough; all texts without words have print 0 and are one group. A null id counts as the largest. Rows
+    that repeat an id stay if it is the smallest of any group; of those with equal texts one stays. An empty table gives
+    an empty one.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
@@ -234,30 +300,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for batch in batches:
-            words = [ascii_words(x) for x in batch.column(1).to_pylist()]
-            own = np.array([wide_simhash(x, k, WIDE) for x in words], "<u8").reshape(-1, WIDE)
-            sets = [xxhash.xxh128_digest(np.unique(shingle_hashes(x, k)).astype("<u8").tobytes()) for x in words]
+            texts, sets, own = batch.column(1).to_pylist(), [], [np.empty((0, WIDE), np.uint64)]
+            for b, e in portions(texts):
+                shingles = [distinct_shingles(ascii_words(x), k) for x in texts[b:e]]
+                own.append(majorities(shingles, WIDE))
+                sets += [xxhash.xxh128_digest(x.astype("<u8").tobytes()) for x in shingles]
+            own = np.concatenate(own).astype("<u8")
             one, two = (own[:, n].astype(np.uint64).view(np.int64) for n in (0, 1))
-            yield pa.record_batch([batch.column(0), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(sets, pa.binary())], ["id", "fp", "fp2", "wide", "shingles"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(sets, pa.binary())], ["id", "tie", "fp", "fp2", "wide", "shingles"])
 
-    texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut(texts.mapInArrow(run, "id long, fp long, fp2 long, wide binary, shingles binary"), "pair-prints")
-    groups = prints.groupBy("fp", "fp2", "shingles").agg(F.min("id").alias("low"), F.min("wide").alias("wide"))
-    groups = cut(groups.withColumn("node", F.monotonically_increasing_id()), "pair-groups")
+    texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"))
+    prints = cut(texts.mapInArrow(run, "id long, tie long, fp long, fp2 long, wide binary, shingles binary"), "pair-prints")
+    groups = prints.groupBy("fp", "fp2", "shingles").agg(F.min(F.struct("id", "tie")).alias("first"), F.min("wide").alias("wide"))
+    groups = cut(groups.select("fp", "fp2", "wide", "first.id", "first.tie", F.monotonically_increasing_id().alias("node")), "pair-groups")
     left = _loose_links(groups, groups.count())
     near = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     members = cut(groups.join(near, "node"), "loose")
-    links = cut(_wide_links(members, max(1, members.count())), "wide-links")
-    # One text for each print that has a link, its document's with the smallest id.
-    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    held = texts.join(prints.select("id", "shingles").join(members.join(linked, "node").select("shingles", "low", "node"), "shingles").where("id = low").select("id", "node"), "id")
-    held = cut(held.groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
-    pairs = links.select(F.col("a").alias("node"), F.col("b").alias("lead")).join(held, "node").join(held.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
-    comp = connected_components(_verified(pairs, k, similarity), "node", "lead")
-    tied = groups.select("node", "low").join(comp, "node")
-    first = tied.groupBy("component").agg(F.min(F.struct("low", "node")).alias("first")).select(F.col("first.node").alias("node"))
+    comp = connected_components(_links_that_hold(members, texts, k, similarity), "node", "lead")
+    tied = groups.select("node", "id").join(comp, "node")
+    first = tied.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first")).select(F.col("first.node").alias("node"))
     gone = tied.select("node").join(first, "node", "left_anti")
-    stays = groups.select("node", "low").join(gone, "node", "left_anti").select(F.col("low").alias("__low"))
+    stays = groups.select("node", "id").join(gone, "node", "left_anti").select(F.col("id").alias("__low"))
     out = docs.withColumn("__key", key).join(stays.distinct(), F.col("__key") == F.col("__low"), "left_semi")
     repeated = prints.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():

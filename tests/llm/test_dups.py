@@ -235,8 +235,50 @@ def test_near_duplicates_verify_equal_prints(spark, monkeypatch):
     from lociflow.llm import near_dup
 
     # Unlike texts with equal prints, whatever they are made from.
-    monkeypatch.setattr(near_dup, "wide_simhash", lambda words, k, words64: np.full(words64, 7, np.uint64))
+    monkeypatch.setattr(near_dup, "majorities", lambda hashes, words64: np.full((len(hashes), words64), 7, np.uint64))
     line = [f"r{k}" for k in range(21)] * 100
     rows = [(i, " ".join(line + [f"u{i}x{k}" for k in range(60)])) for i in range(4)]
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 3]
+
+
+def test_near_duplicates_of_a_family_just_under_the_similarity(spark):
+    """Each of 40 texts has a copy with one word replaced, and all are variants of one text that share less than 0.8."""
+    draw, base, rows = np.random.default_rng(5), [f"w{k}" for k in range(400)], []
+    for n in range(40):
+        own = base.copy()
+        for j in draw.choice(400, 9, replace=False):
+            own[j] = f"v{n}x{j}"
+        copy = own.copy()
+        copy[200] = f"c{n}"
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(copy))]
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
+    comp = {i: i for i in sets}
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                comp[max(a, b)] = min(a, b)
+    assert 25 < len({root(i) for i in sets}) <= 40
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted({root(i) for i in sets})
+
+
+def test_majorities():
+    from lociflow.llm import near_dup
+
+    draw, step = np.random.default_rng(6), near_dup._AT_ONCE
+    try:
+        for near_dup._AT_ONCE in (step, 300):
+            hashes = [draw.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(n % 2) for n in (0, 1, 2, 255, 256, 1000, 0, 3)]
+            got = near_dup.majorities(hashes, 3)
+            want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h)) for h in hashes]
+            assert got[:, 0].tolist() == want and len(set(got[3].tolist())) == 3
+    finally:
+        near_dup._AT_ONCE = step
