@@ -249,38 +249,40 @@ def _verified(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
     return pairs.select("node", "lead", "text", "lead_text").mapInArrow(run, "node long, lead long, held boolean")
 
 
-def _links_that_hold(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """``(node, lead)``: links of ``similarity`` that connect the ``members`` just as all pairs under a common key and within
-    REACH that have it do.
+def _families(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``(node, label)`` of all ``members``: nodes have a label in common if links of ``similarity`` connect them, of all pairs
+    under a common key and within REACH.
 
-    A link that doesn't hold may have kept another pair of the same sets from being looked at. So the families in which
-    one failed are searched again, between what is not connected yet and without the pairs that failed, with twice as
-    many forests each time, until nothing fails or no pair is left.
+    A link that doesn't hold may have kept another pair of the same sets from being looked at. So the families that
+    one lies between are searched again, for links between them other than those that failed, with more forests each
+    time, until none lies between two families or no pair is left.
     """
     nodes = lambda df, *cols: reduce(DataFrame.unionByName, [df.select(F.col(c).alias("node")) for c in cols]).distinct()
-    none = F.lit(None).cast("array<long>")
-    now, checked, forests = members.withColumn("label", F.col("node")).withColumn("failed", none), None, 1
+    labels = members.select("node", F.col("node").alias("label"))
+    now, failed, forests = members.withColumns({"label": F.col("node"), "failed": F.lit(None).cast("array<long>")}), None, 1
     while True:
         links = cut(_wide_links(now, max(1, now.count()), forests), "wide-links")
+        if links.isEmpty():
+            return labels
         # One text for each print that has a link, its document's with the smallest id.
-        linked = members.select("node", "id", "tie").join(nodes(links, "a", "b"), "node")
+        linked = now.select("node", "id", "tie").join(nodes(links, "a", "b"), "node")
         held = cut(texts.join(linked, ["id", "tie"]).groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
         pairs = links.select(F.col("a").alias("node"), F.col("b").alias("lead")).join(held, "node").join(held.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
         new = cut(_verified(pairs, k, similarity), "verified")
-        checked = new if checked is None else cut(checked.unionByName(new), "verified")
-        if new.where("not held").isEmpty():
-            return checked.where("held").select("node", "lead")
-        family = connected_components(checked, "node", "lead").withColumnRenamed("component", "family")
-        again = new.where("not held").select("node").join(family, "node").select("family").distinct()
-        label = connected_components(checked.where("held"), "node", "lead").withColumnRenamed("component", "label")
-        both = checked.where("not held").select("node", F.col("lead").alias("other"))
-        both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        failed = both.groupBy("node").agg(F.collect_set("other").alias("failed"))
-        now = members.join(family.join(again, "family", "left_semi").select("node"), "node", "left_semi").join(label, "node", "left").join(failed, "node", "left")
-        now = cut(now.withColumn("label", F.coalesce("label", "node")), "failed-families")
+        ends = lambda df: df.join(labels, "node").join(labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")), "lead")
+        joined = connected_components(ends(new.where("held")), "label", "lead_label").select(F.col("node").alias("label"), "component")
+        labels = cut(labels.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "families")
+        without = new.where("not held").select("node", "lead")
+        failed = cut(without if failed is None else failed.unionByName(without), "failed")
+        between = cut(nodes(ends(failed).where("label <> lead_label"), "label", "lead_label").select(F.col("node").alias("label")), "between")
+        if between.isEmpty():
+            return labels
+        both = failed.unionByName(failed.select(F.col("lead").alias("node"), F.col("node").alias("lead")))
+        both = both.groupBy("node").agg(F.collect_set("lead").alias("failed"))
+        now = cut(members.join(labels.join(between, "label", "left_semi"), "node").join(both, "node", "left"), "searched-again")
         if forests == 1:
             texts = cut(texts.join(now.select("id", "tie").distinct(), ["id", "tie"], "left_semi"), "family-texts")
-        forests *= 2
+        forests *= 8
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -316,9 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = _loose_links(groups, groups.count())
     near = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     members = cut(groups.join(near, "node"), "loose")
-    comp = connected_components(_links_that_hold(members, texts, k, similarity), "node", "lead")
-    tied = groups.select("node", "id").join(comp, "node")
-    first = tied.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first")).select(F.col("first.node").alias("node"))
+    tied = groups.select("node", "id").join(_families(members, texts, k, similarity), "node")
+    first = tied.groupBy("label").agg(F.min(F.struct("id", "node")).alias("first")).select(F.col("first.node").alias("node"))
     gone = tied.select("node").join(first, "node", "left_anti")
     stays = groups.select("node", "id").join(gone, "node", "left_anti").select(F.col("id").alias("__low"))
     out = docs.withColumn("__key", key).join(stays.distinct(), F.col("__key") == F.col("__low"), "left_semi")
