@@ -45,7 +45,7 @@ def legacy_cn(text: Column | str, keys: tuple[str, ...]) -> Column:
     """``(clone,1,2);...`` with one number for each key, as clone -> key -> number."""
     entries = F.filter(F.split(c(text), ";"), lambda x: F.length(F.trim(x)) > 0)
     parts = lambda x: F.split(F.regexp_replace(x, r"[()\s]", ""), ",")
-    numbers = lambda x: F.map_from_arrays(F.array(*map(F.lit, keys)), F.transform(F.slice(parts(x), 2, len(keys)), lambda n: n.cast("int")))
+    numbers = lambda x: F.create_map(*(y for n, k in enumerate(keys) for y in (F.lit(k), F.get(parts(x), F.lit(n + 1)).try_cast("int"))))
     return F.map_from_entries(F.transform(entries, lambda x: F.struct(F.get(parts(x), F.lit(0)).alias("k"), numbers(x).alias("v"))))
 
 

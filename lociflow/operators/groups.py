@@ -93,7 +93,7 @@ def molecule_violations(groups: DataFrame, acnt: DataFrame) -> DataFrame:
     rows = exploded(groups.where("agt = 'M' and fp is not null")).select("gid", "aid").distinct()
     present = acnt.groupBy("aid", "clone").agg((F.sum("cn") > 0).cast("int").alias("there"))
     clones = acnt.select("clone").distinct()
-    per = rows.crossJoin(F.broadcast(clones)).join(present, ["aid", "clone"], "left")  # a handful of clones
+    per = rows.crossJoin(clones).join(present, ["aid", "clone"], "left")
     share = per.groupBy("gid", "clone").agg((1 - F.avg(F.coalesce("there", F.lit(0)))).alias("absent"))
     best = share.groupBy("gid").agg(F.min("absent").alias("best"))
     return groups.where("agt = 'M'").select("gid", "fp").join(best, "gid").where(F.col("best") > F.col("fp") + 1e-9).select("gid", "best")
@@ -114,20 +114,30 @@ def labeling_violations(groups: DataFrame, acnt: DataFrame) -> DataFrame:
     return rows.groupBy("gid").agg(F.count_distinct(hap).alias("haps")).where("haps > 1").select("gid")
 
 
-def alignment_labelings(ends: DataFrame, alignments: DataFrame, delta: int = 500) -> DataFrame:
-    """Labelings from long reads: ``(gid, read, aids, agl)``.
+def alignment_labelings(ends: DataFrame, alignments: DataFrame, delta: int = 500, neighbour: str = "first") -> DataFrame:
+    """Labelings from long reads: ``(gid, read, aids, agl)``, one for each two neighbouring positions on an alignment.
 
-    ``alignments`` (read, aln, chr, start, end, reads' own aids supported in ``aids``). Breakends of the read's
-    adjacencies within ``delta`` of the alignment's ends belong to it: the first that opens to the right (-) and the
-    last that opens to the left (+) are neighbours on one molecule.
+    ``alignments``: (read, aln, chr, start, end) and in ``aids`` the adjacencies that the read supports. Their breakends
+    within ``delta`` of an alignment's span lie on it, in order of coordinate and strand (- first). One that opens to the
+    right (-) has as neighbour the first position right of it that opens to the left (+), and the other way round;
+    with ``neighbour='last'`` the farthest. A group has the adjacencies of the - position, then those of the +.
     """
+    if neighbour not in ("first", "last"):
+        raise ValueError("neighbour is first or last")
     span = alignments.select("read", "aln", F.col("chr").alias("i_chr"), (F.col("start") - delta).alias("i_start"), (F.col("end") + delta).alias("i_end"), "aids")
     held = point_join(ends, span).where(F.array_contains("aids", F.col("aid")))
-    of = lambda s: F.struct("coord", "aid", "side")
-    first = F.min(F.when(F.col("strand") == "-", of("-"))).alias("l")
-    last = F.max(F.when(F.col("strand") == "+", of("+"))).alias("r")
-    both = held.groupBy("read", "aln").agg(first, last).where("l is not null and r is not null and l.coord < r.coord and l.aid <> r.aid")
-    return both.select(F.concat_ws("_", "read", F.col("aln").cast("string")).alias("gid"), "read", F.array("l.aid", "r.aid").alias("aids"), F.array("l.side", "r.side").alias("agl"))
+    places = held.groupBy("read", "aln", "coord", "strand").agg(F.array_sort(F.collect_set(F.struct("aid", "side"))).alias("m"))
+    place = F.struct("coord", "m")
+    w = Window.partitionBy("read", "aln").orderBy("coord", F.when(F.col("strand") == "-", 0).otherwise(1))
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    of = lambda s: F.when(F.col("strand") == s, place)
+    near, far = (F.last, F.first) if neighbour == "first" else (F.first, F.last)
+    left, right = near(of("-"), ignorenulls=True).over(before), far(of("+"), ignorenulls=True).over(after)
+    rows = places.select("read", "aln", F.when(F.col("strand") == "-", place).otherwise(left).alias("l"), F.when(F.col("strand") == "-", right).otherwise(place).alias("r"))
+    rows = rows.where("l is not null and r is not null").distinct()
+    both = F.concat("l.m", "r.m")
+    gid = F.concat_ws("_", "read", F.col("aln").cast("string"), F.col("l.coord").cast("string"), F.col("r.coord").cast("string"))
+    return rows.select(gid.alias("gid"), "read", F.transform(both, lambda x: x["aid"]).alias("aids"), F.transform(both, lambda x: x["side"]).alias("agl"))
 
 
 def concur(groups: DataFrame, adjacencies: DataFrame) -> bool:

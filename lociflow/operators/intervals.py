@@ -122,22 +122,28 @@ def tidy(rows: DataFrame) -> DataFrame:
     return one.select("sid", "x.clone", F.explode(F.create_map(F.lit("A"), F.col("x.A"), F.lit("B"), F.col("x.B"))).alias("hap", "cn"))
 
 
-def extended_outermost(segments: DataFrame, ends: DataFrame, margin: int = 1000) -> DataFrame:
-    """The first start and last end of a chromosome moved to ``ends`` (chr, low, high) where within ``margin``; the rows keep their copy numbers."""
-    w = Window.partitionBy("chr")
-    rows = segments.withColumn("__first", F.min("start").over(w)).withColumn("__last", F.max("end").over(w)).join(ends, "chr", "left")
-    start = F.when((F.col("start") == F.col("__first")) & (F.abs(F.col("start") - F.col("low")) <= margin), F.col("low")).otherwise(F.col("start"))
-    end = F.when((F.col("end") == F.col("__last")) & (F.abs(F.col("end") - F.col("high")) <= margin), F.col("high")).otherwise(F.col("end"))
-    return rows.withColumn("start", start).withColumn("end", end).drop("__first", "__last", "low", "high")
-
-
-def refined(segments: DataFrame, scnt: DataFrame, merge: bool = True, max_merge_gap: int = 10**9, fill: bool = True, max_fill_gap: int = 10**9) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Neighbours of equal copy numbers merged, then gaps filled to the middle.
+def extended_outermost(segments: DataFrame, ends: DataFrame, margin: int = 0) -> DataFrame:
+    """A chromosome's first segment that starts after ``low`` of ``ends`` (chr, low, high) starts ``margin`` before it, at 0 at
+    least; its last one that ends before ``high`` ends ``margin`` after it. None becomes shorter; other columns are kept."""
+    outer = segments.groupBy("chr").agg(F.min("start").alias("__first"), F.max("end").alias("__last"))
+    rows = segments.join(outer.join(ends.select("chr", F.col("low").alias("__low"), F.col("high").alias("__high")), "chr", "left"), "chr", "left")
+    start = F.when((F.col("start") == F.col("__first")) & (F.col("start") > F.col("__low")), F.greatest(F.col("__low") - margin, F.lit(0))).otherwise(F.col("start"))
+    end = F.when((F.col("end") == F.col("__last")) & (F.col("end") < F.col("__high")), F.col("__high") + margin).otherwise(F.col("end"))
+    return rows.withColumns({"start": start.cast("long"), "end": end.cast("long")}).select(*segments.columns)
+
+
+def refined(
+    segments: DataFrame, scnt: DataFrame, merge: bool = True, max_merge_gap: int = 10**9, fill: bool = True, max_fill_gap: int = 10**9, outermost: DataFrame | None = None, margin: int = 0
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Neighbours of equal copy numbers merged, then gaps filled to the middle; with ``outermost`` the ends of chromosomes are
+    extended (``extended_outermost``) first.
 
     Returns segments (sid, chr, start, end), their tidy copy numbers, and the mapping (sid, old_sid). A gap is
     ``start - end before``: up to ``max_merge_gap`` it is merged over; from 2 to ``max_fill_gap`` it is halved, the
     left part being ``gap div 2`` longer. Overlapping segments raise an error.
     """
+    if outermost is not None:
+        segments = extended_outermost(segments, outermost, margin)
     rows = segments.join(vectors(scnt), "sid", "left")
     w = _in_order("sid")
     before, gap = F.lag("end").over(w), F.col("start") - F.lag("end").over(w)

@@ -124,42 +124,52 @@ def compatible(one: DataFrame, two: DataFrame, segments: DataFrame) -> DataFrame
 def length_rule(length: Column, cn: Column) -> tuple[Column, Column]:
     """Bounds by length: short segments may be anything to 20, long ones stay near their copy number."""
     spread = F.when(length < 10**6, 3).when(length < 10**7, 2).otherwise(1)
-    short = length <= 10**5
+    short = length < 10**5
     low, high = cn - spread, cn + spread
     return F.when(short, 0).otherwise(F.greatest(low, F.lit(0))).cast("long"), F.when(short, 20).otherwise(high).cast("long")
 
 
-def bounds(scnt: DataFrame, segments: DataFrame, strategy: str, low: int = 0, high: int = 10, spread: int = 1, allow_zero: bool = True, sex: str | None = None) -> DataFrame:
-    """``(sid, clone, hap, l, u)`` by strategy: ``fix`` (the copy number itself), ``uniform-spread`` (around it), ``length-spread``
-    (``length_rule``), ``uniform-min-max``.
-
-    Without ``allow_zero`` what has copies keeps at least one. ``sex='m'`` fixes haplotype B of a chromosome whose
-    name ends in x, in any case, and A-or-B of y beyond one copy, to none; ``'f'`` fixes y to none.
+def bounds(
+    scnt: DataFrame,
+    segments: DataFrame,
+    strategy: str,
+    low: int = 0,
+    high: int = 10,
+    spread: int = 1,
+    zero_for_positive: tuple[int, int] = (-1, 10**9),
+    positive_for_zero: tuple[int, int] = (-1, 10**9),
+    sex: str | None = None,
+) -> DataFrame:
+    """``(sid, clone, hap, l, u)`` for each segment, clone of ``scnt`` and haplotype, by strategy: ``fix`` (the copy number itself),
+    ``uniform-spread`` (around it), ``length-spread`` (``length_rule``), ``uniform-min-max``. An absent copy number is 0.
+
+    Only on segments whose length lies within ``zero_for_positive`` may a bound be 0 where there are copies (elsewhere it
+    is 1), and only within ``positive_for_zero`` may it be more than 0 where there are none. ``sex='m'`` fixes haplotype B
+    of chromosomes with an x in their name, in any case, to none.
     """
-    rows = scnt.join(segments.select("sid", "chr", segment_length().alias("length")), "sid")
-    cn = F.col("cn")
+    if sex not in (None, "m", "f"):
+        raise ValueError("sex is m or f")
+    haps = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("hap")
+    every = segments.select("sid", "chr", segment_length().alias("length")).crossJoin(scnt.select("clone").distinct()).select("*", haps)
+    cn, length = F.coalesce("cn", F.lit(0)), F.col("length")
     if strategy == "fix":
         l, u = cn, cn
     elif strategy == "uniform-spread":
         l, u = F.greatest(cn - spread, F.lit(0)), cn + spread
     elif strategy == "length-spread":
-        l, u = length_rule(F.col("length"), cn)
+        l, u = length_rule(length, cn)
     elif strategy == "uniform-min-max":
         l, u = F.lit(low), F.lit(high)
     else:
         raise ValueError(f"no strategy {strategy}")
-    if not allow_zero:
-        l = F.when(cn > 0, F.greatest(l, F.lit(1))).otherwise(l)
-    name = F.lower("chr")
-    gone = F.lit(False)
-    if sex == "m":
-        gone = (name.endswith("x") | name.endswith("y")) & (F.col("hap") == "B")
-    elif sex == "f":
-        gone = name.endswith("y")
-    elif sex is not None:
-        raise ValueError("sex is m or f")
-    fixed = lambda x: F.when(gone, 0).otherwise(x).cast("long")
-    return rows.select("sid", "clone", "hap", fixed(l).alias("l"), fixed(u).alias("u"))
+    gone = F.lower("chr").contains("x") & (F.col("hap") == "B") if sex == "m" else F.lit(False)
+
+    def guarded(x):
+        x = F.when((x == 0) & (cn > 0) & ~length.between(*zero_for_positive), 1).otherwise(x)
+        x = F.when((x > 0) & (cn == 0) & ~length.between(*positive_for_zero), 0).otherwise(x)
+        return F.when(gone, 0).otherwise(x).cast("long")
+
+    return every.join(scnt, ["sid", "clone", "hap"], "left").select("sid", "clone", "hap", guarded(l).alias("l"), guarded(u).alias("u"))
 
 
 def overlaid(base: DataFrame, over: DataFrame) -> DataFrame:
@@ -168,5 +178,13 @@ def overlaid(base: DataFrame, over: DataFrame) -> DataFrame:
     return base.join(o, ["sid", "clone", "hap"], "left").select("sid", "clone", "hap", F.coalesce("ol", "l").alias("l"), F.coalesce("ou", "u").alias("u"))
 
 
-def bound_violations(scnt: DataFrame, scnb: DataFrame) -> DataFrame:
-    return scnt.join(scnb, ["sid", "clone", "hap"]).where((F.col("cn") < F.col("l")) | (F.col("cn") > F.col("u")))
+def bound_violations(scnt: DataFrame, scnb: DataFrame, exchanged: DataFrame | None = None) -> DataFrame:
+    """``(clone, sid)`` where a copy number lies outside its bounds ``(sid, clone, hap, l, u)``. On the segments of ``exchanged``
+    (sid) haplotype A of the copies is B of the bounds."""
+    own = scnb.select("sid", "clone", "hap", "l", "u")
+    if exchanged is not None:
+        turned = exchanged.select("sid", F.lit(True).alias("turned")).distinct()
+        hap = F.when(F.col("turned"), F.translate("hap", "AB", "BA")).otherwise(F.col("hap"))
+        own = own.join(turned, "sid", "left").select("sid", "clone", hap.alias("hap"), "l", "u")
+    outside = ~F.col("cn").between(F.col("l"), F.col("u"))
+    return scnt.join(own, ["sid", "clone", "hap"]).where(outside).select("clone", "sid").distinct()

@@ -233,11 +233,17 @@ def _(v):
     return I.outside(v.breakend, v.seg)
 
 
-@query("q_positions_aligned", """SELECT count(*) = 0 AS aligned FROM (SELECT min(start) AS c, chr FROM seg GROUP BY chr) t WHERE NOT EXISTS (SELECT 1 FROM seg s WHERE s.chr = t.chr AND s.start = t.c)""")
+@query("q_positions_aligned", """WITH p AS (SELECT DISTINCT chr, coord, strand FROM breakend), q AS (SELECT DISTINCT chr, coord, strand FROM breakend WHERE strand = '+')
+    SELECT (SELECT count(*) = 0 FROM (SELECT * FROM q EXCEPT SELECT * FROM p)) AS some_among_all, (SELECT count(*) = 0 FROM (SELECT * FROM p EXCEPT SELECT * FROM q)) AS all_among_some""")
 def _(v):
-    inner = I.reference_telomeres(v.seg).where("strand = '-'")
-    starts = v.seg.select("chr", F.col("start").alias("coord"), F.lit("-").alias("strand"))
-    return inner.join(starts, ["chr", "coord", "strand"], "left_anti").agg((F.count("*") == 0).alias("aligned"))
+    some = v.breakend.where("strand = '+'")
+    return v.spark.createDataFrame([(GR.positions_aligned(some, v.breakend), GR.positions_aligned(v.breakend, some))], "some_among_all boolean, all_among_some boolean")
+
+
+@query("q_groups_concur", "SELECT true AS whole, (SELECT count(*) = 0 FROM member m WHERE NOT EXISTS (SELECT 1 FROM adj a WHERE a.aid = m.aid AND a.k % 2 = 0)) AS half")
+def _(v):
+    groups = v.groups()
+    return v.spark.createDataFrame([(GR.concur(groups, v.adj), GR.concur(groups, v.adj.where("k % 2 = 0")))], "whole boolean, half boolean")
 
 
 @query("q_spanned_extremities", """SELECT DISTINCT e.* FROM (SELECT chr, start AS coord, '-' AS strand FROM seg UNION ALL SELECT chr, "end", '+' FROM seg) e JOIN regions r ON r.chr = e.chr AND e.coord BETWEEN r.start AND r."end\"""")
@@ -638,17 +644,77 @@ def _(v):
 
 @query("q_bounds_spread", "SELECT sid, clone, hap, CASE WHEN cn > 0 THEN greatest(cn - 1, 1) ELSE 0 END AS l, cn + 1 AS u FROM scnt")
 def _(v):
-    return T.bounds(v.scnt, v.seg, "uniform-spread", allow_zero=False)
+    return T.bounds(v.scnt, v.seg, "uniform-spread", zero_for_positive=(10**9, 10**9))
+
+
+#: Segments of chromosomes x and y among others, 99,999 to 10,000,000 long, two rows of three without copy numbers.
+_LONG = """lw AS (SELECT *, CASE i % 5 WHEN 0 THEN 99999 WHEN 1 THEN 100000 WHEN 2 THEN 999999 WHEN 3 THEN 1000000 ELSE 10000000 END AS w, CASE WHEN c = 21 THEN 'chrX' WHEN c = 22 THEN 'y' ELSE chr END AS name FROM seg),
+ls AS (SELECT name || ':' || (i::BIGINT * 20000000 + 1) || '-' || (i::BIGINT * 20000000 + w) AS sid, name AS chr, w, c, i FROM lw),
+lc AS (SELECT ls.sid, ls.chr, ls.w, cl.clone, h AS hap, CASE WHEN (c + i + kk + CASE h WHEN 'A' THEN 0 ELSE 1 END) % 3 = 0 THEN i % 6 END AS given FROM ls, cl, (VALUES ('A'), ('B')) x(h)),
+lx AS (SELECT *, coalesce(given, 0) AS cn FROM lc)
+"""
+
+
+def _long(v):
+    w = F.expr("CASE i % 5 WHEN 0 THEN 99999 WHEN 1 THEN 100000 WHEN 2 THEN 999999 WHEN 3 THEN 1000000 ELSE 10000000 END")
+    seg = v.seg.select(F.expr("CASE WHEN c = 21 THEN 'chrX' WHEN c = 22 THEN 'y' ELSE chr END").alias("chr"), (F.col("i").cast("long") * 20_000_000 + 1).alias("start"), (F.col("i").cast("long") * 20_000_000 + w).alias("end"), "c", "i").withColumn("sid", M.segment_id())
+    rows = seg.crossJoin(v.cl).select("*", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("hap"))
+    given = rows.where("(c + i + kk + if(hap = 'A', 0, 1)) % 3 = 0").select("sid", "clone", "hap", (F.col("i") % 6).cast("long").alias("cn"))
+    return seg, given
 
 
-@query("q_bounds_length", "SELECT sid, clone, hap, 0::BIGINT AS l, 20::BIGINT AS u FROM scnt")
+@query(
+    "q_bounds_length",
+    "WITH " + _LONG + """SELECT sid, clone, hap, CASE WHEN w < 100000 THEN 0 ELSE greatest(cn - s, 0) END AS l, CASE WHEN w < 100000 THEN 20 ELSE cn + s END AS u
+    FROM (SELECT *, CASE WHEN w < 1000000 THEN 3 WHEN w < 10000000 THEN 2 ELSE 1 END AS s FROM lx)""",
+)
 def _(v):
-    return T.bounds(v.scnt, v.seg, "length-spread")
+    seg, given = _long(v)
+    return T.bounds(given, seg, "length-spread")
 
 
-@query("q_bounds_sex", "SELECT sid, clone, hap, cn AS l, cn AS u FROM scnt")
+@query(
+    "q_bounds_guarded",
+    "WITH " + _LONG + """SELECT sid, clone, hap, CASE WHEN chr = 'chrX' AND hap = 'B' THEN 0 WHEN cn = 1 AND w > 999999 THEN 1 ELSE greatest(cn - 1, 0) END AS l,
+    CASE WHEN chr = 'chrX' AND hap = 'B' THEN 0 WHEN cn = 0 AND w < 100000 THEN 0 ELSE cn + 1 END AS u FROM lx""",
+)
 def _(v):
-    return T.bounds(v.scnt, v.seg, "fix", sex="m")
+    seg, given = _long(v)
+    return T.bounds(given, seg, "uniform-spread", zero_for_positive=(-1, 999_999), positive_for_zero=(100_000, 10**9), sex="m")
+
+
+@query(
+    "q_bound_violations",
+    """WITH b AS (SELECT sid, clone, hap, cn AS l, cn + 1 AS u FROM scnt), t AS (SELECT s.sid, s.clone, s.hap, s.cn, CASE WHEN g.i % 2 = 0 THEN CASE s.hap WHEN 'A' THEN 'B' ELSE 'A' END ELSE s.hap END AS turned
+    FROM scnt2 s JOIN seg g USING (sid)) SELECT DISTINCT t.clone, t.sid FROM t JOIN b ON b.sid = t.sid AND b.clone = t.clone AND b.hap = t.turned WHERE t.cn < l OR t.cn > u""",
+)
+def _(v):
+    scnb = v.scnt.select("sid", "clone", "hap", F.col("cn").alias("l"), (F.col("cn") + 1).alias("u"))
+    return T.bound_violations(v.scnt2, scnb, v.seg.where("i % 2 = 0").select("sid"))
+
+
+@query(
+    "q_extend_outermost",
+    """WITH o AS (SELECT chr, c, min(start) AS first, max("end") AS last FROM seg GROUP BY chr, c), e AS (SELECT *, c % 3 * 1000 - 1500 AS low, 999000 + c % 4 * 3000 AS high FROM o WHERE c > 2)
+    SELECT s.sid, CASE WHEN s.start = e.first AND s.start > low THEN greatest(low - 700, 0) ELSE s.start END AS start, CASE WHEN s."end" = e.last AND s."end" < high THEN high + 700 ELSE s."end" END AS "end" FROM seg s LEFT JOIN e USING (chr)""",
+)
+def _(v):
+    ends = v.seg.where("c > 2").groupBy("chr", "c").agg(F.count("*")).select("chr", (F.col("c") % 3 * 1000 - 1500).alias("low"), (F.col("c") % 4 * 3000 + 999_000).alias("high"))
+    return I.extended_outermost(v.seg, ends, 700).select("sid", "start", "end")
+
+
+@query(
+    "q_alignment_labelings",
+    """WITH e AS (SELECT DISTINCT s.read, b.chr, b.coord, b.strand, b.aid, b.side, b.coord * 2 + CASE b.strand WHEN '+' THEN 1 ELSE 0 END AS o FROM support s JOIN breakend b USING (aid)),
+    n AS (SELECT l.read, l.chr, l.o AS lo, min(r.o) AS ro FROM e l JOIN e r ON r.read = l.read AND r.chr = l.chr AND l.strand = '-' AND r.strand = '+' AND r.o > l.o GROUP BY ALL
+      UNION SELECT r.read, r.chr, max(l.o), r.o FROM e l JOIN e r ON r.read = l.read AND r.chr = l.chr AND l.strand = '-' AND r.strand = '+' AND r.o > l.o GROUP BY r.read, r.chr, r.o)
+    SELECT n.read, n.read || '_' || n.chr || '_' || lo // 2 || '_' || ro // 2 AS gid, string_agg(e.aid || ':' || e.side, ',' ORDER BY e.o, e.aid, e.side) AS ends FROM n JOIN e ON e.read = n.read AND e.chr = n.chr AND e.o IN (lo, ro) GROUP BY ALL""",
+)
+def _(v):
+    chrs = v.breakend.select("chr").distinct()
+    aligned = v.support.groupBy("read").agg(F.collect_set("aid").alias("aids")).crossJoin(chrs).select("read", F.col("chr").alias("aln"), "chr", F.lit(1).cast("long").alias("start"), F.lit(1_000_000).cast("long").alias("end"), "aids")
+    ends = F.zip_with("aids", "agl", lambda a, s: F.concat(a, F.lit(":"), s.cast("string")))
+    return GR.alignment_labelings(v.breakend, aligned).select("read", "gid", F.array_join(ends, ",").alias("ends"))
 
 
 # --- set operations
@@ -734,19 +800,19 @@ def _(v):
     return G.graph(cut, I.reference_adjacencies(cut)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-_CHAINED = """ch AS (SELECT chr1 || ':' || (coord1 // 20000) AS u, chr2 || ':' || (coord2 // 20000) AS v FROM adj),
+_CHAINED = """ch AS (SELECT chr1 || ':' || (coord1 // 500) AS u, chr2 || ':' || (coord2 // 500) AS v FROM adj),
 sym AS (SELECT u, v FROM ch UNION SELECT v, u FROM ch UNION SELECT u, u FROM ch UNION SELECT v, v FROM ch),
 reach(node, other) AS (SELECT u, v FROM sym UNION SELECT r.node, s.v FROM reach r JOIN sym s ON r.other = s.u)
 """
 
 
-@query("q_components", "WITH RECURSIVE " + _CHAINED.replace("FROM adj)", "FROM adj WHERE k % 40 = 0)") + "SELECT node, min(other) AS component FROM reach GROUP BY node")
+@query("q_components", "WITH RECURSIVE " + _CHAINED + "SELECT node, min(other) AS component FROM reach GROUP BY node")
 def _(v):
-    bin_ = lambda k: F.concat(f"chr{k}", F.lit(":"), F.floor(F.col(f"coord{k}") / 20000).cast("string"))
-    return connected_components(v.adj.where("k % 40 = 0").select(bin_(1).alias("u"), bin_(2).alias("v")), "u", "v")
+    bin_ = lambda k: F.concat(f"chr{k}", F.lit(":"), F.floor(F.col(f"coord{k}") / 500).cast("string"))
+    return connected_components(v.adj.select(bin_(1).alias("u"), bin_(2).alias("v")), "u", "v")
 
 
-_SIGNATURES = """pl AS (SELECT aid, chr1 || ':' || CASE WHEN strand1 = '+' THEN c1 ELSE c1 - 1 END AS u, chr2 || ':' || CASE WHEN strand2 = '+' THEN c2 ELSE c2 - 1 END AS v FROM (SELECT aid, chr1, strand1, chr2, strand2, coord1 // 20000 AS c1, coord2 // 20000 AS c2 FROM adj WHERE k % 40 = 0)),
+_SIGNATURES = """pl AS (SELECT aid, chr1 || ':' || CASE WHEN strand1 = '+' THEN c1 ELSE c1 - 1 END AS u, chr2 || ':' || CASE WHEN strand2 = '+' THEN c2 ELSE c2 - 1 END AS v FROM (SELECT aid, chr1, strand1, chr2, strand2, coord1 // 500 AS c1, coord2 // 500 AS c2 FROM adj)),
 sym AS (SELECT u, v FROM pl UNION SELECT v, u FROM pl UNION SELECT u, u FROM pl UNION SELECT v, v FROM pl),
 reach(node, other) AS (SELECT u, v FROM sym UNION SELECT r.node, s.v FROM reach r JOIN sym s ON r.other = s.u),
 comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
@@ -755,7 +821,7 @@ comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 
 @query("q_complex_signatures", "WITH RECURSIVE " + _SIGNATURES + "SELECT c.component AS signature, string_agg(DISTINCT p.aid, ',' ORDER BY p.aid) AS aids, k.k FROM pl p JOIN comp c ON c.node = p.u JOIN (SELECT component, count(*) AS k FROM comp GROUP BY component HAVING count(*) >= 3) k ON k.component = c.component GROUP BY c.component, k.k")
 def _(v):
-    binned = v.adj.where("k % 40 = 0").select("aid", "chr1", F.floor(F.col("coord1") / 20000).cast("long").alias("coord1"), "strand1", "chr2", F.floor(F.col("coord2") / 20000).cast("long").alias("coord2"), "strand2")
+    binned = v.adj.select("aid", "chr1", F.floor(F.col("coord1") / 500).cast("long").alias("coord1"), "strand1", "chr2", F.floor(F.col("coord2") / 500).cast("long").alias("coord2"), "strand2")
     return G.complex_signatures(binned).select("signature", F.array_join("aids", ",").alias("aids"), "k")
 
 
@@ -878,3 +944,6 @@ def _(v):
     for x, _ in parts[1:]:
         out = out.unionByName(x)
     return out.select("row")
+
+
+from lociflow.plans import io_queries  # noqa: E402, F401  (registers the queries of readers and writers)

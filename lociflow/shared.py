@@ -21,10 +21,13 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder is set only where the session names none."""
+    """``spark.checkpoint.dir``. Where the session names none a temporary folder is set if executors share the driver's
+    machine; on a cluster that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lociflow-")
         spark.conf.set("spark.checkpoint.dir", named)
         sc.setCheckpointDir(named)

@@ -109,7 +109,7 @@ def gff(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, m
         if missing == "skip":
             rows = rows.where(F.map_contains_key(known, F.get(p, F.lit(0))))
         chr_ = F.coalesce(F.try_element_at(known, F.get(p, F.lit(0))), F.get(p, F.lit(0)))
-    pairs = F.filter(F.transform(F.split(F.get(p, F.lit(8)), ";"), F.trim), lambda x: F.length(x) > 0)
+    pairs = F.filter(F.transform(F.split(F.get(p, F.lit(8)), ";"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     gtf = ~F.get(p, F.lit(8)).contains("=")
     key = lambda x: F.when(gtf, F.substring_index(x, " ", 1)).otherwise(F.substring_index(x, "=", 1))
     value = lambda x: F.regexp_replace(F.when(gtf, F.regexp_replace(x, "^[^ ]* ?", "")).otherwise(F.regexp_replace(x, "^[^=]*=?", "")), '^"|"$', "")

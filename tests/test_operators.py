@@ -199,8 +199,9 @@ def test_bounds_by_length_and_sex(spark):
     s = spark.createDataFrame([("a", "1", 1, 50_000), ("b", "1", 1, 500_000), ("c", "1", 1, 5_000_000), ("d", "1", 1, 20_000_000), ("x", "chrX", 1, 10)], SEG)
     c = spark.createDataFrame([(k, "c", h, 2) for k in "abcdx" for h in "AB"], CN)
     out = T.bounds(c.where("hap = 'A' and sid <> 'x'"), s, "length-spread")
-    assert rows(out, "sid", "l", "u") == [("a", 0, 20), ("b", 0, 5), ("c", 0, 4), ("d", 1, 3)]
-    male = T.bounds(c.where("sid = 'x'"), s, "fix", sex="m")
+    assert rows(out.where("hap = 'A'"), "sid", "l", "u") == [("a", 0, 20), ("b", 0, 5), ("c", 0, 4), ("d", 1, 3), ("x", 0, 20)]
+    assert rows(out.where("hap = 'B'"), "sid", "l", "u") == [("a", 0, 20), ("b", 0, 3), ("c", 0, 2), ("d", 0, 1), ("x", 0, 20)]
+    male = T.bounds(c, s, "fix", sex="m").where("sid = 'x'")
     assert rows(male, "hap", "l", "u") == [("A", 2, 2), ("B", 0, 0)]
     with pytest.raises(ValueError):
         T.bounds(c, s, "none")
@@ -272,6 +273,10 @@ def test_group_violations(spark):
 
 def test_alignment_labelings(spark):
     ends = spark.createDataFrame([("a", 1, "1", 1000, "-"), ("b", 0, "1", 5000, "+"), ("c", 0, "1", 3000, "+")], "aid string, side int, " + POS)
+    more = spark.createDataFrame([(x, 0, "2", 10 * (k + 1), s) for k, (x, s) in enumerate(zip("defg", "-+-+"))], ends.schema)
+    four = spark.createDataFrame([("q", 1, "2", 1, 50, ["d", "e", "f", "g"])], "read string, aln long, chr string, start long, end long, aids array<string>")
+    assert rows(GR.alignment_labelings(more, four), "aids") == [(["d", "e"],), (["f", "g"],)]
+    assert rows(GR.alignment_labelings(more, four, neighbour="last"), "aids") == [(["d", "e"],), (["d", "g"],), (["f", "g"],)]
     aln = spark.createDataFrame([("r", 1, "1", 900, 5100, ["a", "b"])], "read string, aln long, chr string, start long, end long, aids array<string>")
     assert rows(GR.alignment_labelings(ends, aln), "aids", "agl") == [(["a", "b"], [1, 0])]
 
