@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows, and bytes, that Python workers are sent at a time unless the session says otherwise: texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -18,6 +20,9 @@ def ensure_importable(spark: SparkSession) -> None:
     known = environment.get("PYTHONPATH", "") or os.environ.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) in (None, "10000", str(1 << 28)):  # Spark's own defaults
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
