@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows, and bytes, that Python workers are sent at a time unless the session says otherwise: texts may be long.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = {BATCH_ROWS: "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
