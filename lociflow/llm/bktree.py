@@ -12,7 +12,7 @@ import numpy as np
 #: All edges shorter than the index, as bits.
 _BELOW = np.array([(1 << k) - 1 for k in range(65)], np.uint64)
 #: Pairs of query and node looked at in one step; bounds the memory of a search.
-FRONTIER = 1 << 19
+FRONTIER = 1 << 18
 
 
 def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

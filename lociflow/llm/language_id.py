@@ -23,7 +23,7 @@ MOST_LANGUAGES = 2048
 #: Vectors of n-grams, and of letters, remembered by a worker; with more met, it begins anew.
 KEEP = 24_000
 #: Distinct n-grams whose counts and vectors are multiplied at a time.
-SLICE = 24_000
+SLICE = 12_000
 #: Between words; no letter has this number.
 GAP = 0
 

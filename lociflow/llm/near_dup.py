@@ -21,7 +21,7 @@ from lociflow.llm.bktree import Forest, Sets, spanning_links
 from lociflow.llm.encoding import portions
 from lociflow.llm.text import ascii_words, shingle_hashes
 from lociflow.operators.components import connected_components
-from lociflow.shared import cut, ensure_importable
+from lociflow.shared import BATCH_ROWS, cut, ensure_importable
 
 BITS = 64
 #: Prints for each key value that a pigeonhole scheme may have before a finer one is taken.
@@ -259,27 +259,31 @@ def _families(members: DataFrame, texts: DataFrame, k: int, similarity: float) -
     """
     nodes = lambda df, *cols: reduce(DataFrame.unionByName, [df.select(F.col(c).alias("node")) for c in cols]).distinct()
     labels = members.select("node", F.col("node").alias("label"))
-    now, failed, forests = members.withColumns({"label": F.col("node"), "failed": F.lit(None).cast("array<long>")}), None, 1
+    count, now, failed, forests = max(1, members.count()), members.withColumns({"label": F.col("node"), "failed": F.lit(None).cast("array<long>")}), None, 1
+    spark = members.sparkSession
     while True:
-        links = cut(_wide_links(now, max(1, now.count()), forests), "wide-links")
+        links = cut(_wide_links(now, count, forests), "wide-links")
         if links.isEmpty():
             return labels
         # One text for each print that has a link, its document's with the smallest id.
         linked = now.select("node", "id", "tie").join(nodes(links, "a", "b"), "node")
         held = cut(texts.join(linked, ["id", "tie"]).groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
         pairs = links.select(F.col("a").alias("node"), F.col("b").alias("lead")).join(held, "node").join(held.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
+        rows = spark.conf.get(BATCH_ROWS)
+        spark.conf.set(BATCH_ROWS, "64")  # a row has two texts, which may be long
         new = cut(_verified(pairs, k, similarity), "verified")
+        spark.conf.set(BATCH_ROWS, rows)
         ends = lambda df: df.join(labels, "node").join(labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")), "lead")
         joined = connected_components(ends(new.where("held")), "label", "lead_label").select(F.col("node").alias("label"), "component")
         labels = cut(labels.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "families")
         without = new.where("not held").select("node", "lead")
-        failed = cut(without if failed is None else failed.unionByName(without), "failed")
-        between = cut(nodes(ends(failed).where("label <> lead_label"), "label", "lead_label").select(F.col("node").alias("label")), "between")
-        if between.isEmpty():
-            return labels
+        failed = without if failed is None else failed.unionByName(without)
+        between = nodes(ends(failed).where("label <> lead_label"), "label", "lead_label").select(F.col("node").alias("label"))
         both = failed.unionByName(failed.select(F.col("lead").alias("node"), F.col("node").alias("lead")))
         both = both.groupBy("node").agg(F.collect_set("lead").alias("failed"))
         now = cut(members.join(labels.join(between, "label", "left_semi"), "node").join(both, "node", "left"), "searched-again")
+        if now.isEmpty():
+            return labels
         if forests == 1:
             texts = cut(texts.join(now.select("id", "tie").distinct(), ["id", "tie"], "left_semi"), "family-texts")
         forests *= 8
