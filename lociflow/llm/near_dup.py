@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,22 +195,35 @@ def _loose_links(groups: DataFrame, count: int) -> DataFrame:
     return keyed.repartition(shards, "key").mapInArrow(run, "a long, b long").distinct()
 
 
-def _wide_links(members: DataFrame, count: int, forests: int) -> DataFrame:
+def _wide_links(members: DataFrame, failed: DataFrame | None, count: int, forests: int) -> DataFrame:
     """``(a, b)``: links within REACH of wide prints between nodes of different ``label``, the nearest pairs of a key first.
 
     Within a key the first forest takes a pair whose ends it doesn't connect yet, else the second does, and so on; a
-    pair that all ``forests`` connect is left out, and so is one that a node's ``failed`` names.
+    pair that all ``forests`` connect is left out, and so is one of ``failed`` (node, lead), which goes to the keys that
+    both of its nodes have.
     """
-    keyed = members.select("node", "fp", "wide", "label", "failed", F.explode(sampled_keys(F.col("fp"), count, SAMPLED)).alias("key"))
+    keys = sampled_keys(F.col("fp"), count, SAMPLED)
+    keyed = members.select("node", "fp", "wide", "label", F.lit(None).cast("long").alias("lead"), F.explode(keys).alias("key"))
+    if failed is not None:
+        of = lambda name: members.select(F.col("node").alias(name), keys.alias(f"{name}_keys"))
+        both = failed.join(of("node"), "node").join(of("lead"), "lead")
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = both.select("node", none("long").alias("fp"), none("binary").alias("wide"), none("long").alias("label"), "lead", F.explode(F.array_intersect("node_keys", "lead_keys")).alias("key"))
+        keyed = keyed.unionByName(rows)
     shards = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 20_000)
 
     def run(batches):
-        found = [(*(b.column(k).to_numpy() for k in (0, 1, 3, 5)), b.column(2).to_pylist(), b.column(4).to_pylist()) for b in batches]
+        found, failed = [], set()
+        for b in batches:
+            told = b.filter(pc.is_valid(b.column("lead")))
+            failed.update(zip(told.column("node").to_pylist(), told.column("lead").to_pylist()))
+            b = b.filter(pc.is_null(b.column("lead")))
+            found.append((*(b.column(x).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for x in ("node", "fp", "label", "key")), b"".join(b.column("wide").to_pylist())))
         if not found:
             return
         node, fp, label, keys = (np.concatenate([f[k] for f in found]) for k in range(4))
-        wide = np.frombuffer(b"".join(x for f in found for x in f[4]), "<u8").reshape(-1, WIDE)
-        failed = [set(x) if x else () for f in found for x in f[5]]
+        wide = np.frombuffer(b"".join(f[4] for f in found), "<u8").reshape(-1, WIDE)
+        names = node.tolist()
         order = np.lexsort((label, keys))
         again = np.flatnonzero((keys[order][1:] == keys[order][:-1]) & (label[order][1:] == label[order][:-1])) + 1
         sets, links = [Sets(len(node)) for _ in range(forests)], []
@@ -224,11 +238,12 @@ def _wide_links(members: DataFrame, count: int, forests: int) -> DataFrame:
             far[label[i] == label[j]] = REACH + 1
             order = np.argsort(far, kind="stable")[: int((far <= REACH).sum())]
             for x, y in zip(i[order].tolist(), j[order].tolist()):
-                if (not failed[x] or node[y] not in failed[x]) and any(s.join(x, y) for s in sets):
-                    links.append((node[x], node[y]))
+                pair = (max(names[x], names[y]), min(names[x], names[y]))
+                if pair not in failed and any(s.join(x, y) for s in sets):
+                    links.append(pair)
         if links:
             a, b = zip(*links)
-            yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return keyed.repartition(shards, "key").mapInArrow(run, "a long, b long").distinct()
 
@@ -259,10 +274,10 @@ def _families(members: DataFrame, texts: DataFrame, k: int, similarity: float) -
     """
     nodes = lambda df, *cols: reduce(DataFrame.unionByName, [df.select(F.col(c).alias("node")) for c in cols]).distinct()
     labels = members.select("node", F.col("node").alias("label"))
-    count, now, failed, forests = max(1, members.count()), members.withColumns({"label": F.col("node"), "failed": F.lit(None).cast("array<long>")}), None, 1
+    count, now, failed, forests = max(1, members.count()), members.withColumn("label", F.col("node")), None, 1
     spark = members.sparkSession
     while True:
-        links = cut(_wide_links(now, count, forests), "wide-links")
+        links = cut(_wide_links(now, failed, count, forests), "wide-links")
         if links.isEmpty():
             return labels
         # One text for each print that has a link, its document's with the smallest id.
@@ -279,9 +294,7 @@ def _families(members: DataFrame, texts: DataFrame, k: int, similarity: float) -
         without = new.where("not held").select("node", "lead")
         failed = without if failed is None else failed.unionByName(without)
         between = nodes(ends(failed).where("label <> lead_label"), "label", "lead_label").select(F.col("node").alias("label"))
-        both = failed.unionByName(failed.select(F.col("lead").alias("node"), F.col("node").alias("lead")))
-        both = both.groupBy("node").agg(F.collect_set("lead").alias("failed"))
-        now = cut(members.join(labels.join(between, "label", "left_semi"), "node").join(both, "node", "left"), "searched-again")
+        now = cut(members.join(labels.join(between, "label", "left_semi"), "node"), "searched-again")
         if now.isEmpty():
             return labels
         if forests == 1:
