@@ -7,6 +7,8 @@ holds a forest: one tree for each of its keys.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: All edges shorter than the index, as bits.
@@ -101,7 +103,12 @@ class Sets:
     """Disjoint sets over 0 .. n-1, joined one pair at a time."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up = array("i", range(n))
+
+    def copy(self) -> Sets:
+        out = Sets(0)
+        out.up = self.up[:]
+        return out
 
     def root(self, x: int) -> int:
         up = self.up

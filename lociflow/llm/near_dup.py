@@ -226,10 +226,10 @@ def _wide_links(members: DataFrame, failed: DataFrame | None, count: int, forest
         names = node.tolist()
         order = np.lexsort((label, keys))
         again = np.flatnonzero((keys[order][1:] == keys[order][:-1]) & (label[order][1:] == label[order][:-1])) + 1
-        sets, links = [Sets(len(node)) for _ in range(forests)], []
-        for s in sets:  # what hangs together already does so in every forest
-            for x, y in zip(order[again].tolist(), order[again - 1].tolist()):
-                s.join(x, y)
+        base, links = Sets(len(node)), []
+        for x, y in zip(order[again].tolist(), order[again - 1].tolist()):
+            base.join(x, y)  # what hangs together already does so in every forest
+        sets = [base.copy()]
         _, tree, size = np.unique(keys, return_inverse=True, return_counts=True)
         some = np.flatnonzero(size[tree] > 1)
         for i, j in Forest(keys[some], fp[some].view(np.uint64)).neighbours(LOOSE) if len(some) else ():
@@ -239,8 +239,14 @@ def _wide_links(members: DataFrame, failed: DataFrame | None, count: int, forest
             order = np.argsort(far, kind="stable")[: int((far <= REACH).sum())]
             for x, y in zip(i[order].tolist(), j[order].tolist()):
                 pair = (max(names[x], names[y]), min(names[x], names[y]))
-                if pair not in failed and any(s.join(x, y) for s in sets):
-                    links.append(pair)
+                if pair in failed:
+                    continue
+                if not any(s.join(x, y) for s in sets):
+                    if len(sets) == forests:
+                        continue
+                    sets.append(base.copy())
+                    sets[-1].join(x, y)
+                links.append(pair)
         if links:
             a, b = zip(*links)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -332,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(texts.mapInArrow(run, "id long, tie long, fp long, fp2 long, wide binary, shingles binary"), "pair-prints")
     groups = prints.groupBy("fp", "fp2", "shingles").agg(F.min(F.struct("id", "tie")).alias("first"), F.min("wide").alias("wide"))
     groups = cut(groups.select("fp", "fp2", "wide", "first.id", "first.tie", F.monotonically_increasing_id().alias("node")), "pair-groups")
-    left = _loose_links(groups, groups.count())
+    left = cut(_loose_links(groups, groups.count()), "loose-links")  # read twice: which links span a set isn't settled
     near = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     members = cut(groups.join(near, "node"), "loose")
     tied = groups.select("node", "id").join(_families(members, texts, k, similarity), "node")
