@@ -179,6 +179,9 @@ def sampled_keys(fp: Column, count: int, radius: int, miss: float = 0.01, bits:
 #: far links reach in it. Texts that share 0.8 of their shingles differ in 0.15 of the bits: in 19 of 128 (deviation
 #: 4) and 78 of 512 (deviation 8); unlike texts in 64 and 256. REACH lies almost 4 deviations above, so that the shingles decide.
 SAMPLED, LOOSE, LOOSE_WHOLE, WIDE, REACH = 12, 18, 32, 8, 108
+#: How far links reach in families that are searched again: two deviations above, as those of variants just under the
+#: similarity are very many.
+AGAIN = 94
 
 
 def _loose_links(groups: DataFrame, count: int) -> DataFrame:
@@ -195,8 +198,8 @@ def _loose_links(groups: DataFrame, count: int) -> DataFrame:
     return keyed.repartition(shards, "key").mapInArrow(run, "a long, b long").distinct()
 
 
-def _wide_links(members: DataFrame, failed: DataFrame | None, count: int, forests: int) -> DataFrame:
-    """``(a, b)``: links within REACH of wide prints between nodes of different ``label``, the nearest pairs of a key first.
+def _wide_links(members: DataFrame, failed: DataFrame | None, count: int, forests: int, reach: int) -> DataFrame:
+    """``(a, b)``: links within ``reach`` of wide prints between nodes of different ``label``, the nearest pairs of a key first.
 
     Within a key the first forest takes a pair whose ends it doesn't connect yet, else the second does, and so on; a
     pair that all ``forests`` connect is left out, and so is one of ``failed`` (node, lead), which goes to the keys that
@@ -235,8 +238,8 @@ def _wide_links(members: DataFrame, failed: DataFrame | None, count: int, forest
         for i, j in Forest(keys[some], fp[some].view(np.uint64)).neighbours(LOOSE) if len(some) else ():
             i, j = some[i], some[j]
             far = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
-            far[label[i] == label[j]] = REACH + 1
-            order = np.argsort(far, kind="stable")[: int((far <= REACH).sum())]
+            far[label[i] == label[j]] = reach + 1
+            order = np.argsort(far, kind="stable")[: int((far <= reach).sum())]
             for x, y in zip(i[order].tolist(), j[order].tolist()):
                 pair = (max(names[x], names[y]), min(names[x], names[y]))
                 if pair in failed:
@@ -272,7 +275,7 @@ def _verified(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
 
 def _families(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """``(node, label)`` of all ``members``: nodes have a label in common if links of ``similarity`` connect them, of all pairs
-    under a common key and within REACH.
+    under a common key and within REACH (AGAIN if a link that fails hides them).
 
     A link that doesn't hold may have kept another pair of the same sets from being looked at. So the families that
     one lies between are searched again, for links between them other than those that failed, with more forests each
@@ -283,7 +286,7 @@ def _families(members: DataFrame, texts: DataFrame, k: int, similarity: float) -
     count, now, failed, forests = max(1, members.count()), members.withColumn("label", F.col("node")), None, 1
     spark = members.sparkSession
     while True:
-        links = cut(_wide_links(now, failed, count, forests), "wide-links")
+        links = cut(_wide_links(now, failed, count, forests, REACH if forests == 1 else AGAIN), "wide-links")
         if links.isEmpty():
             return labels
         # One text for each print that has a link, its document's with the smallest id.
@@ -305,7 +308,7 @@ def _families(members: DataFrame, texts: DataFrame, k: int, similarity: float) -
             return labels
         if forests == 1:
             texts = cut(texts.join(now.select("id", "tie").distinct(), ["id", "tie"], "left_semi"), "family-texts")
-        forests *= 8
+        forests *= 4
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
