@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Nodes are of any orderable type. Edges with a null end are ignored, self-loops and repeats do no
     harm, and a node whose only edge is a self-loop is its own component. Each round writes its edges
-    to the shared folder; the number of rounds grows with the logarithm of the longest path.
+    to the shared folder, in files by their count; the number of rounds grows with the logarithm of the longest path.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = None
@@ -56,7 +56,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = state
         if state[0] == 0:
             break
-        now = cut(_small(_large(now)), "edges")
+        now = cut(_small(_large(now)), "edges", state[0])
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))

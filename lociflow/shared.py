@@ -44,10 +44,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a narrow table that a file of it should hold at least, and the files that it has however few its rows are.
+FILE_ROWS, LEAST_FILES = 250_000, 8
+
+
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files for a narrow table of about so many rows: no more than shuffle partitions, of which most would be near empty."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST_FILES, rows // FILE_ROWS))
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation of what came before."""
+    executor costs no recomputation of what came before. ``rows``, if about known, bounds the files of a narrow table."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(files_for(spark, rows))
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
