@@ -146,7 +146,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Copies meet in one print first (a combined aggregate), so a group of copies of any size is one node.
     """
     prints = cut(with_fingerprints(docs, id_col, text_col, k), "prints")
-    groups = cut(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "print-groups")
+    groups = cut(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "print-groups", prints.count())
     found = connected_components(print_links(groups, groups.count(), radius))
     tied = groups.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("comp"))
     lows = tied.where("comp <> fp").select("comp").distinct()
@@ -299,11 +299,11 @@ def _families(members: DataFrame, texts: DataFrame, k: int, similarity: float) -
         spark.conf.set(BATCH_ROWS, rows)
         ends = lambda df: df.join(labels, "node").join(labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")), "lead")
         joined = connected_components(ends(new.where("held")), "label", "lead_label").select(F.col("node").alias("label"), "component")
-        labels = cut(labels.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "families")
+        labels = cut(labels.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "families", count)
         without = new.where("not held").select("node", "lead")
         failed = without if failed is None else failed.unionByName(without)
         between = nodes(ends(failed).where("label <> lead_label"), "label", "lead_label").select(F.col("node").alias("label"))
-        now = cut(members.join(labels.join(between, "label", "left_semi"), "node"), "searched-again")
+        now = cut(members.join(labels.join(between, "label", "left_semi"), "node"), "searched-again", count)
         if now.isEmpty():
             return labels
         if forests == 1:
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"))
     prints = cut(texts.mapInArrow(run, "id long, tie long, fp long, fp2 long, wide binary, shingles binary"), "pair-prints")
     groups = prints.groupBy("fp", "fp2", "shingles").agg(F.min(F.struct("id", "tie")).alias("first"), F.min("wide").alias("wide"))
-    groups = cut(groups.select("fp", "fp2", "wide", "first.id", "first.tie", F.monotonically_increasing_id().alias("node")), "pair-groups")
+    groups = cut(groups.select("fp", "fp2", "wide", "first.id", "first.tie", F.monotonically_increasing_id().alias("node")), "pair-groups", prints.count())
     left = cut(_loose_links(groups, groups.count()), "loose-links")  # read twice: which links span a set isn't settled
     near = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     members = cut(groups.join(near, "node"), "loose")
