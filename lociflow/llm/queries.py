@@ -10,7 +10,8 @@ from lociflow.llm.lm_scoring import op2
 from lociflow.llm.mixing import op10
 from lociflow.llm.near_dup import op1
 from lociflow.llm.pfor import op7
-from lociflow.llm.sql import MIXING, TOP_K
+from lociflow.llm.snapshot_diff import op13
+from lociflow.llm.sql import MIXING, SNAPSHOT, TOP_K
 from lociflow.llm.suffix_dedup import op4
 from lociflow.llm.topk import op9
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_fuzzy_line_dedup": op8,
     "op9_branch_and_bound_top_k": op9,
     "op10_poisson_mixing": op10,
+    "op13_snapshot_difference": op13,
 }
 
-SQL = {"op10_poisson_mixing": MIXING, "op9_branch_and_bound_top_k": TOP_K}
+SQL = {"op10_poisson_mixing": MIXING, "op9_branch_and_bound_top_k": TOP_K, "op13_snapshot_difference": SNAPSHOT}

@@ -51,3 +51,36 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+#: CRC-32 of an id's decimal digits, bit by bit.
+CRC = """(SELECT CASE WHEN {id} IS NULL THEN NULL ELSE xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+  list_transform(range(1, length({id}::VARCHAR) + 1), lambda i: ascii(substr({id}::VARCHAR, i, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384::BIGINT * (a & 1))))) END)"""
+
+SNAPSHOT = f"""
+WITH old AS (
+  SELECT doc_id AS key, text, lang, source, {CRC.format(id="doc_id")} % 10 AS r FROM documents
+), new AS (
+  SELECT CASE WHEN r IN (3, 4) THEN -1 - key ELSE key END AS key, CASE WHEN r = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+         CASE WHEN r = 2 THEN source ELSE lang END AS lang, CASE WHEN r = 2 THEN lang WHEN r = 4 THEN NULL ELSE source END AS source
+  FROM old WHERE r IS NULL OR r <> 0
+  UNION ALL SELECT -1 - key, text, lang, source FROM old WHERE r = 5
+), paired AS (
+  SELECT n.key, o.key AS old_key, concat_ws(',', CASE WHEN o.text IS DISTINCT FROM n.text THEN 'text' END, CASE WHEN o.lang IS DISTINCT FROM n.lang THEN 'lang' END,
+         CASE WHEN o.source IS DISTINCT FROM n.source THEN 'source' END) AS changed, n.text, n.lang, n.source
+  FROM old o JOIN new n ON o.key = n.key
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY key) AS i FROM old WHERE key IS NULL OR key NOT IN (SELECT key FROM paired)
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY key) AS i FROM new WHERE key IS NULL OR key NOT IN (SELECT key FROM paired)
+), found AS (
+  SELECT key, old_key, CASE WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed, text, lang, source FROM paired
+  UNION ALL
+  SELECT CASE WHEN n.i IS NULL THEN o.key ELSE n.key END, o.key, CASE WHEN n.i IS NULL THEN 'delete' WHEN o.i IS NULL THEN 'insert' ELSE 'rekey' END, '', n.text, n.lang, n.source
+  FROM o FULL JOIN n ON o.i = n.i AND o.text IS NOT DISTINCT FROM n.text AND o.lang IS NOT DISTINCT FROM n.lang AND o.source IS NOT DISTINCT FROM n.source
+)
+SELECT key, old_key, op, changed,
+       CASE WHEN op <> 'delete' THEN sha256(concat_ws(chr(10), coalesce(text, '~'), coalesce(lang, '~'), coalesce(source, '~'))) END AS row_sha256,
+       CASE WHEN op = 'insert' THEN 0 ELSE 1 END::BIGINT AS old_copies, CASE WHEN op = 'delete' THEN 0 ELSE 1 END::BIGINT AS new_copies
+FROM found
+"""
