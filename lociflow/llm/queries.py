@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lociflow.llm.decontam import op3
+from lociflow.llm.divergence import op12
 from lociflow.llm.fuzzy_lines import op8
 from lociflow.llm.language_id import op6
 from lociflow.llm.lengths import op5
@@ -11,7 +12,7 @@ from lociflow.llm.mixing import op10
 from lociflow.llm.near_dup import op1
 from lociflow.llm.pfor import op7
 from lociflow.llm.snapshot_diff import op13
-from lociflow.llm.sql import MIXING, SNAPSHOT, TOP_K
+from lociflow.llm.sql import DIVERGENCE, MIXING, SNAPSHOT, TOP_K
 from lociflow.llm.suffix_dedup import op4
 from lociflow.llm.topk import op9
 
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_fuzzy_line_dedup": op8,
     "op9_branch_and_bound_top_k": op9,
     "op10_poisson_mixing": op10,
+    "op12_source_divergence": op12,
     "op13_snapshot_difference": op13,
 }
 
-SQL = {"op10_poisson_mixing": MIXING, "op9_branch_and_bound_top_k": TOP_K, "op13_snapshot_difference": SNAPSHOT}
+SQL = {"op10_poisson_mixing": MIXING, "op9_branch_and_bound_top_k": TOP_K, "op12_source_divergence": DIVERGENCE, "op13_snapshot_difference": SNAPSHOT}

@@ -84,3 +84,35 @@ SELECT key, old_key, op, changed,
        CASE WHEN op = 'insert' THEN 0 ELSE 1 END::BIGINT AS old_copies, CASE WHEN op = 'delete' THEN 0 ELSE 1 END::BIGINT AS new_copies
 FROM found
 """
+
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), words AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), vocabulary AS (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), sizes AS (
+  SELECT lang, count(v.term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN vocabulary v USING (lang) GROUP BY lang
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN vocabulary USING (lang, term) GROUP BY ALL
+), grid AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g JOIN vocabulary v USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), own AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM grid JOIN sizes USING (lang)
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM grid GROUP BY ALL) JOIN sizes USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
