@@ -11,6 +11,7 @@ from lociflow.llm.lm_scoring import op2
 from lociflow.llm.mixing import op10
 from lociflow.llm.near_dup import op1
 from lociflow.llm.pfor import op7
+from lociflow.llm.quality import op11
 from lociflow.llm.snapshot_diff import op13
 from lociflow.llm.sql import DIVERGENCE, MIXING, SNAPSHOT, TOP_K
 from lociflow.llm.suffix_dedup import op4
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_fuzzy_line_dedup": op8,
     "op9_branch_and_bound_top_k": op9,
     "op10_poisson_mixing": op10,
+    "op11_fourier_quality": op11,
     "op12_source_divergence": op12,
     "op13_snapshot_difference": op13,
 }
