@@ -22,7 +22,7 @@ LEAST_DOCS, TOP = 3, 200
 #: Characters of text, and rows of kept terms, for each shard.
 SHARD_CHARS, SHARD_ROWS = 32 << 20, 400_000
 #: Terms that a task counts before it sends them on; rows that DuckDB holds before it sums them up; bytes of a text split at a time.
-HELD_TERMS, HELD_ROWS, SLICE = 200_000, 1_000_000, 1 << 20
+HELD_TERMS, HELD_ROWS, SLICE = 500_000, 2_000_000, 1 << 20
 #: Ranks are merged in so many parts of a source first.
 PARTS = 16
 
@@ -54,9 +54,11 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     """``(lang, term, source, n, docs)``: partial counts, and a row with the empty term for each language and source met."""
 
     def rows(held):
-        parts = [(g, w, n, d[w]) for g, (c, d) in held.items() for w, n in [*c.items(), (b"", 0)]]
-        cols = [pa.array([g[0] for g, *_ in parts]), pa.array([x[1] for x in parts], pa.binary()).cast(pa.string()), pa.array([g[1] for g, *_ in parts])]
-        return pa.record_batch([*cols, pa.array([x[2] for x in parts], pa.int64()), pa.array([x[3] for x in parts], pa.int64())], ["lang", "term", "source", "n", "docs"])
+        for (of_lang, of_source), (counts, having) in held.items():
+            counts[b""], having[b""] = 0, 0
+            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+            numbers = [pa.array(list(counts.values()), pa.int64()), pa.array(list(map(having.__getitem__, counts)), pa.int64())]
+            yield pa.record_batch([pa.repeat(pa.scalar(of_lang), len(terms)), terms, pa.repeat(pa.scalar(of_source), len(terms)), *numbers], ["lang", "term", "source", "n", "docs"])
 
     def run(batches):
         held, size = {}, 0
@@ -71,10 +73,9 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
                 having.update(own)
                 size += len(counts)
                 if size > HELD_TERMS:
-                    yield rows(held)
+                    yield from rows(held)
                     held, size = {}, 0
-        if held:
-            yield rows(held)
+        yield from rows(held)
 
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return docs.select(name(lang).alias("lang"), name(source).alias("source"), F.col(text).cast("string").alias("text")).mapInArrow(run, COUNTS)
@@ -86,7 +87,7 @@ def kept_terms(counts: DataFrame, shards: int, least_docs: int) -> DataFrame:
 
     def run(batches):
         con = _database()
-        con.execute("CREATE TABLE held (lang VARCHAR, term VARCHAR, source VARCHAR, n HUGEINT, docs HUGEINT)")
+        con.execute("CREATE TABLE held (lang VARCHAR, term VARCHAR, source VARCHAR, n BIGINT, docs BIGINT)")
         rows, limit = 0, HELD_ROWS
         for batch in batches:
             con.register("batch", pa.Table.from_batches([batch]))
@@ -94,7 +95,7 @@ def kept_terms(counts: DataFrame, shards: int, least_docs: int) -> DataFrame:
             con.unregister("batch")
             rows += batch.num_rows
             if rows > limit:
-                con.execute("CREATE OR REPLACE TABLE held AS SELECT lang, term, source, sum(n) AS n, sum(docs) AS docs FROM held GROUP BY ALL")
+                con.execute("CREATE OR REPLACE TABLE held AS SELECT lang, term, source, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY ALL")
                 rows = con.execute("SELECT count(*) FROM held").fetchall()[0][0]
                 limit = max(HELD_ROWS, 2 * rows)
         found = con.sql(f"""
