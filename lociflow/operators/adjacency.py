@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions.model import adjacency_id, c, position_key, reciprocal_coord, strand_ord
+from lociflow.operators.scan import runs
 
 
 def canonical(rows: DataFrame) -> DataFrame:
@@ -83,10 +84,12 @@ def near_pairs(ends: DataFrame, reach: int, strict: bool = False) -> DataFrame:
 
 
 def clusters(ends: DataFrame, window: int = 300) -> DataFrame:
-    """Breakends with ``cluster``: numbers within a chromosome, a new one where the next lies further than ``window``."""
-    w = Window.partitionBy("chr").orderBy("coord", strand_ord("strand"), "aid", "side")
-    new = F.when(F.col("coord") - F.lag("coord").over(w) <= window, 0).otherwise(1)
-    return ends.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(w)).drop("__new")
+    """Breakends with ``cluster``: numbers within a chromosome, a new one where the next lies further than ``window``.
+
+    Only distinct coordinates are scanned, however many breakends share one.
+    """
+    spots = runs(ends.select("chr", "coord").distinct(), ["chr"], "coord", ["coord"], F.struct("coord"), lambda p, s: s["coord"] - p["coord"] > window)
+    return ends.join(spots.select("chr", "coord", F.col("run").alias("cluster")), ["chr", "coord"]).select(*ends.columns, "cluster")
 
 
 def split_clusters(clustered: DataFrame) -> DataFrame:
@@ -112,17 +115,17 @@ def snapped(split: DataFrame) -> DataFrame:
 def reciprocal_moves(ends: DataFrame, reach: int = 50) -> DataFrame:
     """``(chr, coord, strand, new_coord)`` of positions that face a neighbour on the other strand within ``reach`` and share no
     adjacency with it; neighbours pair greedily from the left. + goes to the middle, - next to it."""
-    at = ends.groupBy("chr", "coord", "strand").agg(F.collect_set("aid").alias("aids"))
-    w = Window.partitionBy("chr").orderBy("coord", strand_ord("strand"))
-    nxt = lambda x: F.lead(x).over(w)
-    fits = (nxt("coord") - F.col("coord") <= reach) & (nxt("strand") != F.col("strand")) & ~F.arrays_overlap("aids", nxt("aids"))
-    rows = at.withColumn("__fits", F.coalesce(fits, F.lit(False))).withColumn("__next", nxt(F.struct("coord", "strand")))
-    rows = rows.withColumn("__run", F.sum(F.when(F.col("__fits"), 0).otherwise(1)).over(w))
-    v = Window.partitionBy("chr", "__run", "__fits").orderBy("coord", strand_ord("strand"))
-    pairs = rows.where("__fits").withColumn("__rank", F.row_number().over(v)).where("__rank % 2 = 1")
-    middle = F.col("coord") + F.floor((F.col("__next.coord") - F.col("coord")) / 2).cast("long")
-    both = F.explode(F.array(F.struct("coord", "strand"), F.col("__next"))).alias("p")
-    moves = pairs.select("chr", middle.alias("m"), both)
+    spots = ends.select("chr", "coord", "strand").distinct()
+    # Of adjacencies with both ends within reach: how far before a position the other end lies, at most reach + 1 numbers.
+    own = ends.groupBy("aid").agg(F.min_by(F.struct("chr", "coord", "strand"), "side").alias("p"), F.max_by(F.struct("chr", "coord", "strand"), "side").alias("q"))
+    swap = F.struct("p.coord", strand_ord("p.strand")) > F.struct("q.coord", strand_ord("q.strand"))
+    own = own.where("p.chr = q.chr and p.strand <> q.strand").select(F.when(swap, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("q"))
+    tied = own.withColumn("d", F.col("q.coord") - F.col("p.coord")).where(F.col("d") <= reach).groupBy("q.chr", "q.coord", "q.strand").agg(F.collect_set("d").alias("tied"))
+    spots = spots.join(tied, ["chr", "coord", "strand"], "left")
+    apart = lambda p, s: (s["coord"] - p["coord"] > reach) | (s["strand"] == p["strand"]) | F.coalesce(F.array_contains(s["tied"], s["coord"] - p["coord"]), F.lit(False))
+    found = runs(spots, ["chr"], "coord", ["coord", strand_ord("strand")], F.struct("coord", "strand", "tied"), apart)
+    pair = found.groupBy("chr", "run", F.floor(F.col("place") / 2).alias("pair")).agg(F.min_by(F.struct("coord", "strand"), "place").alias("p"), F.max_by(F.struct("coord", "strand"), "place").alias("q"), F.count("*").alias("n")).where("n = 2")
+    moves = pair.select("chr", (F.col("p.coord") + F.floor((F.col("q.coord") - F.col("p.coord")) / 2).cast("long")).alias("m"), F.explode(F.array("p", "q")).alias("p"))
     return moves.select("chr", "p.coord", "p.strand", F.when(F.col("p.strand") == "+", F.col("m")).otherwise(F.col("m") + 1).alias("new_coord"))
 
 
@@ -179,7 +182,9 @@ def concatenated(tables: list[DataFrame], unique: str | None = None, id_col: str
 
 def neighbours(ends: DataFrame) -> DataFrame:
     """Breakends with ``rank``: dense number of the position along its chromosome."""
-    return ends.withColumn("rank", F.dense_rank().over(Window.partitionBy("chr").orderBy("coord", strand_ord("strand"))))
+    place = ["chr", "coord", "strand"]
+    spots = runs(ends.select(*place).distinct(), ["chr"], "coord", ["coord", strand_ord("strand")], F.struct("coord"), lambda p, s: F.lit(True))
+    return ends.join(spots.select(*place, F.col("run").alias("rank")), place).select(*ends.columns, "rank")
 
 
 def short_labelings(adjacencies: DataFrame, longest: int = 1000) -> DataFrame:
@@ -197,48 +202,3 @@ def stable_ids(adjacencies: DataFrame) -> DataFrame:
 def faced(ends: DataFrame) -> DataFrame:
     """The position that each breakend faces in the reference."""
     return ends.select("aid", "side", "chr", reciprocal_coord("coord", "strand").alias("coord"), F.when(F.col("strand") == "+", "-").otherwise("+").alias("strand"))
-
-
-def merged(adjacencies: DataFrame, reach: int, order: str = "ord") -> DataFrame:
-    """Near-duplicates merged in order of arrival: ``(mid, chr1, coord1, strand1, chr2, coord2, strand2, members)``.
-
-    Each adjacency joins the nearest cluster both of whose ends are less than ``reach`` away, or begins one; the
-    cluster's coordinates become the truncated means of its members. The outcome depends on the order, so an
-    adjacency's chromosomes and strands are taken one after another, in parallel with all others.
-    """
-    key = ["chr1", "strand1", "chr2", "strand2"]
-
-    def run(pdf):
-        import pandas as pd
-        from bisect import bisect_left, insort
-
-        pdf = pdf.sort_values([order, "aid"])
-        found: list[list] = []  # sums, members
-        index: list[tuple[int, int]] = []  # (coord1, number), sorted
-        for r in pdf.itertuples(index=False):
-            x, y = int(r.coord1), int(r.coord2)
-            best = None
-            k = bisect_left(index, (x - reach + 1, -1))
-            while k < len(index) and index[k][0] < x + reach:
-                n = index[k][1]
-                d1, d2 = abs(found[n][0] // len(found[n][2]) - x), abs(found[n][1] // len(found[n][2]) - y)
-                if d2 < reach and (best is None or (d1 + d2, n) < best):
-                    best = (d1 + d2, n)
-                k += 1
-            if best is None:
-                found.append([x, y, [r.aid]])
-                insort(index, (x, len(found) - 1))
-            else:
-                own = found[best[1]]
-                index.remove((own[0] // len(own[2]), best[1]))
-                own[0], own[1] = own[0] + x, own[1] + y
-                own[2].append(r.aid)
-                insort(index, (own[0] // len(own[2]), best[1]))
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            [(m[0], first.chr1, s1 // len(m), first.strand1, first.chr2, s2 // len(m), first.strand2, m) for s1, s2, m in found],
-            columns=["mid", "chr1", "coord1", "strand1", "chr2", "coord2", "strand2", "members"],
-        )
-
-    rows = adjacencies.select("aid", *key, "coord1", "coord2", order)
-    return rows.groupBy(*key).applyInPandas(run, "mid string, chr1 string, coord1 long, strand1 string, chr2 string, coord2 long, strand2 string, members array<string>")

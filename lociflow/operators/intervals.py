@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions.model import position_key, segment_id
+from lociflow.operators.scan import beside, runs
+from lociflow.shared import cut as written
 
 #: Widths of bins, narrowest first. An interval lies in bins of the first width of which it spans few, so
 #: intervals of any size lie in few bins and a point in one of each width.
@@ -65,24 +67,20 @@ def overlap_join(left: DataFrame, right: DataFrame, chr_="chr", start="start", e
     return a.join(b, same & once & touch).drop("__al", "__bl", "__l", "__m", "__x", "__y")
 
 
-def _in_order(*ties: str):
-    return Window.partitionBy("chr").orderBy("start", "end", *ties)
-
-
 def overlapping_segments(segments: DataFrame) -> DataFrame:
     """Segments that begin before the one before them on the chromosome has ended, with that end."""
-    return segments.withColumn("previous_end", F.lag("end").over(_in_order("sid"))).where(F.col("previous_end") >= F.col("start"))
+    rows = beside(segments, ["chr"], "start", ["start", "end", "sid"], F.struct("end"))
+    return rows.withColumn("previous_end", F.col("before.end")).where(F.col("previous_end") >= F.col("start")).drop("before", "after")
 
 
 def reference_adjacencies(segments: DataFrame) -> DataFrame:
     """Between neighbours on a chromosome; named r1, r2, ... by chromosome (as text), start and end."""
-    w = _in_order()
-    pairs = segments.select("chr", F.col("end").alias("coord1"), F.lead("start").over(w).alias("coord2"), "start", "end").where("coord2 is not null")
-    counts = pairs.groupBy("chr").agg(F.count("*").alias("n"))
-    # Numbers run within chromosomes and are shifted by those before: one row a chromosome, no global sort.
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.chr") < F.col("a.chr"), "left").groupBy(F.col("a.chr").alias("chr")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    number = F.row_number().over(w) + F.col("before")
-    out = pairs.join(before, "chr").select(F.concat(F.lit("r"), number.cast("string")).alias("aid"), "chr", "coord1", "coord2")
+    pairs = beside(segments.select("chr", "start", "end"), ["chr"], "start", ["start", "end"], F.struct("start")).where("after is not null")
+    numbered = runs(pairs.select("chr", "start", "end", F.col("end").alias("coord1"), F.col("after.start").alias("coord2")), ["chr"], "start", ["start", "end"], F.struct("start"), lambda p, s: F.lit(True))
+    # Numbers run within chromosomes and are shifted by those before: one row a chromosome.
+    counts = segments.groupBy("chr").agg((F.count("*") - 1).alias("n"))
+    before = counts.select("chr", F.coalesce(F.sum("n").over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    out = numbered.join(before, "chr").select(F.concat(F.lit("r"), (F.col("run") + F.col("before")).cast("string")).alias("aid"), "chr", "coord1", "coord2")
     return out.select("aid", F.col("chr").alias("chr1"), "coord1", F.lit("+").alias("strand1"), F.col("chr").alias("chr2"), "coord2", F.lit("-").alias("strand2"), F.lit("R").alias("at"))
 
 
@@ -145,27 +143,30 @@ def refined(
     if outermost is not None:
         segments = extended_outermost(segments, outermost, margin)
     rows = segments.join(vectors(scnt), "sid", "left")
-    w = _in_order("sid")
-    before, gap = F.lag("end").over(w), F.col("start") - F.lag("end").over(w)
-    wrong = F.raise_error(F.concat(F.lit("overlapping segments at "), F.col("sid"))).cast("int")
-    breaks = F.when(before.isNull(), 1).when(before >= F.col("start"), wrong)
-    breaks = breaks.when(F.lit(not merge) | (gap > max_merge_gap) | ~F.col("cns").eqNullSafe(F.lag("cns").over(w)), 1).otherwise(0)
-    islands = rows.withColumn("__new", breaks).withColumn("__island", F.sum("__new").over(w))
-    merged = islands.groupBy("chr", "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("cns").alias("cns"), F.collect_list("sid").alias("old"))
-    v = Window.partitionBy("chr").orderBy("start")
-    after, ahead = F.lead("start").over(v) - F.col("end"), F.col("start") - F.lag("end").over(v)
+
+    def apart(p, s):
+        gap = s["start"] - p["end"]
+        wrong = F.raise_error(F.concat(F.lit("overlapping segments at "), s["sid"])).cast("boolean")
+        return F.when(gap <= 0, wrong).otherwise(F.lit(not merge) | (gap > max_merge_gap) | ~s["cns"].eqNullSafe(p["cns"]))
+
+    islands = runs(rows, ["chr"], "start", ["start", "end", "sid"], F.struct("start", "end", "cns", "sid"), apart)
+    islands = written(islands.select("chr", "start", "end", "cns", "sid", "run"), "islands")  # read three times
+    merged = islands.groupBy("chr", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("cns").alias("cns"))
     if fill:
+        merged = beside(merged, ["chr"], "start", ["start"], F.struct("start", "end"))
         fits = lambda d: (d >= 2) & (d <= max_fill_gap)
         half = lambda d: F.floor(d / 2).cast("long")
+        after, ahead = F.col("after.start") - F.col("end"), F.col("start") - F.col("before.end")
         merged = merged.select(
             "chr",
-            F.when(fits(ahead), F.lag("end").over(v) + half(ahead) + 1).otherwise(F.col("start")).alias("start"),
+            "run",
+            F.when(fits(ahead), F.col("before.end") + half(ahead) + 1).otherwise(F.col("start")).alias("start"),
             F.when(fits(after), F.col("end") + half(after)).otherwise(F.col("end")).alias("end"),
             "cns",
-            "old",
         )
-    merged = merged.withColumn("sid", segment_id())
-    return merged.select("sid", "chr", "start", "end"), tidy(merged), merged.select("sid", F.explode("old").alias("old_sid"))
+    merged = written(merged.withColumn("sid", segment_id()), "merged")
+    mapping = islands.select("chr", "run", F.col("sid").alias("old_sid")).join(merged.select("chr", "run", "sid"), ["chr", "run"]).select("sid", "old_sid")
+    return merged.select("sid", "chr", "start", "end"), tidy(merged), mapping
 
 
 def cut_points(positions: DataFrame) -> DataFrame:
@@ -223,11 +224,10 @@ def aligned(samples: DataFrame, scnt: DataFrame, fill: bool = True, max_fill_gap
     segs, cn, _ = refined(rows, key(scnt).select("sid", "clone", "hap", "cn"), merge=False, fill=fill, max_fill_gap=max_fill_gap)
     part = lambda i: F.split("chr", "\x1f")[i]
     segs = segs.withColumn("sample", part(0)).withColumn("own", part(1))
-    w, every = Window.partitionBy("chr"), Window.partitionBy("own")
-    low, high = F.min("start").over(every), F.max("end").over(every)
-    segs = segs.withColumn("__f", F.col("start") == F.min("start").over(w)).withColumn("__l", F.col("end") == F.max("end").over(w))
-    segs = segs.withColumn("__low", low).withColumn("__high", high)
-    segs = segs.withColumn("start", F.when(F.col("__f"), F.col("__low")).otherwise(F.col("start"))).withColumn("end", F.when(F.col("__l"), F.col("__high")).otherwise(F.col("end")))
+    outer = segs.groupBy("chr", "own").agg(F.min("start").alias("__f"), F.max("end").alias("__l"))
+    every = outer.groupBy("own").agg(F.min("__f").alias("__low"), F.max("__l").alias("__high"))
+    segs = segs.join(outer.join(every, "own").drop("own"), "chr")
+    segs = segs.withColumn("start", F.when(F.col("start") == F.col("__f"), F.col("__low")).otherwise(F.col("start"))).withColumn("end", F.when(F.col("end") == F.col("__l"), F.col("__high")).otherwise(F.col("end")))
     ends = segs.select("own", F.explode(F.array(F.struct(F.col("start").alias("coord"), F.lit("-").alias("strand")), F.struct(F.col("end").alias("coord"), F.lit("+").alias("strand")))).alias("p"))
     grid = ends.select(F.col("own"), "p.coord", "p.strand").distinct()
     owners = segs.select("chr", "sample", "own").distinct()

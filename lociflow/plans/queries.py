@@ -13,6 +13,7 @@ from lociflow.operators import filters as FL
 from lociflow.operators import graph as G
 from lociflow.operators import groups as GR
 from lociflow.operators import intervals as I
+from lociflow.operators import merging as MG
 from lociflow.operators import reports as R
 from lociflow.operators import tensor as T
 from lociflow.operators.components import connected_components
@@ -887,13 +888,13 @@ def _(v):
     return GR.labeling_violations(v.groups(), v.acnt)
 
 
-# --- order-dependent merging: no SQL
+# --- order-dependent merging: no SQL, held against brute force in tests
 
 
 @query("q_merger")
 def _(v):
-    out = A.merged(v.adj.withColumn("ord", F.col("k")), 20000)
-    return out.select("mid", *ENDS, F.array_join("members", ",").alias("members"))
+    clusters, members = MG.merged(v.adj.withColumn("ord", F.col("k")), 20000)
+    return members.join(clusters, "mid").select("aid", "mid", *ENDS, "n")
 
 
 # --- integer program

@@ -144,12 +144,6 @@ def test_clusters_split_and_snap(spark):
     assert rows(out, "aid", "sub", "new_coord") == [("a", 1, 10), ("b", 2, 26), ("c", 2, 27)]
 
 
-def test_merge_takes_rows_in_order(spark):
-    data = [(f"a{k}", "1", x, "+", "2", y, "-", k) for k, (x, y) in enumerate([(100, 100), (110, 110), (500, 100), (130, 130)])]
-    out = A.merged(spark.createDataFrame(data, ADJ + ", ord long"), 30)
-    assert rows(out.select("mid", "coord1", "coord2", "members")) == [("a0", 113, 113, ["a0", "a1", "a3"]), ("a2", 500, 100, ["a2"])]
-
-
 def test_update_and_concatenate(spark):
     schema = ADJ + ", extra map<string,string>"
     one = spark.createDataFrame([("a", "1", 1, "+", "1", 9, "-", {"x": "1", "y": "2"}), ("b", "1", 1, "+", "1", 8, "-", None)], schema)
