@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow.plans.queries import query
 from lociflow.shared import fresh_path
+from lociflow.sources import bam as BM
 from lociflow.sources import canonical as C
 from lociflow.sources import copy_number as CN
 from lociflow.sources import sinks as S
@@ -203,6 +204,30 @@ def _(v):
     return lines.groupBy(F.split("value", "\t")[0].alias("read")).agg(F.count("*").alias("n"))
 
 
+def _bam(v) -> str:
+    """The same alignments in binary, in several files."""
+    cigar = "if(k % 2 = 0, '5S' || (10 + k % 90) || 'M3D20M', (10 + k % 90) || 'M2I7=')"
+    flag = "CASE WHEN k % 7 = 0 THEN 4 WHEN strand1 = '-' THEN 16 ELSE 0 END"
+    rows = v.adj.selectExpr("'r' || k % 100 AS read", f"CAST({flag} AS INT) AS flag", "chr1 AS chr", "coord1 AS start", "60 AS mapq", f"{cigar} AS cigar")
+    header = BM.Header("@HD\tVN:1.6\tSO:queryname\n", [(str(c), 2_000_000) for c in range(1, 23)])
+    path = fresh_path(v.spark, "bam")
+    BM.write_bam(BM.records(rows, header).repartition(3).sortWithinPartitions("read"), path, header)
+    return path
+
+
+@query("q_read_bam", """SELECT 'r' || k % 100 AS read, chr1 AS chr, coord1 AS start, coord1 + 10 + k % 90 + CASE WHEN k % 2 = 0 THEN 23 ELSE 7 END - 1 AS "end", strand1 AS strand FROM adj WHERE k % 7 <> 0""")
+def _(v):
+    return BM.bam(v.spark, _bam(v), split=60_000).select("read", "chr", "start", "end", "strand")
+
+
+@query("q_filter_bam", "SELECT 'r' || k % 100 AS read, count(*) AS n FROM adj WHERE k % 100 < 30 GROUP BY ALL")
+def _(v):
+    names = v.spark.range(30).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("read"))
+    target = fresh_path(v.spark, "bam")
+    BM.filter_bam(v.spark, _bam(v), target, names, by_name=True)
+    return BM.bam(v.spark, target, mapped=False).groupBy("read").agg(F.count("*").alias("n"))
+
+
 # --- callers that write VCF
 
 

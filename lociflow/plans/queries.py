@@ -947,4 +947,4 @@ def _(v):
     return out.select("row")
 
 
-from lociflow.plans import io_queries  # noqa: E402, F401  (registers the queries of readers and writers)
+from lociflow.plans import io_queries, stream_queries  # noqa: E402, F401  (registers the queries of readers and writers, and of streams)
