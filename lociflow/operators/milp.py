@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.functions.model import PHASINGS, position_id, scaled_length
+from lociflow.operators.scan import numbered
+from lociflow.shared import cut
 
 #: Kept from the model of the inference: at most this many copies of an adjacency where bounds don't say.
 TOP = 20
@@ -51,7 +53,7 @@ def name(kind: str, *parts: str | Column) -> Column:
 
 
 def _clones(i: Inputs) -> DataFrame:
-    return F.broadcast(i.scnt.select("clone").distinct())  # a handful of clones
+    return i.scnt.select("clone").distinct()
 
 
 def _phasings(i: Inputs) -> Column:
@@ -242,21 +244,93 @@ def model(i: Inputs) -> Model:
 
 
 def lp_lines(m: Model) -> DataFrame:
-    """``value``: the model in LP format. Names are numbered ``x1``, ... as comments say."""
-    names = m.variables.select("name").distinct()
-    short = F.concat(F.lit("v"), F.hex(F.xxhash64("name")))
-    term = lambda: F.concat(F.when(F.col("coef") < 0, "- ").otherwise("+ "), F.abs("coef").cast("string"), F.lit(" "), short)
-    listed = lambda df, by: df.withColumn("t", term()).groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("t")), " ").alias("sum"))
-    line = lambda n, v: F.struct(F.lit(n).alias("n"), v.alias("value"))
-    obj = listed(m.objective, []).select(line(1, F.concat(F.lit(" obj: "), "sum")).alias("l"))
-    rows = listed(m.entries, ["row"]).join(m.constraints, "row").select(line(3, F.concat(F.lit(" c"), F.hex(F.xxhash64("row")), F.lit(": "), "sum", F.lit(" "), "sense", F.lit(" "), F.col("rhs").cast("string"))).alias("l"))
-    bound = m.variables.select(line(5, F.concat(F.lit(" "), F.coalesce(F.col("lb").cast("string"), F.lit("-inf")), F.lit(" <= "), short, F.lit(" <= "), F.coalesce(F.col("ub").cast("string"), F.lit("+inf")))).alias("l"))
-    kinds = m.variables.where("kind <> 'C'").select(line(7, F.concat(F.lit(" "), short)).alias("l"))
-    notes = names.select(line(0, F.concat(F.lit("\\ "), short, F.lit(" "), "name")).alias("l"))
-    heads = m.variables.sparkSession.createDataFrame([(0, "Minimize"), (2, "Subject To"), (4, "Bounds"), (6, "Generals"), (9, "End")], "n int, value string").select(F.struct(F.when(F.col("n") == 0, 0).otherwise(F.col("n")).alias("n"), "value").alias("l"))
-    out = notes.unionByName(heads).unionByName(obj).unionByName(rows).unionByName(bound).unionByName(kinds)
-    rank = F.col("l.n") * 2 + F.when(F.col("l.value").startswith("Minimize"), 1).otherwise(0)
-    return out.select(rank.alias("n"), F.col("l.value").alias("value")).orderBy("n", "value").select("value")
+    """``(section, k, n, value)``: the lines of the model in LP format, in this order. Variables and rows are numbered in order of
+    their names, ``x1``, ... and ``c1``, ...; comments say which is which. A term has a line of its own."""
+    spark = m.variables.sparkSession
+    xs = cut(numbered(m.variables.groupBy("name").agg(F.max("kind").alias("kind"), F.max("lb").alias("lb"), F.min("ub").alias("ub")), "x", "name"), "lp-variables")
+    cs = cut(numbered(m.constraints, "c", "row"), "lp-rows")
+    number = lambda v: F.when(F.col(v) == F.floor(v), F.col(v).cast("long").cast("string")).otherwise(F.col(v).cast("string"))
+    sign = F.when(F.col("coef") < 0, "-").otherwise("+")
+    term = F.concat(F.lit("  "), sign, F.lit(" "), number("size"), F.lit(" x"), F.col("x").cast("string"))
+    line = lambda rows, section, k, n, value: rows.select(F.lit(section).alias("section"), k.cast("long").alias("k"), n.cast("long").alias("n"), value.alias("value"))
+    x, c, zero = F.col("x"), F.col("c"), F.lit(0)
+    terms = lambda rows, *by: rows.groupBy(*by, "name").agg(F.sum("coef").alias("coef")).where("coef <> 0").join(xs.select("name", "x"), "name").withColumn("size", F.abs("coef"))
+    own = terms(m.entries, "row").join(cs.select("row", "c"), "row")
+    heads = spark.createDataFrame([(1, 0, 0, "Minimize"), (2, 0, 0, " obj:"), (4, 0, 0, "Subject To"), (6, 0, 0, "Bounds"), (8, 0, 0, "Generals"), (10, 0, 0, "End")], "section int, k long, n long, value string")
+    bound = F.concat(F.lit(" "), F.coalesce(number("lb"), F.lit("-inf")), F.lit(" <= x"), x.cast("string"), F.lit(" <= "), F.coalesce(number("ub"), F.lit("+inf")))
+    return (
+        heads.unionAll(line(xs, 0, x, zero, F.concat(F.lit("\\ x"), x.cast("string"), F.lit(" "), "name")))
+        .unionAll(line(terms(m.objective), 3, x, zero, term))
+        .unionAll(line(cs, 5, c, F.lit(-1), F.concat(F.lit(" c"), c.cast("string"), F.lit(":"))))
+        .unionAll(line(own, 5, c, x, term))
+        .unionAll(line(cs, 5, c, F.lit((1 << 62)), F.concat(F.lit("  "), "sense", F.lit(" "), number("rhs"))))
+        .unionAll(line(xs, 7, x, zero, bound))
+        .unionAll(line(xs.where("kind <> 'C'"), 9, x, zero, F.concat(F.lit(" x"), x.cast("string"))))
+    )
+
+
+def write_lp(m: Model, path: str) -> None:
+    """The lines in order in text files that follow one another, the head in the first."""
+    lines = lp_lines(m)
+    lines.repartitionByRange("section", "k", "n").sortWithinPartitions("section", "k", "n").select("value").write.text(path)
+
+
+def solution(spark: SparkSession, path: str, numbered_names: DataFrame) -> DataFrame:
+    """``(name, value)`` of a solver's text of lines ``x<k> value``; others are comments. Variables that it leaves out are 0."""
+    p = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(F.trim("value").rlike(r"^x\d+\s")).select(F.expr("cast(substring(split(trim(value), '\\\\s+')[0], 2) as long)").alias("x"), p[1].cast("double").alias("value"))
+    return numbered_names.join(rows, "x", "left").select("name", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def infeasible_rows(m: Model, rounds: int = 200, slack: float = 1e-6) -> DataFrame:
+    """``row``: rows that bound propagation shows to have no common solution; none if it finds no conflict.
+
+    Each round gives every row its least and greatest value within the variables' bounds, and every variable the bounds that its rows leave
+    it, rounded for whole numbers; a conflict is a row out of reach or a variable with crossed bounds. The rows named are those
+    of the conflicts and those whose bounds led there, found backwards through the rounds. Without a conflict in ``rounds`` rounds none is named.
+    """
+    inf = float("inf")
+    signs = m.constraints.select("row", F.explode(F.when(F.col("sense") == "=", F.array(F.lit(1.0), F.lit(-1.0))).when(F.col("sense") == "<=", F.array(F.lit(1.0))).otherwise(F.array(F.lit(-1.0)))).alias("s"), "rhs")
+    # Every row as sum(w x) <= r, equations twice.
+    terms = cut(m.entries.groupBy("row", "name").agg(F.sum("coef").alias("coef")).where("coef <> 0").join(signs, "row").select("row", "s", "name", (F.col("s") * F.col("coef")).alias("w"), (F.col("s") * F.col("rhs")).alias("r")), "terms")
+    bare = signs.join(m.entries.select("row").distinct(), "row", "left_anti").where(F.col("s") * F.col("rhs") < -slack).select("row").distinct()
+    kinds = m.variables.groupBy("name").agg((F.max("kind") != "C").alias("whole"), F.coalesce(F.max("lb"), F.lit(-inf)).alias("lo"), F.coalesce(F.min("ub"), F.lit(inf)).alias("hi"))
+    state, logs = cut(kinds, "bounds"), []
+    for _ in range(rounds):
+        used = F.when(F.col("w") > 0, F.col("lo")).otherwise(F.col("hi"))
+        here = terms.join(state, "name").withColumn("open", F.abs(used) == inf).withColumn("least", F.when(F.col("open"), 0.0).otherwise(F.col("w") * used))
+        sums = here.groupBy("row", "s").agg(F.sum("least").alias("sum"), F.sum(F.col("open").cast("int")).alias("free"), F.first("r").alias("r"))
+        broken = cut(sums.where((F.col("free") == 0) & (F.col("sum") > F.col("r") + slack)).select("row", "s"), "broken")
+        crossed = cut(state.where(F.col("lo") > F.col("hi") + slack).select("name"), "crossed")
+        if not broken.isEmpty() or not crossed.isEmpty():
+            return cut(_at_fault(terms, logs, broken, crossed).unionByName(bare).distinct(), "fault")
+        room = here.join(sums.select("row", "s", "sum", "free"), ["row", "s"]).where((F.col("free") == 0) | ((F.col("free") == 1) & F.col("open")))
+        left = (F.col("r") - F.col("sum") + F.col("least")) / F.col("w")
+        room = room.withColumn("side", F.when(F.col("w") > 0, "hi").otherwise("lo")).withColumn("new", F.when(~F.col("whole"), left).when(F.col("w") > 0, F.floor(left + 1e-7).cast("double")).otherwise(F.ceil(left - 1e-7).cast("double")))
+        tighter = room.where(F.when(F.col("w") > 0, F.col("new") < F.col("hi") - slack).otherwise(F.col("new") > F.col("lo") + slack))
+        best = F.when(F.col("side") == "hi", F.col("new")).otherwise(-F.col("new"))
+        log = cut(tighter.groupBy("name", "side").agg(F.min_by(F.struct("new", "row", "s"), F.struct(best, "row", "s")).alias("x")).select("name", "side", "x.new", "x.row", "x.s"), "tighter")
+        if log.isEmpty():
+            break
+        logs.append(log)
+        move = log.groupBy("name").agg(*(F.max(F.when(F.col("side") == k, F.col("new"))).alias(f"new_{k}") for k in ("lo", "hi")))
+        state = cut(state.join(move, "name", "left").select("name", "whole", F.coalesce("new_lo", "lo").alias("lo"), F.coalesce("new_hi", "hi").alias("hi")), "bounds")
+    return bare
+
+
+def _at_fault(terms: DataFrame, logs: list[DataFrame], broken: DataFrame, crossed: DataFrame) -> DataFrame:
+    """The conflicting rows and those that set the bounds they rest on, round by round backwards."""
+    side = F.when(F.col("w") > 0, "lo").otherwise("hi")
+    rests_on = lambda rows: terms.join(rows, ["row", "s"]).select("name", side.alias("side"))
+    rows = broken.select("row")
+    facts = rests_on(broken).unionByName(crossed.select("name", F.explode(F.array(F.lit("lo"), F.lit("hi"))).alias("side"))).distinct()
+    for log in reversed(logs):
+        set_here = cut(log.join(facts, ["name", "side"]).select("name", "side", "row", "s"), "set")
+        rows = rows.unionByName(set_here.select("row"))
+        # A row that bounds a variable rests on the bounds of its others.
+        more = terms.join(set_here.select("row", "s", F.col("name").alias("of")), ["row", "s"]).where("name <> of").select("name", side.alias("side"))
+        facts = cut(facts.join(set_here.select("name", "side"), ["name", "side"], "left_anti").unionByName(more).distinct(), "facts")
+    return rows.distinct()
 
 
 def solve_tiny(m: Model, most: int = 200_000) -> dict[str, float] | None:

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociflow.shared import cut
+
 BIN = 1 << 16
 
 
@@ -45,9 +47,9 @@ def runs(
     """
     own, key = [*by, "__bin"], F.struct(*order)
     within, along = Window.partitionBy(*own).orderBy(*order), Window.partitionBy(*by).orderBy("__bin")
-    cut = lambda p, s: F.when(p.isNull(), F.lit(0)).when(breaks(p, s), 1).otherwise(0)
+    parts = lambda p, s: F.when(p.isNull(), F.lit(0)).when(breaks(p, s), 1).otherwise(0)
     binned = _binned(rows, at, width).withColumn("__s", state)
-    inner = binned.withColumn("__p", F.lag("__s").over(within)).withColumn("__n", cut(F.col("__p"), F.col("__s"))).withColumn("__r", F.sum("__n").over(within))
+    inner = binned.withColumn("__p", F.lag("__s").over(within)).withColumn("__n", parts(F.col("__p"), F.col("__s"))).withColumn("__r", F.sum("__n").over(within))
     inner = inner.withColumn("__k", F.row_number().over(Window.partitionBy(*own, "__r").orderBy(*order)) - 1)
 
     ends = F.max_by(F.struct("__s", "__r", "__k"), key)
@@ -62,3 +64,12 @@ def runs(
     out = inner.join(bins.select(*own, "__off", "__in"), own)
     place = F.col("__k") + F.when(F.col("__r") == 0, F.col("__in")).otherwise(0)
     return out.select(*rows.columns, (F.col("__off") + F.col("__r")).cast("long").alias("run"), place.cast("long").alias("place"))
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """Adds ``name``: 1, 2, ... in ``order`` over all rows, which it tells apart. Ranges of rows are counted by themselves and shifted by those before."""
+    parts = cut(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shift = parts.groupBy("__p").agg(F.count("*").alias("__c")).select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
+    own = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    return own.join(shift, "__p").select(*rows.columns, (F.col("__k") + F.col("__s")).alias(name))

@@ -195,7 +195,7 @@ def _(v):
 
 @query("q_cn_lookup_default", "SELECT s.sid, h.clone, h.hap, coalesce(t.cn, 0) AS cn FROM seg s CROSS JOIN (SELECT DISTINCT clone, hap FROM scnt) h LEFT JOIN (SELECT * FROM scnt WHERE cn > 1) t ON t.sid = s.sid AND t.clone = h.clone AND t.hap = h.hap")
 def _(v):
-    keys = v.seg.select("sid").crossJoin(F.broadcast(v.scnt.select("clone", "hap").distinct()))
+    keys = v.seg.select("sid").crossJoin(v.scnt.select("clone", "hap").distinct())
     return T.looked_up(keys, v.scnt.where("cn > 1"), ["sid", "clone", "hap"])
 
 
@@ -853,21 +853,14 @@ def _(v):
     return GR.molecule_groups(v.support).select("gid", F.array_join("aids", ",").alias("aids"))
 
 
-def _small_groups(v):
-    """Pairs of a group's members, a group each."""
-    small = v.member.where("agt = 'L'").withColumn("gid", F.concat("gid", F.lit("_"), F.floor(F.col("pos") / 3).cast("string"))).withColumn("p", F.col("pos") % 3)
-    rows = small.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("p", "aid", "side"))).alias("m"))
-    return rows.select("gid", F.lit("L").alias("agt"), F.lit(0.1).alias("fp"), F.transform("m", lambda x: x["aid"]).alias("aids"), F.transform("m", lambda x: x["side"]).alias("agl"))
-
-
-_LABELS = """lm AS (SELECT gid || '_' || (pos // 3) AS gid, pos % 3 AS p, m.aid, m.side, CASE WHEN m.side = 0 THEN a.chr1 || ':' || a.strand1 || a.coord1 ELSE a.chr2 || ':' || a.strand2 || a.coord2 END AS node FROM member m JOIN adj a USING (aid) WHERE agt = 'L'),
-lk AS (SELECT gid, node AS u, lead(node) OVER (PARTITION BY gid ORDER BY p) AS v FROM lm)
+_LABELS = """lm AS (SELECT gid, pos, CASE WHEN m.side = 0 THEN a.chr1 || ':' || a.strand1 || a.coord1 ELSE a.chr2 || ':' || a.strand2 || a.coord2 END AS node FROM member m JOIN adj a USING (aid) WHERE agt = 'L'),
+lk AS (SELECT gid, node AS u, lead(node) OVER (PARTITION BY gid ORDER BY pos) AS v FROM lm)
 """
 
 
 @query("q_labeling_links", "WITH " + _LABELS + "SELECT gid, u, v FROM lk WHERE v IS NOT NULL")
 def _(v):
-    return GR.labeling_links(_small_groups(v), v.adj)
+    return GR.labeling_links(v.groups(), v.adj)
 
 
 @query("q_group_violations_m", """WITH cl2 AS (SELECT DISTINCT clone FROM acnt), pr AS (SELECT aid, clone, (sum(cn) > 0)::INT AS there FROM acnt GROUP BY aid, clone),
@@ -947,4 +940,4 @@ def _(v):
     return out.select("row")
 
 
-from lociflow.plans import io_queries, stream_queries  # noqa: E402, F401  (registers the queries of readers and writers, and of streams)
+from lociflow.plans import io_queries, model_queries, stream_queries  # noqa: E402, F401  (registers their queries)

@@ -39,7 +39,7 @@ def battenberg(spark: SparkSession, path: str, sample: str, sep: str = "\t", str
 def hatchet_clones(spark: SparkSession, path: str, sample: str, sep: str = "\t", min_usage: float = 0.01) -> list[str]:
     """Clones that some segment of the sample uses, numbered by column."""
     p = F.split("value", sep)
-    rows = lines(spark, path).where(F.get(p, F.lit(3)) == sample).select(F.posexplode(F.slice(p, 7, 10_000)).alias("k", "x")).where("k % 2 = 1")
+    rows = lines(spark, path).where(F.get(p, F.lit(3)) == sample).select(F.posexplode(F.slice(p, F.lit(7), F.greatest(F.size(p) - 6, F.lit(0)))).alias("k", "x")).where("k % 2 = 1")
     used = rows.where(F.col("x").cast("double") >= min_usage).select((F.floor(F.col("k") / 2) + 1).cast("string").alias("c")).distinct()
     return sorted((r["c"] for r in used.collect()), key=int)  # a handful of clones
 

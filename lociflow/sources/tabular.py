@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.functions.model import flipped_strand, strip_chr
 from lociflow.operators.adjacency import canonical, numbered_ids, standard_type
 from lociflow.operators.filters import in_samples
+from lociflow.operators.scan import numbered
 from lociflow.sources.canonical import table
 
 
 def _row_number(rows: DataFrame) -> DataFrame:
-    """``n``: a row's place in the file, from 0, counted within partitions and shifted by those before."""
-    rows = rows.withColumn("__p", F.spark_partition_id())
-    before = rows.groupBy("__p").agg(F.count("*").alias("__c"))
-    shift = before.alias("a").join(before.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__q")).agg(F.coalesce(F.sum("b.__c"), F.lit(0)).alias("__s"))
-    w = Window.partitionBy("__p").orderBy("ord")
-    own = rows.withColumn("__k", F.row_number().over(w) - 1)
-    return own.join(F.broadcast(shift), F.col("__p") == F.col("__q")).withColumn("n", F.col("__k") + F.col("__s")).drop("__p", "__q", "__k", "__s")  # one row a partition
+    """``n``: a row's place in the file, from 0, counted within ranges and shifted by those before."""
+    return numbered(rows, "n", "ord").withColumn("n", F.col("n") - 1)
 
 
 def _finished(rows: DataFrame, suffix: str, strip: bool, svtype: Column | None = None, svlen: Column | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ small letters; the caller's own type stays as ``or_svtype``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.functions.model import strip_chr
@@ -32,11 +32,14 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     keys = F.split(F.get(p, F.lit(8)), ":")
     values = lambda k: F.map_from_entries(F.filter(F.transform(keys, lambda n, i: F.struct(n.alias("k"), F.try_element_at(F.split(F.get(p, F.lit(k)), ":"), i + 1).alias("v"))), lambda e: e["v"].isNotNull()))
     samples = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), values(9 + i))]) if names else F.create_map().cast("map<string,map<string,string>>")
-    out = rows.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(
-        "ord", F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).cast("long").alias("pos"), F.get(p, F.lit(2)).alias("id"), F.get(p, F.lit(3)).alias("ref"), F.get(p, F.lit(4)).alias("alt"), F.get(p, F.lit(6)).alias("filter"), info.alias("info"), samples.alias("samples")
+    own = ~F.col("value").startswith("#") & (F.length("value") > 0)
+    # Spark may look at later conditions first, so only lines of records have a position.
+    out = rows.where(own).select(
+        "ord", F.get(p, F.lit(0)).alias("chrom"), F.when(own, F.get(p, F.lit(1))).cast("long").alias("pos"), F.get(p, F.lit(2)).alias("id"), F.get(p, F.lit(3)).alias("ref"), F.get(p, F.lit(4)).alias("alt"), F.get(p, F.lit(6)).alias("filter"), info.alias("info"), samples.alias("samples")
     )
-    w = Window.partitionBy("id")
-    return out.withColumn("__last", F.max("ord").over(w)).where("ord = __last").drop("__last")
+    # Only numbers are gathered by id, however many records share one.
+    last = out.groupBy("id").agg(F.max("ord").alias("ord")).select("ord")
+    return out.join(last, "ord", "left_semi")
 
 
 def info(key: str, of: str = "info") -> Column:

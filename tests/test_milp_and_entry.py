@@ -33,8 +33,39 @@ def test_counts_of_variables_and_rows(spark):
     assert m.variables.select("name").distinct().count() == m.variables.count()
     by = {x["k"]: x["n"] for x in m.constraints.groupBy(F.regexp_extract("row", "^[a-z]+", 0).alias("k")).agg(F.count("*").alias("n")).collect()}
     assert by["low"] + by["high"] == 4 * c * s and by["over"] + by["under"] == 4 * c * s and by["big"] == 16 * c * a and by["node"] == 2 * c * 4 and by["ref"] == 2 * c * r
-    lines = [x[0] for x in milp.lp_lines(m).collect()]
-    assert "Minimize" in lines and lines[-1] == "End" and lines.index("Minimize") < lines.index("Subject To") < lines.index("Bounds")
+
+
+def test_lines_are_written_in_order_and_a_solution_is_read(spark, tmp_path):
+    m = milp.model(tiny(spark))
+    milp.write_lp(m, str(tmp_path / "lp"))
+    files = sorted((tmp_path / "lp").glob("part-*"))
+    lines = [x for f in files for x in f.read_text().splitlines()]
+    assert lines == [r["value"] for r in milp.lp_lines(m).orderBy("section", "k", "n").collect()]
+    heads = [lines.index(x) for x in ("Minimize", " obj:", "Subject To", "Bounds", "Generals", "End")]
+    assert heads == sorted(heads) and lines[-1] == "End" and len([x for x in lines if x.startswith("\\ x")]) == m.variables.count()
+    (tmp_path / "sol").write_text("# a comment\nx2 3\nx1 1.0\n x4  2.5\n")
+    names = spark.createDataFrame([(k, f"v{k}") for k in range(1, 5)], "x long, name string")
+    assert {r["name"]: r["value"] for r in milp.solution(spark, str(tmp_path / "sol"), names).collect()} == {"v1": 1.0, "v2": 3.0, "v3": 0.0, "v4": 2.5}
+
+
+def small_model(spark, variables, rows):
+    v = spark.createDataFrame(variables, "name string, kind string, lb double, ub double")
+    c = spark.createDataFrame([(n, s, float(r)) for n, s, r, _ in rows], "row string, sense string, rhs double")
+    e = spark.createDataFrame([(n, x, float(k)) for n, _, _, t in rows for x, k in t.items()], "row string, name string, coef double")
+    return milp.Model(v, c, e, e.select("name", "coef").limit(0))
+
+
+def test_rows_at_fault_are_found_through_the_bounds_they_set(spark):
+    chain = [("a", ">=", 4, {"x": 1}), ("b", ">=", 0, {"y": 1, "x": -1}), ("c", ">=", 0, {"z": 1, "y": -1}), ("d", "<=", 3, {"z": 1}), ("e", "<=", 9, {"w": 1, "x": 1}), ("f", "=", 1, {"w": 1})]
+    free = [(n, "I", 0.0, None) for n in "xyzw"]
+    found = lambda rows, variables=free: sorted(r["row"] for r in milp.infeasible_rows(small_model(spark, variables, rows)).collect())
+    assert found(chain) == ["a", "b", "c", "d"]
+    assert found([r for r in chain if r[0] != "d"]) == []
+    half = [("p", ">=", 1, {"x": 2}), ("q", "<=", 1, {"x": 2})]
+    assert found(half) == ["p", "q"]  # 1/2 for a number that isn't whole
+    assert found(half, [("x", "C", 0.0, None)]) == []
+    assert found([("n", ">=", 2, {})], free) == ["n"]
+    assert found(chain[:2], [("x", "I", 0.0, 3.0), *free[1:]]) == ["a"]
 
 
 def test_a_small_model_is_solved_and_checked(spark):

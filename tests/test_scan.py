@@ -42,3 +42,8 @@ def test_scans_of_no_rows(spark):
     none = spark.createDataFrame([], "chr string, x long")
     assert scan.beside(none, ["chr"], "x", ["x"], F.struct("x")).collect() == []
     assert scan.runs(none, ["chr"], "x", ["x"], F.struct("x"), lambda p, s: s["x"] > p["x"]).collect() == []
+
+
+def test_numbers_run_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"), F.lit("a").alias("s")).repartition(5)
+    assert [(r["x"], r["n"]) for r in scan.numbered(df, "n", "x").orderBy("x").collect()] == [(x, k + 1) for k, x in enumerate(sorted(i * 7919 % 1009 for i in range(1000)))]
