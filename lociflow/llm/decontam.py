@@ -241,24 +241,26 @@ def _lengths(items: DataFrame) -> DataFrame:
 def _by_shuffle(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
     """For test sets without a bound: windows are joined on their hash, then texts meet the items they hit."""
     at = docs.columns.index(text_col)
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
-    listed = cut(items.withColumn("__item", F.monotonically_increasing_id()), "decontam-items")
-    texts = numbered.where(F.col(text_col).isNotNull())
+    # The user's columns go as one struct, so that no name of theirs meets one of these tables.
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    numbered = cut(docs.select(own, F.col(f"`{text_col}`").cast("string").alias("doc_text"), F.monotonically_increasing_id().alias("row")), "decontam-docs")
+    listed = cut(items.withColumn("item", F.monotonically_increasing_id()), "decontam-items")
+    texts = numbered.where("doc_text is not null")
     # Lengths of items under STRETCH words, of which there are few, and their masks; longer items share theirs.
     lengths = sorted({r[0] for r in _lengths(listed).distinct().collect()})
     every = sorted({m for n in lengths for m in masks_for(n)})
-    here = _hashed(texts.withColumn("__text", F.col(text_col).cast("string")), "__row", "__text", lambda n: every).select(F.col("key").alias("row"), "hash", F.col("place").alias("p"))
-    there = _hashed(listed, "__item", "item_text", masks_for).select(F.col("key").alias("item"), "hash", F.col("place").alias("q"))
+    here = _hashed(texts, "row", "doc_text", lambda n: every).select(F.col("key").alias("row"), "hash", F.col("place").alias("p"))
+    there = _hashed(listed, "item", "item_text", masks_for).select(F.col("key").alias("item"), "hash", F.col("place").alias("q"))
     hits = here.join(there, "hash").select("row", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
     pairs = hits.groupBy("row", "item").agg(F.collect_list("shift").alias("shifts"))
-    pairs = pairs.join(listed, F.col("item") == F.col("__item")).join(texts.select(F.col("__row"), F.col(text_col).cast("string").alias("__text")), F.col("row") == F.col("__row"))
+    pairs = pairs.join(listed, "item").join(texts.select("row", "doc_text"), "row")
 
     def verify(batches):
         hasher = Hasher()
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                doc, item = hasher(words_of(r["__text"])), hasher(words_of(r["item_text"]))
+                doc, item = hasher(words_of(r["doc_text"])), hasher(words_of(r["item_text"]))
                 spans = [s for x in r["shifts"] if (s := overlap(doc, item, x))]
                 if spans:
                     rows.append((r["row"], r["item_id"], [x for s in sorted(spans) for x in s]))
@@ -266,21 +268,21 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
                 a, b, c = zip(*rows)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.int64()))], ["row", "item_id", "spans"])
 
-    found = pairs.select("row", "item_id", "item_text", "__text", "shifts").mapInArrow(verify, "row long, item_id long, spans array<long>")
+    found = pairs.select("row", "item_id", "item_text", "doc_text", "shifts").mapInArrow(verify, "row long, item_id long, spans array<long>")
     per_row = found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("held"), F.flatten(F.collect_list("spans")).alias("spans"))
-    joined = numbered.join(per_row, F.col("__row") == F.col("row"), "left")
+    joined = numbered.join(per_row, "row", "left")
 
     def count(batches):
         for batch in batches:
-            rows = []
-            n_own = len(batch.columns) - 2
-            for t, held, spans in zip(batch.column(at).to_pylist(), batch.column(n_own).to_pylist(), batch.column(n_own + 1).to_pylist()):
-                n = len(words_of(t))
+            doc, rows = batch.column(0), []
+            for text, held, spans in zip(doc.field(at).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                n = len(words_of(text))
                 spans = spans or []
                 rows.append((held or [], n, report({0: list(zip(spans[::2], spans[1::2]))}, n)[1]))
-            yield _with(pa.RecordBatch.from_arrays(batch.columns[:n_own], names=batch.schema.names[:n_own]), rows)
+            yield _with(pa.RecordBatch.from_arrays(doc.flatten(), names=names), rows)
 
-    return joined.select(*docs.columns, "held", "spans").mapInArrow(count, _schema(docs))
+    names = docs.columns
+    return joined.select("doc", "held", "spans").mapInArrow(count, _schema(docs))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
