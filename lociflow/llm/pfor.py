@@ -238,6 +238,10 @@ def _row(writer: Writer) -> pa.RecordBatch:
     return pa.record_batch([pa.array([writer.final.rsplit("/", 1)[1]]), pa.array([docs], pa.int64()), pa.array([ids], pa.int64())], ["file", "docs", "ids"])
 
 
+#: Tasks that read files, for each core.
+READS_PER_CORE = 8
+
+
 def read_ids(folder: str, files: DataFrame, digest: bool = False) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of each document in the files that ``write_ids`` returned, or its CRC-32 in place
     of the ids. Each file is opened where its row is; no files, no rows."""
@@ -260,7 +264,9 @@ def read_ids(folder: str, files: DataFrame, digest: bool = False) -> DataFrame:
                     yield _docs(rows, digest)
 
     listed = cut(files.select("file", "start"), "token-starts")
-    return listed.repartition(max(1, listed.count())).mapInArrow(run, f"doc_id long, start long, n_tokens long, {kind}")
+    # A task reads several files where there are many, one after another.
+    tasks = max(1, min(listed.count(), READS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism))
+    return listed.repartition(tasks).mapInArrow(run, f"doc_id long, start long, n_tokens long, {kind}")
 
 
 def _docs(rows: list, digest: bool) -> pa.RecordBatch:
