@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
+#: Names that the operators use in tables of their own.
+CLASHING = "row item key hash held spans node fp h value term rank side part bin fold y k c n docs shown copies doc statistics norm first tie id file start block length".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-#: Nulls, empty and long texts, repeats, odd characters, a clashing name.
+#: Nulls, empty and long texts, repeats, odd characters; columns with clashing names.
 TEXTS = [
     (1, "The quick brown fox jumps over the lazy dog and runs away from the big bad wolf today."),
     (2, "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf today."),
@@ -22,7 +25,9 @@ TEXTS = [
 @pytest.fixture(scope="session")
 def odd(spark):
     rows = [(i, t, "en" if i and i % 2 else None, None if i == 4 else f"s{(i or 0) % 2}", None if t is None else len(t)) for i, t in TEXTS]
-    return spark.createDataFrame(rows, DOCS).withColumnRenamed("n_chars", "n_chars").repartition(3)
+    docs = spark.createDataFrame(rows, DOCS)
+    clashing = {name: F.lit(k) for k, name in enumerate(CLASHING)}
+    return docs.withColumns(clashing).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 def test_stages(spark, odd, some, sf):
-    docs = some.unionByName(odd.where("doc_id = 3 or doc_id = 4").withColumn("doc_id", F.col("doc_id") + 10_000)).limit(10**6)
+    docs = some.unionByName(odd.select(*some.columns).where("doc_id = 3 or doc_id = 4").withColumn("doc_id", F.col("doc_id") + 10_000)).limit(10**6)
     assert [n for n, _ in C.STAGES] == ["language", "near_duplicates", "benchmark", "mixture", "token_ids"]
     kept = C.language(spark, docs, sf)
     before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (docs, kept))
