@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions.model import adjacency_id, c, position_key, reciprocal_coord, strand_ord
-from lociflow.operators.scan import runs
+from lociflow.operators.scan import running, runs
 
 
 def canonical(rows: DataFrame) -> DataFrame:
@@ -187,12 +187,28 @@ def neighbours(ends: DataFrame) -> DataFrame:
     return ends.join(spots.select(*place, F.col("run").alias("rank")), place).select(*ends.columns, "rank")
 
 
-def short_labelings(adjacencies: DataFrame, longest: int = 1000) -> DataFrame:
-    """Adjacencies within a chromosome, of at most ``longest``, whose ends are neighbours among all positions: both on one haplotype."""
-    r = neighbours(breakends(adjacencies))
-    span = r.groupBy("aid").agg((F.max("rank") - F.min("rank")).alias("gap"))
-    own = adjacencies.where((F.col("chr1") == F.col("chr2")) & (F.abs(F.col("coord1") - F.col("coord2")) <= longest))
-    return own.join(span, "aid").where("gap = 1").select(F.concat(F.lit("sl_"), "aid").alias("gid"), F.array("aid", "aid").alias("aids"), F.array(F.lit(0), F.lit(1)).alias("agl"))
+def short_labelings(adjacencies: DataFrame, longest: int = 1000, over_same: bool = False, over_tra: bool = False, inversions: bool = True) -> DataFrame:
+    """Adjacencies within a chromosome, of at most ``longest``, whose ends are neighbours among all positions: both on one haplotype.
+
+    A position that several adjacencies have counts as often, so an end shared with others is no neighbour. What lies between the ends, or
+    shares the second one, is allowed if it has adjacencies within a chromosome (``over_same``) or across two (``over_tra``). Without ``inversions``
+    equal strands are left out. Of adjacencies at the same two positions one is taken, that of the least id.
+    """
+    place = ["chr", "coord", "strand"]
+    ends = breakends(adjacencies.withColumn("tra", F.col("chr1") != F.col("chr2")), "tra")
+    spots = ends.groupBy(*place).agg(F.count("*").alias("m"), F.max(F.when(F.col("tra"), 1).otherwise(0)).alias("t"), F.max(F.when(F.col("tra"), 0).otherwise(1)).alias("s"))
+    # Of all up to a position, so what lies between two is a difference.
+    upto = running(spots, ["chr"], "coord", ["coord", strand_ord("strand")], {"entries": F.col("m"), "same": F.col("s"), "across": F.col("t")})
+    side = lambda k: upto.select(*(F.col(c).alias(f"{c}{k}") for c in (*place, "m", "s", "t", "entries", "same", "across")))
+    own = adjacencies.where((F.col("chr1") == F.col("chr2")) & (F.abs(F.col("coord1") - F.col("coord2")) <= longest) & (F.lit(inversions) | (F.col("strand1") != F.col("strand2"))))
+    ways = [f"{c}{k}" for k in (1, 2) for c in place]
+    own = own.groupBy(*ways).agg(F.min("aid").alias("aid")).join(side(1), [f"{c}1" for c in place]).join(side(2), [f"{c}2" for c in place])
+    shared = F.col("m2") > 1
+    between = lambda name, flag: (F.col(f"{name}2") - F.col(f"{flag}2") > F.col(f"{name}1")) | (shared & (F.col(f"{flag}2") == 1))
+    apart = F.col("entries2") - F.col("entries1")
+    allowed = F.lit(over_same) & between("same", "s") | F.lit(over_tra) & between("across", "t")
+    own = own.where((apart == 1) | ((apart > 1) & allowed))
+    return own.select(F.concat(F.lit("sl_"), "aid").alias("gid"), F.array("aid", "aid").alias("aids"), F.array(F.lit(0), F.lit(1)).alias("agl"))
 
 
 def stable_ids(adjacencies: DataFrame) -> DataFrame:
@@ -202,3 +218,8 @@ def stable_ids(adjacencies: DataFrame) -> DataFrame:
 def faced(ends: DataFrame) -> DataFrame:
     """The position that each breakend faces in the reference."""
     return ends.select("aid", "side", "chr", reciprocal_coord("coord", "strand").alias("coord"), F.when(F.col("strand") == "+", "-").otherwise("+").alias("strand"))
+
+
+def sampled(rows: DataFrame, n: int, id_col: str = "aid", seed: int = 7) -> DataFrame:
+    """``n`` rows whose ids have the least hashes (all, if fewer): a sample that doesn't depend on the layout. Each task keeps ``n`` at most."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(n)

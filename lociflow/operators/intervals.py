@@ -206,6 +206,18 @@ def refined_at(segments: DataFrame, scnt: DataFrame, positions: DataFrame, stric
     return cut.drop("fid"), cn, cut.select("sid", F.col("fid").alias("old_sid"))
 
 
+def refined_input(
+    segments: DataFrame, scnt: DataFrame, adjacencies: DataFrame, telomeres: DataFrame | None = None, strict: bool = True, **options
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(fragments, segments, scnt)`` that an inference starts from: neighbours of equal copy numbers merged and gaps filled (``refined``,
+    with its ``options``) give the fragments, which are then cut at the ends of the adjacencies and at the telomeres. Segments have ``fid``, their fragment."""
+    fragments, copies, _ = refined(segments, scnt, **options)
+    ends = adjacencies.select(F.explode(F.array(*(F.struct(F.col(f"chr{k}").alias("chr"), F.col(f"coord{k}").alias("coord"), F.col(f"strand{k}").alias("strand")) for k in (1, 2)))).alias("e")).select("e.*")
+    positions = ends if telomeres is None else ends.unionByName(telomeres.select("chr", "coord", "strand"))
+    new, own, mapping = refined_at(fragments, copies, positions.distinct(), strict)
+    return fragments, new.join(mapping.withColumnRenamed("old_sid", "fid"), "sid"), own
+
+
 def inherited_bounds(scnb: DataFrame, mapping: DataFrame, order: DataFrame) -> DataFrame:
     """Bounds of new segments: of the first of their old segments, in ``order`` (old_sid, ord), that has one."""
     rows = mapping.join(order, "old_sid").join(scnb.withColumnRenamed("sid", "old_sid"), "old_sid")

@@ -66,6 +66,18 @@ def runs(
     return out.select(*rows.columns, (F.col("__off") + F.col("__r")).cast("long").alias("run"), place.cast("long").alias("place"))
 
 
+def running(rows: DataFrame, by: Sequence[str], at: str, order: Sequence[Column | str], sums: dict[str, Column], width: int = BIN) -> DataFrame:
+    """Adds the sums of ``sums`` over the rows up to each row, itself included, in ``order`` among rows equal in ``by``."""
+    own = [*by, "__bin"]
+    binned = _binned(rows, at, width).withColumns({f"__v_{k}": x for k, x in sums.items()})
+    along = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy(*own).agg(*(F.sum(f"__v_{k}").alias(f"__v_{k}") for k in sums))
+    bins = bins.select(*own, *(F.coalesce(F.sum(f"__v_{k}").over(along), F.lit(0)).alias(f"__o_{k}") for k in sums))
+    within = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = binned.withColumns({f"__r_{k}": F.sum(f"__v_{k}").over(within) for k in sums}).join(bins, own)
+    return out.select(*rows.columns, *((F.col(f"__r_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums))
+
+
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     """Adds ``name``: 1, 2, ... in ``order`` over all rows, which it tells apart. Ranges of rows are counted by themselves and shifted by those before."""
     parts = cut(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")

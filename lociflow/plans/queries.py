@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.functions import model as M
+from lociflow.functions.register import register
 from lociflow.operators import adjacency as A
 from lociflow.operators import filters as FL
 from lociflow.operators import graph as G
@@ -533,6 +534,53 @@ def _(v):
     return I.refined(v.seg, v.scnt)[0]
 
 
+_CUT_REFINED = _REFINED.format(merge="true", fill="true", merge_gap=10**9) + """, tel AS (SELECT chr, min(start) AS coord, '-' AS strand FROM seg GROUP BY chr UNION ALL SELECT chr, max("end"), '+' FROM seg GROUP BY chr),
+cuts AS (SELECT DISTINCT chr, CASE WHEN strand = '+' THEN coord ELSE coord - 1 END AS c FROM (SELECT chr, coord, strand FROM breakend UNION ALL SELECT * FROM tel)),
+st AS (SELECT r.sid AS fid, r.chr, c.c + 1 AS start, r."end" AS fe FROM ref r JOIN cuts c ON c.chr = r.chr AND c.c >= r.start AND c.c < r."end" UNION ALL SELECT sid, chr, start, "end" FROM ref),
+pc AS (SELECT fid, chr, start, coalesce(lead(start) OVER (PARTITION BY fid ORDER BY start) - 1, fe) AS "end" FROM st)
+"""
+
+
+def _refined_input(v):
+    return I.refined_input(v.seg, v.scnt, v.adj, I.reference_telomeres(v.seg), strict=False)
+
+
+@query("q_refine_input", _CUT_REFINED + """SELECT chr || ':' || start || '-' || "end" AS sid, chr, start, "end", fid FROM pc""")
+def _(v):
+    return _refined_input(v)[1].select("sid", "chr", "start", "end", "fid")
+
+
+@query("q_refine_input_scnt", _CUT_REFINED + """SELECT DISTINCT p.chr || ':' || p.start || '-' || p."end" AS sid, t.clone, t.hap, t.cn FROM pc p JOIN ref r ON r.sid = p.fid JOIN isl i ON i.chr = r.chr AND i.island = r.island JOIN scnt t ON t.sid = i.sid""")
+def _(v):
+    return _refined_input(v)[2]
+
+
+@query("q_sample", "SELECT aid, chr1, coord1, chr2, coord2 FROM adj ORDER BY md5('7:' || aid), aid LIMIT 100")
+def _(v):
+    return A.sampled(v.adj, 100).select("aid", "chr1", "coord1", "chr2", "coord2")
+
+
+@query(
+    "q_sql_functions",
+    """SELECT aid, chr1 || ':' || (CASE WHEN strand1 = '+' THEN coord1 + 1 ELSE coord1 - 1 END) || '-' || coord2 AS sid, CASE WHEN strand2 = '+' THEN '-' ELSE '+' END AS strand,
+    CASE WHEN chr1 = chr2 THEN abs(coord1 - coord2) ELSE -1 END AS distance FROM adj WHERE length(chr1) = 1""",
+)
+def _(v):
+    register(v.spark)
+    text = """SELECT aid, sid(strip_chr(concat('chr', chr1)), reciprocal(coord1, strand1), coord2) AS sid, flipped_strand(strand2) AS strand,
+    adjacency_distance(chr1, coord1, chr2, coord2) AS distance FROM {adj} WHERE chr_rank(chr1).n = 1"""
+    return v.spark.sql(text, adj=v.adj)
+
+
+@query(
+    "q_sql_windows",
+    """SELECT sid, k AS n, greatest(start, k * 3000 + 1) AS begin, least("end", (k + 1) * 3000) AS last FROM (SELECT *, unnest(range((start - 1) // 3000, ("end" - 1) // 3000 + 1)) AS k FROM seg)""",
+)
+def _(v):
+    register(v.spark)
+    return v.spark.sql("SELECT s.sid, w.n, w.begin, w.last FROM {seg} s, LATERAL segment_windows(s.chr, s.start, s.`end`, 3000) w", seg=v.seg)
+
+
 @query("q_refine_mapping", _REFINED.format(merge="true", fill="true", merge_gap=10**9) + "SELECT r.sid, i.sid AS old_sid FROM ref r JOIN isl i ON i.chr = r.chr AND i.island = r.island")
 def _(v):
     return I.refined(v.seg, v.scnt)[2]
@@ -592,11 +640,36 @@ def _(v):
     return A.reciprocal(v.adj).select("aid", *ENDS)
 
 
-@query("q_short_labeling", "WITH r AS (SELECT aid, dense_rank() OVER (PARTITION BY chr ORDER BY coord, (strand = '+')::INT) AS rank FROM breakend) SELECT 'sl_' || aid AS gid FROM adj JOIN r USING (aid) WHERE chr1 = chr2 AND abs(coord1 - coord2) <= 50000 GROUP BY aid HAVING max(rank) - min(rank) = 1")
+#: Positions as often as adjacencies have them, numbered; what lies between two ends is looked up row by row.
+_SHORT = """WITH pos AS (SELECT b.*, row_number() OVER (PARTITION BY chr ORDER BY coord, (strand = '+')::INT, b.aid, side) - 1 AS ix, a.chr1 <> a.chr2 AS tra FROM breakend b JOIN adj a USING (aid)),
+last_ AS (SELECT chr, coord, strand, max(ix) AS ix FROM pos GROUP BY ALL),
+one AS (SELECT min(aid) AS aid, chr1, coord1, strand1, chr2, coord2, strand2 FROM adj WHERE chr1 = chr2 AND abs(coord1 - coord2) <= {longest} {more} GROUP BY ALL),
+ix AS (SELECT o.aid, o.chr1 AS chr, x.ix AS i1, y.ix AS i2 FROM one o JOIN last_ x ON x.chr = chr1 AND x.coord = coord1 AND x.strand = strand1 JOIN last_ y ON y.chr = chr2 AND y.coord = coord2 AND y.strand = strand2),
+shared AS (SELECT chr, coord, strand, bool_or(NOT tra) AS same, bool_or(tra) AS tra FROM pos GROUP BY ALL),
+btw AS (SELECT ix.aid, bool_or(s.same) AS same, bool_or(s.tra) AS tra FROM ix JOIN pos p ON p.chr = ix.chr AND p.ix > ix.i1 AND p.ix < ix.i2 JOIN shared s ON s.chr = p.chr AND s.coord = p.coord AND s.strand = p.strand GROUP BY ix.aid)
+SELECT 'sl_' || ix.aid AS gid FROM ix LEFT JOIN btw USING (aid) WHERE i2 - i1 = 1 OR (i2 - i1 > 1 AND ({allow}))"""
+
+
+@query("q_short_labeling", _SHORT.format(longest=50000, more="", allow="false"))
 def _(v):
     return A.short_labelings(v.adj, 50000).select("gid")
 
 
+@query("q_short_labeling_over_same", _SHORT.format(longest=20000, more="", allow="same"))
+def _(v):
+    return A.short_labelings(v.adj, 20000, over_same=True).select("gid")
+
+
+@query("q_short_labeling_over_tra", _SHORT.format(longest=20000, more="", allow="tra"))
+def _(v):
+    return A.short_labelings(v.adj, 20000, over_tra=True).select("gid")
+
+
+@query("q_short_labeling_strands", _SHORT.format(longest=50000, more="AND strand1 <> strand2", allow="same OR tra"))
+def _(v):
+    return A.short_labelings(v.adj, 50000, over_same=True, over_tra=True, inversions=False).select("gid")
+
+
 @query("q_walk_adjacencies", """WITH p AS (SELECT chr, start, "end", lead(start) OVER (PARTITION BY chr ORDER BY i) AS n FROM seg) SELECT chr AS chr1, "end" AS coord1, chr AS chr2, n AS coord2 FROM p WHERE n IS NOT NULL""")
 def _(v):
     walk = v.seg.select(F.lit("ref").alias("genome"), F.col("chr").alias("chrom"), F.col("i").alias("pos"), "chr", "start", "end", F.lit(False).alias("reversed"))
