@@ -11,7 +11,7 @@ Rows are made by joins; nothing is looped over on the driver. ``lp_lines`` write
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -446,3 +446,30 @@ def by_chromosome(adjacencies: DataFrame) -> DataFrame:
 def presolve_fp(fp: float, fraction: float) -> float:
     """What is left of the overall rate for a chromosome, once the share across chromosomes is taken off."""
     return max(0.0, fp - fraction)
+
+
+def presolve_rates(i: Inputs) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """``(part, n, fp)`` of each chromosome's novel adjacencies, and the row of the rate for each: what the share of adjacencies across chromosomes leaves of it."""
+    novel = i.adjacencies.where("at = 'N'")
+    share = novel.agg(F.coalesce(F.avg((F.col("chr1") != F.col("chr2")).cast("int")), F.lit(0.0))).first()[0]
+    inner = by_chromosome(novel)
+    parts = inner.groupBy("part").agg(F.count("*").alias("n")).withColumn("fp", F.lit(presolve_fp(i.overall_fp, share)))
+    rates = inner.select("aid", "part", _phasings(i).alias("phasing")).join(parts, "part")
+    return parts, _rows(rates, name("fp", "part"), ">=", (1 - F.col("fp")) * F.col("n"), (name("overall", "aid", "phasing"), 1))
+
+
+def presolved(i: Inputs) -> Model:
+    """All chromosomes' models in one: adjacencies across chromosomes are left out, so no row has variables of two chromosomes, and the row of
+    the overall rate is one for each chromosome."""
+    own = replace(i, adjacencies=by_chromosome(i.adjacencies).drop("part"))
+    made = [*bound_rows(own), *product_rows(own), *labeling_rows(own), *reciprocal_rows(own), *group_rows(own), *balance_rows(own), *delta_rows(own), presolve_rates(i)[1]]
+    c, e = made[0]
+    for x, y in made[1:]:
+        c, e = c.unionByName(x), e.unionByName(y)
+    return Model(variables(own), c, e, objective(own))
+
+
+def start_vector(m: Model, solutions: DataFrame) -> DataFrame:
+    """``(name, value)`` for every variable of the whole model: of the parts' solutions (name, value), rounded for whole numbers, else its lower bound."""
+    rows = m.variables.groupBy("name").agg(F.max("kind").alias("kind"), F.coalesce(F.max("lb"), F.lit(0.0)).alias("lb")).join(solutions, "name", "left")
+    return rows.select("name", F.coalesce(F.when(F.col("kind") == "C", F.col("value")).otherwise(F.bround("value", 0)), "lb").alias("value"))

@@ -19,6 +19,7 @@ from lociflow.operators import reports as R
 from lociflow.operators import tensor as T
 from lociflow.operators.components import connected_components
 from lociflow.plans.views import Views, sql
+from lociflow.shared import cut as written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -969,11 +970,11 @@ def _(v):
 def _inputs(v):
     from lociflow.operators import milp
 
-    cut = I.cut_segments(v.seg, v.breakend)
+    cut = written(I.cut_segments(v.seg, v.breakend), "segments")
     refs = I.reference_adjacencies(cut).select("aid", *ENDS, "at")
     ends = cut.select(F.explode(F.array(*(M.position_id("chr", x, F.lit(s)) for x, s in (("start", "-"), ("end", "+"))))).alias("node")).distinct()
     held = A.breakends(v.adj).withColumn("node", M.position_id("chr", "coord", "strand")).join(ends, "node", "left_semi").groupBy("aid").agg(F.count("*").alias("n")).where("n = 2").select("aid")
-    adj = v.adj.select("aid", *ENDS, "at").join(held, "aid", "left_semi").unionByName(refs)
+    adj = written(v.adj.select("aid", *ENDS, "at").join(held, "aid", "left_semi").unionByName(refs), "adjacencies")
     cn = cut.select("sid", "fid").join(v.scnt.withColumnRenamed("sid", "fid"), "fid").select("sid", "clone", "hap", "cn")
     bounds = T.bounds(cn, cut, "uniform-min-max")
     return milp.Inputs(cut, cn, bounds, adj, I.reference_telomeres(v.seg))
@@ -1013,4 +1014,4 @@ def _(v):
     return out.select("row")
 
 
-from lociflow.plans import io_queries, model_queries, stream_queries  # noqa: E402, F401  (registers their queries)
+from lociflow.plans import io_queries, model_queries, step_queries, stream_queries  # noqa: E402, F401  (registers their queries)

@@ -68,6 +68,16 @@ def test_rows_at_fault_are_found_through_the_bounds_they_set(spark):
     assert found(chain[:2], [("x", "I", 0.0, 3.0), *free[1:]]) == ["a"]
 
 
+def test_chromosomes_are_solved_apart_and_started_from_together(spark):
+    i = tiny(spark, cn=((1, 1), (1, 1)), high=1)
+    m = milp.presolved(i)
+    found = milp.solve_tiny(m)
+    values = spark.createDataFrame(list(found.items()), "name string, value double")
+    whole = {r["name"]: r["value"] for r in milp.start_vector(milp.model(i), values.where("name <> 'flip|f1'")).collect()}
+    assert whole.pop("flip|f1") == 0.0 and all(whole[k] == v for k, v in found.items() if k in whole)
+    assert milp.by_chromosome(i.adjacencies).select("part").distinct().count() == 1 and milp.presolve_fp(0.1, 0.3) == 0.0
+
+
 def test_a_small_model_is_solved_and_checked(spark):
     i = tiny(spark, cn=((1, 1), (1, 1)), high=1)
     m = milp.model(i)

@@ -199,3 +199,13 @@ def test_vcf_lines_and_other_sinks(spark, tmp_path):
     path = tmp_path / "v"
     sinks.write_lines(sinks.vcf_lines(a, date="20200101"), str(path))
     assert vcf.records(spark, str(path)).count() == 2
+
+
+def test_unknown_formats_are_errors(spark):
+    from lociflow.sources import convert
+
+    with pytest.raises(ValueError, match="unknown format"):
+        convert.adjacencies_from(spark, "none", "other")
+    with pytest.raises(ValueError, match="unknown format"):
+        convert.copy_numbers_from(spark, "none", "other")
+    assert len(convert.FORMATS) == 13
