@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +43,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_RECORDS: list[list[str]] = []
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for record in _RECORDS:
+        record.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths in the shared folder that are given out meanwhile."""
+    own: list[str] = []
+    _RECORDS.append(own)
+    try:
+        yield own
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not own]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that nothing will read again: what was made from them has been written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        own = jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(conf).delete(own, True)
+
+
+def folder_of(table: DataFrame) -> str | None:
+    """Where ``cut`` wrote this very table."""
+    return _FOLDERS.get(table)
 
 
 #: Rows of a narrow table that a file of it should hold at least, and the files that it has however few its rows are.
@@ -61,4 +95,6 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         df = df.coalesce(files_for(spark, rows))
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
