@@ -22,7 +22,7 @@ from lociflow.llm.bktree import Forest, Sets, spanning_links
 from lociflow.llm.encoding import portions
 from lociflow.llm.text import ascii_words, shingle_hashes
 from lociflow.operators.components import connected_components
-from lociflow.shared import BATCH_ROWS, cut, ensure_importable
+from lociflow.shared import BATCH_ROWS, cut, discard, ensure_importable, folder_of
 
 BITS = 64
 #: Prints for each key value that a pigeonhole scheme may have before a finer one is taken.
@@ -295,8 +295,11 @@ def _families(members: DataFrame, texts: DataFrame, k: int, similarity: float) -
         pairs = links.select(F.col("a").alias("node"), F.col("b").alias("lead")).join(held, "node").join(held.select(F.col("node").alias("lead"), F.col("text").alias("lead_text")), "lead")
         rows = spark.conf.get(BATCH_ROWS)
         spark.conf.set(BATCH_ROWS, "64")  # a row has two texts, which may be long
-        new = cut(_verified(pairs, k, similarity), "verified")
-        spark.conf.set(BATCH_ROWS, rows)
+        try:
+            new = cut(_verified(pairs, k, similarity), "verified")
+        finally:
+            spark.conf.set(BATCH_ROWS, rows)
+        discard(spark, folder_of(held), folder_of(links))
         ends = lambda df: df.join(labels, "node").join(labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")), "lead")
         joined = connected_components(ends(new.where("held")), "label", "lead_label").select(F.col("node").alias("label"), "component")
         labels = cut(labels.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "families", count)
@@ -344,6 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = cut(_loose_links(groups, groups.count()), "loose-links")  # read twice: which links span a set isn't settled
     near = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     members = cut(groups.join(near, "node"), "loose")
+    discard(spark, folder_of(left))
     tied = groups.select("node", "id").join(_families(members, texts, k, similarity), "node")
     first = tied.groupBy("label").agg(F.min(F.struct("id", "node")).alias("first")).select(F.col("first.node").alias("node"))
     gone = tied.select("node").join(first, "node", "left_anti")

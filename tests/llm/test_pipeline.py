@@ -27,3 +27,33 @@ def test_stages(spark, odd, some, sf):
     assert mixed.columns == list(C.COLUMNS) and mixed.count() > 0
     final = C.token_ids(spark, mixed, sf)
     assert final.count() == mixed.count()
+
+
+def test_stages_remove_what_earlier_ones_kept(spark, some, sf, tmp_path):
+    import os
+
+    from lociflow.shared import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    kept = lambda name: [x for x in os.listdir(root) if x.startswith(name)]
+    before = set(kept("prototypes"))
+    docs = some
+    for k, (name, stage) in enumerate(C.STAGES[:3]):
+        out = stage(spark, docs, sf)
+        if k:
+            assert set(kept("prototypes")) <= before
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    # A stage whose docs still read an earlier one's tables leaves them.
+    one = C.near_dups(spark, some, sf)
+    assert C.benchmark(spark, one, sf).count() > 0
+
+
+def test_run_against_its_stages_one_by_one(spark, sf):
+    whole = C.run(spark, sf)
+    assert whole.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in C.STAGES:
+        docs = stage(spark, docs, sf)
+    order = lambda df: sorted(tuple(r) for r in df.select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    assert order(whole) == order(docs)
