@@ -140,6 +140,40 @@ def alignment_labelings(ends: DataFrame, alignments: DataFrame, delta: int = 500
     return rows.select(gid.alias("gid"), "read", F.transform(both, lambda x: x["aid"]).alias("aids"), F.transform(both, lambda x: x["side"]).alias("agl"))
 
 
+def read_labelings(ends: DataFrame, alignments: DataFrame, delta: int = 500, neighbour: str = "first") -> DataFrame:
+    """Labelings from reads with several alignments: ``(gid, read, aids, agl)``, a position beginning at most one group.
+
+    ``alignments``: (read, aln, chr, start, end, q_start, q_end) and in ``aids`` the adjacencies that the read supports; ``ends``: breakends with
+    ``ord``, their adjacency's place. A read's positions are taken by ``ord`` and side. One that is no earlier one's neighbour yet is looked
+    for on the alignments that hold it within ``delta``, in order of ``q_start`` and ``q_end``; the first on which it has a neighbour, as in
+    ``alignment_labelings``, gives a group: its first adjacency, then all of the read at the neighbour. The fold runs over the positions of one read.
+    """
+    if neighbour not in ("first", "last"):
+        raise ValueError("neighbour is first or last")
+    span = alignments.select("read", "aln", F.col("chr").alias("i_chr"), (F.col("start") - delta).alias("i_start"), (F.col("end") + delta).alias("i_end"), "q_start", "q_end", "aids")
+    held = point_join(ends, span).where(F.array_contains("aids", F.col("aid"))).withColumn("p", position_id("chr", "coord", "strand"))
+    places = held.select("read", "aln", "q_start", "q_end", "coord", "strand", "p").distinct()
+    w = Window.partitionBy("read", "aln").orderBy("coord", F.when(F.col("strand") == "-", 0).otherwise(1))
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    of = lambda s: F.when(F.col("strand") == s, F.col("p"))
+    near, far = (F.last, F.first) if neighbour == "first" else (F.first, F.last)
+    n = F.when(F.col("strand") == "-", far(of("+"), ignorenulls=True).over(after)).otherwise(near(of("-"), ignorenulls=True).over(before))
+    found = places.withColumn("n", n).where("n is not null").groupBy("read", "p").agg(F.min_by("n", F.struct("q_start", "q_end", "aln")).alias("n"))
+    own = held.select("read", "p", "aid", "side", "ord").distinct()
+    first = own.groupBy("read", "p").agg(F.min(F.struct("ord", "side", "aid")).alias("a")).join(found, ["read", "p"], "left")
+    rows = first.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("a", "p", "n"))).alias("rows"))
+    none = F.array().cast("array<string>")
+    step = lambda acc, x: F.when(F.array_contains(acc["done"], x["p"]) | x["n"].isNull(), acc).otherwise(
+        F.named_struct(F.lit("done"), F.array_append(acc["done"], x["n"]), F.lit("kept"), F.array_append(acc["kept"], x["p"]))
+    )
+    kept = F.aggregate("rows", F.named_struct(F.lit("done"), none, F.lit("kept"), none), step, lambda acc: acc["kept"])
+    begun = rows.select("read", kept.alias("kept"), F.explode("rows").alias("x")).where(F.array_contains("kept", F.col("x.p")) & F.col("x.n").isNotNull())
+    there = own.groupBy("read", F.col("p").alias("n")).agg(F.array_sort(F.collect_list(F.struct("ord", "side", "aid"))).alias("m"))
+    out = begun.select("read", "x.a", "x.p", "x.n").join(there, ["read", "n"])
+    both = F.concat(F.array("a"), "m")
+    return out.select(F.concat_ws("_", "read", "p").alias("gid"), "read", F.transform(both, lambda x: x["aid"]).alias("aids"), F.transform(both, lambda x: x["side"]).alias("agl"))
+
+
 def concur(groups: DataFrame, adjacencies: DataFrame) -> bool:
     """Whether all members are known adjacencies."""
     return exploded(groups).join(adjacencies, "aid", "left_anti").isEmpty()

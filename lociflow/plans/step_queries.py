@@ -245,3 +245,35 @@ UNION ALL SELECT 'labeling_group', NULL, gid, 1 FROM member m JOIN acnt c USING
 def _(v):
     i = _fixture(v)
     return karyotype_report(i.segments, i.adjacencies, v.scnt, v.acnt, v.groups())
+
+
+# --- labelings from alignments
+
+
+def _aligned(v) -> DataFrame:
+    """Reads that lie on every chromosome as a whole."""
+    chrs = v.breakend.select("chr").distinct()
+    return v.support.groupBy("read").agg(F.collect_set("aid").alias("aids")).crossJoin(chrs).select("read", F.col("chr").alias("aln"), "chr", F.lit(1).cast("long").alias("start"), F.lit(1_000_000).cast("long").alias("end"), "aids")
+
+
+@query(
+    "q_alignment_labelings_last",
+    """WITH e AS (SELECT DISTINCT s.read, b.chr, b.coord, b.strand, b.aid, b.side, b.coord * 2 + CASE b.strand WHEN '+' THEN 1 ELSE 0 END AS o FROM support s JOIN breakend b USING (aid)),
+    n AS (SELECT l.read, l.chr, l.o AS lo, max(r.o) AS ro FROM e l JOIN e r ON r.read = l.read AND r.chr = l.chr AND l.strand = '-' AND r.strand = '+' AND r.o > l.o GROUP BY ALL
+      UNION SELECT r.read, r.chr, min(l.o), r.o FROM e l JOIN e r ON r.read = l.read AND r.chr = l.chr AND l.strand = '-' AND r.strand = '+' AND r.o > l.o GROUP BY r.read, r.chr, r.o)
+    SELECT n.read, n.read || '_' || n.chr || '_' || lo // 2 || '_' || ro // 2 AS gid, string_agg(e.aid || ':' || e.side, ',' ORDER BY e.o, e.aid, e.side) AS ends FROM n JOIN e ON e.read = n.read AND e.chr = n.chr AND e.o IN (lo, ro) GROUP BY ALL""",
+)
+def _(v):
+    ends = F.zip_with("aids", "agl", lambda a, s: F.concat(a, F.lit(":"), s.cast("string")))
+    return GR.alignment_labelings(v.breakend, _aligned(v), neighbour="last").select("read", "gid", F.array_join(ends, ",").alias("ends"))
+
+
+@query("q_read_labelings")
+def _(v):
+    """Each read has three alignments over every chromosome's thirds, the last third first; held against brute force in tests."""
+    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(k * 333_333 + 1).cast("long").alias("a"), F.lit((k + 1) * 333_334).cast("long").alias("b")) for k in range(3)))).alias("x")
+    rows = _aligned(v).select("read", "chr", "aids", parts)
+    rows = rows.select("read", (F.col("chr").cast("long") * 3 + F.col("x.k")).alias("aln"), "chr", F.col("x.a").alias("start"), F.col("x.b").alias("end"), (10 - F.col("x.k")).cast("long").alias("q_start"), F.lit(20).cast("long").alias("q_end"), "aids")
+    ends = v.breakend.join(v.adj.select("aid", F.col("k").alias("ord")), "aid")
+    out = GR.read_labelings(ends, rows)
+    return out.select("read", "gid", F.array_join("aids", ",").alias("aids"), F.array_join(F.transform("agl", lambda x: x.cast("string")), ",").alias("agl"))
