@@ -53,7 +53,11 @@ def _stage(number: int) -> Callable:
 
 @_stage(0)
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, and longer ones that are like no language learned."""
+    """Rejects texts without a letter, and longer ones that are like no language learned.
+
+    A null or empty text has no letter and goes. Rows with a null language or text teach nothing, a null id is never held out; without any
+    language to learn from all go. Ties go to the language first by name, and repeated rows are decided alike. Columns other
+    than COLUMNS are dropped; no rows give no rows."""
     langs, protos = learned(docs)
     found = identify(docs, langs, protos)
     letters = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", ""))
@@ -63,26 +67,38 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage(1)
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the smallest id.
+
+    A null id counts as the largest; of repeated rows one stays. Null and empty texts and those without words are one group.
+    Columns other than COLUMNS are dropped; no rows give no rows."""
     return near_duplicates(docs).select(*COLUMNS)
 
 
 @_stage(2)
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts hold none and stay; items with a null id or text are left out; repeated rows are decided alike.
+    Columns other than COLUMNS are dropped; no rows give no rows."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items).where(F.size("item_ids") == 0).select(*COLUMNS)
 
 
 @_stage(3)
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks, in a shuffled order."""
+    """Documents as often as their source's target weight asks, in a shuffled order.
+
+    A null ``n_chars`` counts 0, and a source without any is not repeated at all; null is a source of its own. Rows that repeat an
+    id, or have none, have equal counts; ties of the order go by id. Columns other than COLUMNS are dropped; no rows give no rows."""
     return mix(docs, mass=F.col("n_chars")).select(*COLUMNS)
 
 
 @_stage(4)
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Written in blocks of token ids; what is read back from the files."""
+    """Written in blocks of token ids; what is read back from the files.
+
+    Null ids come first, rows that repeat an id stand in order of their text's hash; a null or empty text has just the end id. No
+    rows give no files and no rows."""
     return digest_of(docs)
 
 
