@@ -119,7 +119,9 @@ def small_portions(texts):
 
 
 def prototypes(learn: DataFrame, text_col: str, lang_col: str, dimensions: int = DIMENSIONS, gram: int = GRAM) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the sum of their documents' vectors, over all rows with a language and a letter."""
+    """Languages in order and the sum of their documents' vectors, over all rows with a language and a letter.
+
+    Null languages and null, empty or letterless texts add nothing; repeated rows add each time; no such row, no language. Other columns don't count."""
 
     def run(batches):
         profiles, held = Profiles(dimensions, gram), {}

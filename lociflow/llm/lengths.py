@@ -22,7 +22,7 @@ CONTEXTS = tuple(1 << k for k in range(7, 21))
 def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text", end_ids: int = 0) -> DataFrame:
     """``(length, n_docs)``: how many rows encode to each length.
 
-    A null or empty text has ``end_ids`` ids; repeated rows count each time; no rows, no lengths. Each task
+    A null or empty text has ``end_ids`` ids; repeated rows and texts of equal length count each time; no rows, no lengths. Other columns don't count. Each task
     sends one row for each length it met.
     """
     ensure_importable(docs.sparkSession)
