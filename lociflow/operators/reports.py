@@ -108,6 +108,12 @@ def absent_fraction(acnt: DataFrame) -> DataFrame:
     return per.agg((1 - F.avg("there")).alias("absent"))
 
 
+def absent_adjacencies(adjacencies: DataFrame, acnt: DataFrame) -> DataFrame:
+    """Adjacencies without a copy in any clone, or without any row of copies."""
+    there = acnt.groupBy("aid").agg(F.max("cn").alias("most")).where("most > 0").select("aid")
+    return adjacencies.join(there, "aid", "left_anti")
+
+
 def karyotype_counts(segments: DataFrame, adjacencies: DataFrame) -> DataFrame:
     """``(what, name, n)``: segments by chromosome, adjacencies by type."""
     s = segments.groupBy(F.lit("segments").alias("what"), F.col("chr").alias("name")).agg(F.count("*").alias("n"))

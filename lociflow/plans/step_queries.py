@@ -12,6 +12,7 @@ from lociflow.operators import graph as G
 from lociflow.operators import groups as GR
 from lociflow.operators import intervals as I
 from lociflow.operators import milp
+from lociflow.operators import reports as R
 from lociflow.operators import tensor as T
 from lociflow.operators.scan import numbered
 from lociflow.operators.validation import karyotype_report
@@ -277,3 +278,57 @@ def _(v):
     ends = v.breakend.join(v.adj.select("aid", F.col("k").alias("ord")), "aid")
     out = GR.read_labelings(ends, rows)
     return out.select("read", "gid", F.array_join("aids", ",").alias("aids"), F.array_join(F.transform("agl", lambda x: x.cast("string")), ",").alias("agl"))
+
+
+# --- scalar expressions, absent adjacencies, groups of several tables
+
+
+@query("q_strand_distance", "SELECT aid, CASE WHEN chr1 = chr2 AND strand1 = strand2 THEN abs(coord1 - coord2) ELSE 3000000000 END AS distance FROM adj")
+def _(v):
+    return v.adj.select("aid", M.strand_distance(*ENDS).alias("distance"))
+
+
+@query("q_stable_phasing", "SELECT aid, clone, phasing, CASE WHEN phasing = 'BB' AND k % 3 = 0 THEN 'AA' WHEN k % 2 = 0 THEN phasing ELSE reverse(phasing) END AS stable FROM acnt JOIN adj USING (aid)")
+def _(v):
+    rows = v.acnt.join(v.adj.select("aid", "k"), "aid")
+    own = F.when((F.col("phasing") == "BB") & (F.col("k") % 3 == 0), F.lit(None)).otherwise(F.col("phasing"))
+    return rows.select("aid", "clone", "phasing", M.stable_phasing(own, F.col("k") % 2 == 0).alias("stable"))
+
+
+@query(
+    "q_adjacency_size",
+    """SELECT aid, CASE k % 4 WHEN 0 THEN k % 1000 WHEN 1 THEN length(aid) WHEN 2 THEN CASE WHEN chr1 = chr2 THEN abs(coord1 - coord2) ELSE -1 END ELSE 0 END::BIGINT AS size FROM adj""",
+)
+def _(v):
+    """The length given, else that of the inserted sequence, else the distance; 0 for an insertion without either."""
+    k = F.col("k") % 4
+    svlen = F.when(k == 0, F.concat(F.lit("-"), (F.col("k") % 1000).cast("string"), F.lit(".7")))
+    return v.adj.select("aid", M.adjacency_size(svlen, F.when(k == 1, F.col("aid")), F.when(k == 3, "INS").otherwise("DEL")).alias("size"))
+
+
+@query("q_phasing_by_side", "SELECT aid, side::BIGINT AS side, h AS hap, h || h AS reference, CASE WHEN side = 0 THEN h || 'B' ELSE 'B' || h END AS novel FROM breakend, (VALUES ('A'), ('B')) t(h)")
+def _(v):
+    rows = v.breakend.select("aid", "side", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("hap"))
+    return rows.select("aid", "side", "hap", M.reference_phasing("side", F.col("hap")).alias("reference"), M.novel_phasing("side", F.col("hap"), F.lit("B")).alias("novel"))
+
+
+@query("q_absent_adjacencies", "SELECT aid FROM adj WHERE aid NOT IN (SELECT aid FROM acnt WHERE cn > 0 AND clone = 'c1')")
+def _(v):
+    return R.absent_adjacencies(v.adj, v.acnt.where("clone = 'c1'")).select("aid")
+
+
+@query("q_cat_groups", "SELECT gid, agt, count(*) AS n FROM member GROUP BY ALL")
+def _(v):
+    """Groups of two tables; of an id that both have, the first table's."""
+    groups = v.groups().select("gid", "agt", "aids")
+    again = groups.where("agt = 'L'").withColumn("aids", F.slice("aids", 1, 1))
+    return A.concatenated([groups, again], unique="skip", id_col="gid").select("gid", "agt", F.size("aids").alias("n"))
+
+
+@query("q_inflated_topology", """SELECT chr || ':' || h || ':-' || start AS node, 2::BIGINT AS n FROM seg, (VALUES ('A'), ('B')) t(h) WHERE i % 10 = 0 UNION ALL SELECT chr || ':' || h || ':+' || ("end" + 3), 2 FROM seg, (VALUES ('A'), ('B')) t(h) WHERE i % 20 = 0""")
+def _(v):
+    """Extremities of haplotypes at which not just one segment ends: some segments are there again, longer, some of these twice."""
+    longer = v.seg.where("i % 10 = 0").withColumn("end", F.col("end") + 3)
+    twice = v.seg.where("i % 20 = 0").withColumn("end", F.col("end") + 3).withColumn("start", F.col("start") - 7)
+    edges = G.inflated(v.seg.unionByName(longer).unionByName(twice), v.adj.where("k < 0")).select("u", "v", "kind")
+    return G.proper_topology(edges)
