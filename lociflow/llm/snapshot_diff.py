@@ -79,7 +79,7 @@ def fetched(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def content_ranks(rows: DataFrame, least: int, most: int) -> DataFrame:
-    """Adds ``rank``, from 0, of ``k`` among the rows of equal ``content`` and ``side``, ``k`` lying between ``least`` and ``most``.
+    """Adds ``rank``, from 0, of ``k`` among the rows of equal ``content`` and ``side``, ``k`` lying between ``least`` and ``most``; a null ``key`` is the last of an equal ``k``.
 
     Keys are ranked within containers of 1024. What comes before a container is counted by containers of
     containers, so that no window is longer than 1024 rows, however many rows have one content.
@@ -104,7 +104,7 @@ def content_ranks(rows: DataFrame, least: int, most: int) -> DataFrame:
         if above:
             counts = counts.join(before.withColumnsRenamed({"c": "up", "ahead": "ahead_of_up"}).hint("merge"), [*group, "up"]).withColumn("ahead", F.expr("ahead + ahead_of_up"))
         before = counts.select(*group, "c", "ahead")
-    w = Window.partitionBy(*group, "c").orderBy("k")
+    w = Window.partitionBy(*group, "c").orderBy("k", F.col("key").isNull())
     ranked = rows.withColumn("c", F.shiftright("k", RANK_BITS)).join(before.hint("merge"), [*group, "c"])
     return ranked.withColumn("rank", F.col("ahead") + F.row_number().over(w) - 1).drop("c", "ahead")
 
@@ -141,15 +141,15 @@ def difference(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str])
 
     ends = found.agg(F.min("high").alias("a"), F.max("high").alias("b")).first()
     span = WORD_BITS + PLACE_BITS
-    first, last = ((ends["a"] or 0) << span, (((ends["b"] or 0) + 1) << span) - 1)
+    first, last = (ends["a"] or 0) << span, min(((ends["b"] or 0) + 1) << span, (1 << 63) - 1)  # null keys are ranked as the last one
     rest = None
     for side, rows in enumerate(sides):
         alone = rows.where("not paired")
         kept = rows.where("paired and repeats").groupBy("key").agg(F.min("content").alias("least"))
         more = rows.where("paired and repeats").join(kept.hint("merge"), "key").where("content <> least").select(*rows.columns)
-        own = alone.unionAll(more).select("content", F.lit(side).alias("side"), "key", "row", "copies", F.coalesce("key", F.lit(last) + 1).alias("k"))
+        own = alone.unionAll(more).select("content", F.lit(side).alias("side"), "key", "row", "copies", F.coalesce("key", F.lit(last).cast("long")).alias("k"))
         rest = own if rest is None else rest.unionAll(own)
-    ranked = content_ranks(rest, first, last + 1)
+    ranked = content_ranks(rest, first, last)
     of = lambda side, x: F.max(F.when(F.col("side") == side, F.col(x)))
     by_content = ranked.groupBy("content", "rank").agg(
         of(0, "key").alias("old_key"), of(1, "key").alias("new_key"), of(1, "row").alias("row"),

@@ -74,10 +74,12 @@ def test_difference_of_odd_rows(spark):
     old = [
         (1, "a", "en", "s"), (2, "a", "en", "s"), (3, "a", "en", "s"), (4, None, None, None), (5, "", "en", None), (6, "~", "~", "~"),
         (None, "n", "en", "s"), (None, "n", "en", "s"), (7, "x", "en", "s"), (7, "y", "en", "s"), (8, "long " * 100_000, "de", "s"), (2**62, "big", "en", "s"), (9, "r", "r", "r"), (9, "r", "r", "r"),
+        (2**63 - 1, "end", "en", "s"), (None, "end", "en", "s"), (-(2**63), "end", "en", "s"),
     ]
     new = [
         (-2, "a", "en", "s"), (-3, "a", "en", "s"), (1, "a", "s", "en"), (4, None, None, "~"), (-5, "", "en", None), (-6, None, "~", "~"),
         (70, "n", "en", "s"), (7, "y", "en", "s"), (-8, "long " * 100_000, "de", "s"), (-(2**63), "big", "en", "s"), (9, "r", "r", "r"), (11, "r", "r", "r"), (None, "r", "r", "r"),
+        (-7, "end", "en", "s"), (-6, "end", "en", "s"), (2**63 - 2, "end", "en", "s"),
     ]
     compare(spark, old, new)
 
