@@ -150,7 +150,7 @@ def bounds(
     if sex not in (None, "m", "f"):
         raise ValueError("sex is m or f")
     haps = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("hap")
-    every = segments.select("sid", "chr", segment_length().alias("length")).crossJoin(scnt.select("clone").distinct()).select("*", haps)
+    every = segments.select("sid", "chr", segment_length().alias("length")).crossJoin(F.broadcast(scnt.select("clone").distinct())).select("*", haps)  # a handful of clones
     cn, length = F.coalesce("cn", F.lit(0)), F.col("length")
     if strategy == "fix":
         l, u = cn, cn

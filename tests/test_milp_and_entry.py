@@ -140,3 +140,62 @@ def test_the_rest_stands_without_the_optional_parts(monkeypatch):
     assert set(fresh.queries()) == set(QUERIES) and set(fresh.oracle_sql()) == set(SQL)
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def _small(spark, groups=False):
+    seg = spark.createDataFrame([(f"s{k}", "f", "1", 10 * k + 1, 10 * k + 10) for k in range(4)], "sid string, fid string, chr string, start long, end long")
+    scnt = spark.createDataFrame([(f"s{k}", c, h, 1) for k in range(4) for c in ("c1", "c2") for h in "AB"], "sid string, clone string, hap string, cn long")
+    ends = "aid string, chr1 string, coord1 long, strand1 string, chr2 string, coord2 long, strand2 string, at string"
+    adj = spark.createDataFrame([("r1", "1", 10, "+", "1", 11, "-", "R"), ("a", "1", 10, "+", "1", 31, "-", "N"), ("b", "1", 11, "-", "1", 40, "+", "N"), ("d", "1", 10, "+", "1", 11, "-", "N")], ends)
+    bounds = scnt.selectExpr("sid", "clone", "hap", "cn AS l", "cn + 1 AS u")
+    held = spark.createDataFrame([("g", "M", 0.5, ["a", "b"], [0, 1]), ("h", "N", 0.5, ["a"], [0])], "gid string, agt string, fp double, aids array<string>, agl array<int>")
+    return milp.Inputs(seg, scnt, bounds, adj, seg.selectExpr("chr", "start AS coord", "'-' AS strand").limit(1), held if groups else None)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clones_are_sent_to_the_adjacencies_and_found_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        i = _small(spark)
+        plan = _plan(milp.variables(i))
+        assert "CartesianProduct" not in plan and "BuildLeft" not in plan
+        assert milp._clones(i).count() == 2 and i.clones is not None
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_of_pairs_are_not_moved_once_made(spark):
+    i = _small(spark)
+    rows = {(r["row"], tuple(r["names"])) for r in milp.reciprocal_names(i).collect()}
+    own = [("a", "b", 0, 0), ("a", "d", 0, 1), ("d", "b", 0, 0), ("d", "d", 0, 1)]
+    names = lambda x, side, hap: {f"overall|{x}|{p}" for p in ("AA", "AB", "BA", "BB") if p[side] == hap}
+    expected = {(f"side{k}|1:+10|1:-11|{x}|{y}|{s}|{t}", tuple(sorted(names(x, s, h) | names(y, t, o)))) for x, y, s, t in own for k, (h, o) in enumerate(("AB", "BA"))}
+    assert rows == expected
+    c, e = milp.reciprocal_rows(i)[0]
+    assert c.count() == len(rows) and e.count() == sum(len(n) for _, n in rows)
+    # Aggregates stand before the joins of the ends, none on the pairs.
+    plan = _plan(c)
+    assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_constraints_of_their_own_need_no_distinct(spark):
+    i = _small(spark, groups=True)
+    low = milp.labeling_rows(i)[1]
+    assert "Aggregate" not in _plan(low[0]) and low[0].count() == 3 * 2 * 4
+    assert all("Aggregate" not in _plan(milp.group_rows(i)[k][0]) for k in (0, 2))
+    for parts in (milp.product_rows(i), milp.labeling_rows(i), milp.group_rows(i), milp.bound_rows(i), milp.delta_rows(i)):
+        for c, _ in parts:
+            assert c.count() == c.distinct().count() == c.select("row").distinct().count()
+
+
+def test_listed_rows_are_moved_once(spark):
+    from lociflow.plans import model_queries
+    from lociflow.plans.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    plan = _plan(model_queries._listed(v, milp.labeling_rows(_small(spark))))
+    assert plan.count("Exchange hashpartitioning(row") == 1
