@@ -17,18 +17,26 @@ from lociflow.sources import vcf as V
 ENDS = ["chr1", "coord1", "strand1", "chr2", "coord2", "strand2"]
 
 
-def _stored(v, rows: DataFrame) -> str:
-    """The path of texts, in one file, so that places in the file are those of the rows."""
-    path = fresh_path(v.spark, "texts")
-    rows.coalesce(1).write.text(path)
-    return path
+def files_for_lines(v) -> int:
+    """Files for lines that grow with the orders: about a million rows of ``lineitem``, or 250,000 orders, each."""
+    return max(4, v.lineitem.count() // 1_000_000)
+
 
+def _texts(v, head: list[str], rows: DataFrame, *lines: str, files: int = 1, named: bool = False) -> str:
+    """The path of ``head`` and, for each row in order of its ``k``, the lines that Spark SQL makes from it.
 
-def _texts(v, head: list[str], rows: DataFrame, *lines: str) -> str:
-    """The path of a file of ``head`` and, for each row in order of its ``k``, the lines that Spark SQL makes from it."""
+    Lines of one ``k`` are in one file, and files follow one another in order of their names. ``named``: the head is one line of names, and each file has it.
+    """
     own = rows.selectExpr("k", f"posexplode(array({', '.join(lines)})) AS (n, value)")
     first = v.spark.createDataFrame([(-1, n, x) for n, x in enumerate(head)], "k long, n int, value string")
-    return _stored(v, first.unionByName(own).where("value <> ''").orderBy("k", "n").select("value"))
+    every = (own if named else first.unionByName(own)).where("value <> ''")
+    placed = every.orderBy("k", "n").coalesce(1) if files == 1 else every.repartitionByRange(files, "k").sortWithinPartitions("k", "n")
+    path = fresh_path(v.spark, "texts")
+    if named:
+        placed.select(F.col("value").alias(*head)).write.csv(path, sep="\x01", header=True, quote="", escape="", emptyValue="")
+    else:
+        placed.select("value").write.text(path)
+    return path
 
 
 def _tabs(*columns: str) -> str:
@@ -57,7 +65,7 @@ def _if(test: str, *lines: str) -> list[str]:
 
 def _vcf(v, *lines: str, samples: str = "") -> DataFrame:
     head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO" + (f"\tFORMAT\t{samples}" if samples else "")
-    return V.records(v.spark, _texts(v, ["##fileformat=VCFv4.2", head], v.adj, *lines))
+    return V.records(v.spark, _texts(v, ["##fileformat=VCFv4.2", head], v.adj, *lines, files=files_for_lines(v)))
 
 
 def _in_order(raw: str, more: str = "") -> str:
@@ -132,7 +140,7 @@ def _(v):
 @query("q_read_legacy_adjacency_copies", "SELECT 'o' || k AS aid, clone, phasing, CASE WHEN phasing IN ('AA', 'BB') THEN k % 3 ELSE 0 END AS cn FROM adj, cl, ph")
 def _(v):
     entry = " || ';' || ".join(f"'({c},' || k % 3 || ',0,0,' || k % 3 || ')'" for c in ("c1", "c2"))
-    path = _texts(v, ["\t".join(["aid", *ENDS, "CNs"])], v.adj, _tabs("aid", *ENDS, entry))
+    path = _texts(v, ["\t".join(["aid", *ENDS, "CNs"])], v.adj, _tabs("aid", *ENDS, entry), files=files_for_lines(v), named=True)
     return C.acnt(C.adjacencies(v.spark, path)).drop("stable_id")
 
 
@@ -184,12 +192,12 @@ def _(v):
 
 @query("q_read_names", "SELECT DISTINCT read FROM support")
 def _(v):
-    return C.read_names(v.spark, _texts(v, ["# names"], v.support.withColumn("k", F.col("l_partkey")), "'  ' || read"))
+    return C.read_names(v.spark, _texts(v, ["# names"], v.support.withColumn("k", F.col("l_partkey")), "'  ' || read", files=files_for_lines(v)))
 
 
 def _sam(v) -> str:
     cigar = "if(k % 2 = 0, '5S' || (10 + k % 90) || 'M3D20M', (10 + k % 90) || 'M2I7=')"
-    return _texts(v, ["@HD\tVN:1.6"], v.adj, _tabs("'r' || k % 100", "CASE WHEN k % 7 = 0 THEN 4 WHEN strand1 = '-' THEN 16 ELSE 0 END", "chr1", "coord1", "60", cigar, "'*'", "0", "0", "'*'", "'*'"))
+    return _texts(v, ["@HD\tVN:1.6"], v.adj, _tabs("'r' || k % 100", "CASE WHEN k % 7 = 0 THEN 4 WHEN strand1 = '-' THEN 16 ELSE 0 END", "chr1", "coord1", "60", cigar, "'*'", "0", "0", "'*'", "'*'"), files=files_for_lines(v))
 
 
 @query("q_read_alignments", """SELECT 'r' || k % 100 AS read, chr1 AS chr, coord1 AS start, coord1 + 10 + k % 90 + CASE WHEN k % 2 = 0 THEN 23 ELSE 7 END - 1 AS "end", strand1 AS strand FROM adj WHERE k % 7 <> 0""")
@@ -377,14 +385,14 @@ _PLACED = "row_number() OVER (ORDER BY k) - 1"
 
 @query("q_read_naibr", f"SELECT ({_PLACED})::VARCHAR AS aid, chr1, coord1, strand1, chr2, coord2, strand2 FROM adj")
 def _(v):
-    path = _texts(v, ["Chr1\tBreak1\tChr2\tBreak2\tOrientation"], v.adj, _tabs("'chr' || chr1", "coord1", "chr2", "coord2", "strand1 || strand2"))
+    path = _texts(v, ["Chr1\tBreak1\tChr2\tBreak2\tOrientation"], v.adj, _tabs("'chr' || chr1", "coord1", "chr2", "coord2", "strand1 || strand2"), files=files_for_lines(v), named=True)
     return TB.naibr(v.spark, path).select("aid", *ENDS)
 
 
 @query("q_read_gundem", f"SELECT * EXCLUDE (k) FROM (SELECT ({_PLACED})::VARCHAR AS aid, chr1, coord1, strand1, chr2, coord2, strand2, 'P-a:' || k % 3 || ',P-b:' || k % 4 AS support, k FROM adj) WHERE k % 4 >= 2")
 def _(v):
     line = _tabs("'P'", "'a/b'", "k % 3 || '/' || k % 4", "chr1", "coord1", "strand1", "chr2", "coord2", "if(strand2 = '+', '-', '+')")
-    path = _texts(v, ["patient\tsamples\ttumour-counts\tchr1\tpos1\tstr1\tchr2\tpos2\tstr2"], v.adj, line)
+    path = _texts(v, ["patient\tsamples\ttumour-counts\tchr1\tpos1\tstr1\tchr2\tpos2\tstr2"], v.adj, line, files=files_for_lines(v), named=True)
     return TB.gundem2015(v.spark, path, ["P-b"], least=2).select("aid", *ENDS, F.try_element_at("extra", F.lit("per_sample_support")).alias("support"))
 
 
@@ -394,7 +402,7 @@ def _(v):
 )
 def _(v):
     names = [f"{x}_{n}" for n in (1, 2) for x in ("chromosome", "position", "strand")]
-    path = _texts(v, ["\t".join(["prediction_id", *names, "cn_1", "cn_2"])], v.adj, _tabs("k", *ENDS, "k % 3", "k % 2"))
+    path = _texts(v, ["\t".join(["prediction_id", *names, "cn_1", "cn_2"])], v.adj, _tabs("k", *ENDS, "k % 3", "k % 2"), files=files_for_lines(v), named=True)
     return TB.remixt(v.spark, path, skip_absent=True).select("aid", *ENDS, F.try_element_at("extra", F.lit("cn")).alias("cn"))
 
 
@@ -403,7 +411,7 @@ def _(v):
     votes = lambda n: f"if(strand{n} = '+', '9+2-', '1+4-')"
     line = _tabs("chr1", "coord1", votes(1), "chr2", "coord2", votes(2), "if(chr1 <> chr2, 'CTX', 'DEL')", "300", "'99.0'", "k % 50", "'lib|1'")
     of = lambda k: F.try_element_at("extra", F.lit(k)).alias(k)
-    return TB.breakdancer(v.spark, _texts(v, ["# head"], v.adj, line)).select("aid", *ENDS, of("svlen"), of("num_reads"))
+    return TB.breakdancer(v.spark, _texts(v, ["# head"], v.adj, line, files=files_for_lines(v))).select("aid", *ENDS, of("svlen"), of("num_reads"))
 
 
 # --- copy numbers

@@ -13,8 +13,9 @@ from lociflow.sources.canonical import table
 
 
 def _row_number(rows: DataFrame) -> DataFrame:
-    """``n``: a row's place in the file, from 0, counted within ranges and shifted by those before."""
-    return numbered(rows, "n", "ord").withColumn("n", F.col("n") - 1)
+    """``n``: a row's place in the file, from 0, counted within ranges and shifted by those before. Several files follow one another in order of their paths."""
+    # Spark deals files out by size, so only within a file ``ord`` rises with the place.
+    return numbered(rows.withColumn("__file", F.input_file_name()), "n", "__file", "ord").withColumn("n", F.col("n") - 1).drop("__file")
 
 
 def _finished(rows: DataFrame, suffix: str, strip: bool, svtype: Column | None = None, svlen: Column | None = None) -> DataFrame:

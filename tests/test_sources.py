@@ -209,3 +209,32 @@ def test_unknown_formats_are_errors(spark):
     with pytest.raises(ValueError, match="unknown format"):
         convert.copy_numbers_from(spark, "none", "other")
     assert len(convert.FORMATS) == 13
+
+
+def test_lines_that_grow_with_orders_are_written_in_several_files_in_order(spark):
+    import glob
+
+    import lociflow.plans.queries  # noqa: F401  (first: it registers the others)
+    from lociflow.plans import io_queries as IO
+    from lociflow.plans.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    text = lambda path: [open(x).read().splitlines() for x in sorted(glob.glob(path.removeprefix("file://") + "/part-*"))]
+    keys = [r["k"] for r in v.adj.select("k").orderBy("k").collect()]
+    parts = text(IO._texts(v, ["# a", "# b"], v.adj, "'x' || k", "'y' || k", files=IO.files_for_lines(v)))
+    assert sum(parts, []) == ["# a", "# b"] + [f"{x}{k}" for k in keys for x in "xy"]
+    assert len(parts) >= 4 and max(map(len, parts)) < len(keys)
+    parts = text(IO._texts(v, ["a\tb.c"], v.adj, "k || '\\t' || k", files=4, named=True))
+    assert all(p[0] == "a\tb.c" for p in parts) and [x for p in parts for x in p[1:]] == [f"{k}\t{k}" for k in keys]
+
+
+def test_places_run_on_from_file_to_file_however_large_each_is(spark, tmp_path):
+    from lociflow.sources import tabular as TB
+
+    sizes, n = [1, 40, 3, 900, 2], 0
+    for f, size in enumerate(sizes):
+        rows = [f"1\t{n + k}\t2\t5\t+-" for k in range(size)]
+        (tmp_path / f"part-{f}").write_text("\n".join(["Chr1\tBreak1\tChr2\tBreak2\tOrientation", *rows]) + "\n")
+        n += size
+    found = TB.naibr(spark, str(tmp_path)).select("aid", "coord1").collect()
+    assert len(found) == n and all(int(r["aid"]) == r["coord1"] for r in found)
