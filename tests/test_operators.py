@@ -1,5 +1,7 @@
 """Hand-computed cases, one or more for each family of operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +284,18 @@ def test_reports(spark):
     assert R.translocation_fraction(adj).first()[0] == 0.5
     s, c = segs(spark, (1, 15)), cns(spark, [("1:1-15", "c", 2, 0)])
     assert rows(R.altered_fractions(s, c, 10), "win", "ampl", "del") == [(0, 1.0, 1.0), (1, 0.5, 0.5)]
+
+
+def test_near_pairs_come_once_and_do_not_move_again(spark):
+    rng = random.Random(4)
+    rows = [(f"a{i}", k, rng.choice("12"), rng.randrange(-30, 60), rng.choice("+-")) for i in range(150) for k in (0, 1)]
+    ends = spark.createDataFrame(rows, "aid string, side int, chr string, coord long, strand string")
+    by = {}
+    for aid, _, chr_, x, strand in rows:
+        by.setdefault(aid, []).append((chr_, strand, x))
+    for reach, strict in ((0, False), (7, False), (7, True), (40, False)):
+        near = lambda p, q: p[:2] == q[:2] and (abs(p[2] - q[2]) < reach if strict else abs(p[2] - q[2]) <= reach)
+        brute = [(a, b) for a in by for b in by if a < b and (near(by[a][0], by[b][0]) and near(by[a][1], by[b][1]) or near(by[a][0], by[b][1]) and near(by[a][1], by[b][0]))]
+        found = A.near_pairs(ends, reach, strict)
+        assert sorted(map(tuple, found.collect())) == sorted(brute)
+        assert found._jdf.queryExecution().optimizedPlan().toString().split("\n")[1].startswith("+- Join")  # nothing is moved once pairs are found
