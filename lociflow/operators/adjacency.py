@@ -9,6 +9,10 @@ from lociflow.functions.model import adjacency_id, c, position_key, reciprocal_c
 from lociflow.operators.scan import running, runs
 
 
+#: Positions that one task scans at a time where clusters are parted.
+SPLIT_BIN = 1 << 12
+
+
 def canonical(rows: DataFrame) -> DataFrame:
     """Ends in model order; everything else as it is."""
     key = lambda k: position_key(f"chr{k}", f"coord{k}", f"strand{k}")
@@ -98,13 +102,11 @@ def clusters(ends: DataFrame, window: int = 300) -> DataFrame:
 def split_clusters(clustered: DataFrame) -> DataFrame:
     """Clusters parted so that each has at most one breakend of a strand; adds ``sub``, numbers within a cluster.
 
-    A run ends where a strand repeats; within a run neighbours pair up.
+    A run ends where a strand repeats; within a run neighbours pair up. On dense data a cluster is a whole chromosome, so it is scanned in two levels, in bins of 4,096 positions.
     """
-    w = Window.partitionBy("chr", "cluster").orderBy("coord", strand_ord("strand"), "aid", "side")
-    rows = clustered.withColumn("__b", F.when(F.col("strand") == F.lag("strand").over(w), 1).otherwise(0)).withColumn("__run", F.sum("__b").over(w))
-    v = Window.partitionBy("chr", "cluster", "__run").orderBy("coord", strand_ord("strand"), "aid", "side")
-    rows = rows.withColumn("__odd", F.row_number().over(v) % 2)
-    return rows.withColumn("sub", F.sum("__odd").over(w)).drop("__b", "__run", "__odd")
+    by, order = ["chr", "cluster"], ["coord", strand_ord("strand"), "aid", "side"]
+    rows = runs(clustered, by, "coord", order, F.struct("strand"), lambda p, s: p["strand"] == s["strand"], SPLIT_BIN)
+    return running(rows, by, "coord", order, {"sub": 1 - F.col("place") % 2}, SPLIT_BIN).drop("run", "place")
 
 
 def snapped(split: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-computed cases, one or more for each family of operators."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -299,3 +300,21 @@ def test_near_pairs_come_once_and_do_not_move_again(spark):
         found = A.near_pairs(ends, reach, strict)
         assert sorted(map(tuple, found.collect())) == sorted(brute)
         assert found._jdf.queryExecution().optimizedPlan().toString().split("\n")[1].startswith("+- Join")  # nothing is moved once pairs are found
+
+
+def test_clusters_are_parted_bin_by_bin(spark):
+    rng = random.Random(7)
+    ends = [(f"a{i}", k, "1", rng.randrange(20_000), rng.choice("+-")) for i in range(400) for k in (0, 1)]
+    found = A.split_clusters(A.clusters(spark.createDataFrame(ends, "aid string, side int, chr string, coord long, strand string"), 300))
+    brute, last, sub, alone = [], {}, 0, False
+    for aid, side, _, x, strand in sorted(ends, key=lambda e: (e[3], e[4] == "+", e[0], e[1])):
+        if not last or x - last["x"] > 300:
+            sub, alone = 1, True
+        elif strand == last["strand"] or not alone:
+            sub, alone = sub + 1, True
+        else:
+            alone = False
+        last = {"x": x, "strand": strand}
+        brute.append((aid, side, sub))
+    assert sorted((r["aid"], r["side"], r["sub"]) for r in found.collect()) == sorted(brute)
+    assert not re.search(r"\[chr#\d+L?, cluster#\d+L?\], \[coord", found._jdf.queryExecution().optimizedPlan().toString())  # no window of all a cluster's rows
