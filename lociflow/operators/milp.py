@@ -22,6 +22,8 @@ from lociflow.shared import cut
 
 #: Kept from the model of the inference: at most this many copies of an adjacency where bounds don't say.
 TOP = 20
+#: Names of variables that are sent to all tasks; more meet by a shuffle.
+SENT = 200_000
 
 
 @dataclass
@@ -312,7 +314,7 @@ def infeasible_rows(m: Model, rounds: int = 200, slack: float = 1e-6) -> DataFra
     """``row``: rows that bound propagation shows to have no common solution; none if it finds no conflict.
 
     Each round gives every row its least and greatest value within the variables' bounds, and every variable the bounds that its rows leave
-    it, rounded for whole numbers; a conflict is a row out of reach or a variable with crossed bounds. The rows named are those
+    it, rounded for whole numbers; a conflict is a row out of reach or a variable of some row with crossed bounds. The rows named are those
     of the conflicts and those whose bounds led there, found backwards through the rounds. Without a conflict in ``rounds`` rounds none is named.
     """
     inf = float("inf")
@@ -320,7 +322,10 @@ def infeasible_rows(m: Model, rounds: int = 200, slack: float = 1e-6) -> DataFra
     # Every row as sum(w x) <= r, equations twice.
     terms = cut(m.entries.groupBy("row", "name").agg(F.sum("coef").alias("coef")).where("coef <> 0").join(signs, "row").select("row", "s", "name", (F.col("s") * F.col("coef")).alias("w"), (F.col("s") * F.col("rhs")).alias("r")), "terms")
     bare = signs.join(m.entries.select("row").distinct(), "row", "left_anti").where(F.col("s") * F.col("rhs") < -slack).select("row").distinct()
-    kinds = m.variables.groupBy("name").agg((F.max("kind") != "C").alias("whole"), F.coalesce(F.max("lb"), F.lit(-inf)).alias("lo"), F.coalesce(F.min("ub"), F.lit(inf)).alias("hi"))
+    # Bounds are followed only for variables that some row has: those of adjacencies may be far more, and no row rests on them.
+    named = cut(terms.select("name").distinct(), "names")
+    named = F.broadcast(named) if named.count() <= SENT else named
+    kinds = m.variables.join(named, "name", "left_semi").groupBy("name").agg((F.max("kind") != "C").alias("whole"), F.coalesce(F.max("lb"), F.lit(-inf)).alias("lo"), F.coalesce(F.min("ub"), F.lit(inf)).alias("hi"))
     state, logs = cut(kinds, "bounds"), []
     for _ in range(rounds):
         used = F.when(F.col("w") > 0, F.col("lo")).otherwise(F.col("hi"))

@@ -68,6 +68,12 @@ def test_rows_at_fault_are_found_through_the_bounds_they_set(spark):
     assert found(chain[:2], [("x", "I", 0.0, 3.0), *free[1:]]) == ["a"]
 
 
+def test_a_variable_that_no_row_has_hides_no_conflict(spark):
+    half = [("p", ">=", 1, {"x": 2}), ("q", "<=", 1, {"x": 2})]
+    variables = [("x", "I", 0.0, None), ("u", "I", 3.0, 1.0)]
+    assert sorted(r["row"] for r in milp.infeasible_rows(small_model(spark, variables, half)).collect()) == ["p", "q"]
+
+
 def test_chromosomes_are_solved_apart_and_started_from_together(spark):
     i = tiny(spark, cn=((1, 1), (1, 1)), high=1)
     m = milp.presolved(i)
