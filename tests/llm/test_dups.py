@@ -270,6 +270,27 @@ def test_near_duplicates_of_a_family_just_under_the_similarity(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted({root(i) for i in sets})
 
 
+def test_near_duplicates_shuffle_few_texts(spark):
+    """Texts that nothing is near to aren't shuffled, also where no table is small enough to be broadcast unasked."""
+    draw = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in draw.integers(0, 10**6, 2000))) for i in range(300)]
+    rows.append((300, rows[0][1] + " more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    store, before = spark._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def sent():
+        executors = store.executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = sent()
+        assert sorted(r["doc_id"] for r in near_duplicates(docs).select("doc_id").collect()) == list(range(300))
+        assert sent() - start < sum(len(t) for _, t in rows) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_majorities():
     from lociflow.llm import near_dup
 
