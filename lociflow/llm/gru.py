@@ -56,14 +56,19 @@ class Shape:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
+    """In place."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and their sums over each row. The logits are weights of a clipped size times states within 1, so no
-    maximum needs to be taken out first."""
-    e = np.exp(x)
-    return e, e.sum(1)
+    """Exponentials, in place, and their sums over each column. The logits are weights of a clipped size times states within 1,
+    so no maximum needs to be taken out first."""
+    e = np.exp(x, out=x)
+    return e, e.sum(0)
 
 
 class Lanes:
@@ -101,57 +106,76 @@ class Model:
     def __init__(self, shape: Shape, flat: np.ndarray):
         self.shape, self.flat, self.p = shape, flat, shape.views(flat)
 
+    def _parts(self) -> list[np.ndarray]:
+        """The weights by the state of each gate, in one piece each: numpy is slow on slices of short rows."""
+        n = self.shape.h
+        return [np.ascontiguousarray(self.p["turn"][:, k * n : (k + 1) * n]) for k in range(3)]
+
     def _read(self, words: np.ndarray, h: np.ndarray, keep: bool):
         """States before each step, the state after the last, and what learning needs."""
         p, n = self.p, self.shape.h
         steps, lanes = words.shape
         states = np.empty((steps, lanes, n), np.float32)
         kept = []
-        gates = p["gates"][words] + p["bias"]
+        table = p["gates"] + p["bias"]
+        tables, turns = [np.ascontiguousarray(table[:, k * n : (k + 1) * n]) for k in range(3)], self._parts()
         for t in range(steps):
             states[t] = h
-            turn = h @ p["turn"]
-            rz = _sigmoid(gates[t, :, : 2 * n] + turn[:, : 2 * n])
-            r, z = rz[:, :n], rz[:, n:]
-            new = np.tanh(gates[t, :, 2 * n :] + r * turn[:, 2 * n :])
-            go_on = (words[t] != END)[:, None]  # a document's end clears the state
+            r, z, new = (x.take(words[t], axis=0) for x in tables)
+            r += h @ turns[0]
+            z += h @ turns[1]
+            turn = h @ turns[2]
+            _sigmoid(r)
+            _sigmoid(z)
+            new += r * turn
+            np.tanh(new, out=new)
+            ended = np.flatnonzero(words[t] == END)  # a document's end clears the state
             if keep:
-                kept.append((h, rz, new, turn[:, 2 * n :], go_on))
-            h = (new + z * (h - new)) * go_on
+                kept.append((r, z, new, turn, ended))
+            h = states[t] - new
+            h *= z
+            h += new
+            h[ended] = 0
         return states, h, kept
 
     def _score(self, states: np.ndarray, words: np.ndarray, learn: dict | None):
         """Natural-log probability of each word from its state; with ``learn``, also the gradient of minus their sum
-        by the states, the other gradients being added to ``learn``."""
+        by the states, the other gradients being added to ``learn``. Logits have a column for each word."""
         p, m = self.p, self.shape.m
-        of = np.where(words < 2, words, 2 + (words - 2) // m)
-        d, whole = _softmax(states @ p["class_w"] + p["class_b"])
-        rows = np.arange(len(words))
-        out = np.log(d[rows, of] / whole)
+        of = np.where(words < 2, words, 2 + (words - 2) // m).astype(np.uint16)
+        d, whole = _softmax(p["class_w"].T @ states.T + p["class_b"][:, None])
+        at = np.arange(len(words))
+        out = np.log(d[of, at] / whole)
         back = None
         if learn is not None:
-            d *= (1 / whole)[:, None]
-            d[rows, of] -= 1
-            learn["class_w"] += states.T @ d
-            learn["class_b"] += d.sum(0)
-            back = d @ p["class_w"].T
+            d /= whole
+            d[of, at] -= 1
+            learn["class_w"] += (d @ states).T
+            learn["class_b"] += d.sum(1)
+            back = d.T @ p["class_w"].T
         order = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[order], np.arange(2, self.shape.classes + 1))
+        order = order[bounds[0] :]
+        own_states, which = states[order], (words[order] - 2) % m
+        more, own_back = np.empty(len(order), np.float32), np.empty_like(own_states) if learn is not None else None
+        bounds = bounds - bounds[0]
         for g in range(self.shape.groups):
-            rows = order[bounds[g] : bounds[g + 1]]
-            if not len(rows):
+            b, e = bounds[g], bounds[g + 1]
+            if b == e:
                 continue
-            own = states[rows]
-            d, whole = _softmax(own @ p["word_w"][g] + p["word_b"][g])
-            which = (words[rows] - 2) % m
-            k = np.arange(len(rows))
-            out[rows] += np.log(d[k, which] / whole)
+            own = own_states[b:e]
+            d, whole = _softmax(p["word_w"][g].T @ own.T + p["word_b"][g][:, None])
+            k = np.arange(e - b)
+            more[b:e] = np.log(d[which[b:e], k] / whole)
             if learn is not None:
-                d *= (1 / whole)[:, None]
-                d[k, which] -= 1
-                learn["word_w"][g] += own.T @ d
-                learn["word_b"][g] += d.sum(0)
-                back[rows] += d @ p["word_w"][g].T
+                d /= whole
+                d[which[b:e], k] -= 1
+                learn["word_w"][g] += (d @ own).T
+                learn["word_b"][g] += d.sum(1)
+                own_back[b:e] = d.T @ p["word_w"][g].T
+        out[order] += more
+        if learn is not None:
+            back[order] += own_back
         return out, back
 
     def score(self, docs: list[np.ndarray], lanes: int = 1024, window: int = 32) -> np.ndarray:
@@ -174,24 +198,36 @@ class Model:
         logs, back = self._score(states[mask], words[mask], g)
         d_states = np.zeros_like(states)
         d_states[mask] = back
-        d_gates = np.empty((*words.shape, 3 * n), np.float32)
+        d_gates = np.empty((3, *words.shape, n), np.float32)
+        turned = np.empty((*words.shape, n), np.float32)  # the third gate's, by what its state gave
+        turns = [np.ascontiguousarray(x.T) for x in self._parts()]
         d_h = np.zeros_like(h)
         for t in reversed(range(len(words))):
-            before, rz, new, turn, go_on = kept[t]
-            r, z = rz[:, :n], rz[:, n:]
-            d = d_h * go_on
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (before - new) * z * (1 - z)
-            d_r = d_new * turn * r * (1 - r)
-            d_gates[t, :, :n], d_gates[t, :, n : 2 * n], d_gates[t, :, 2 * n :] = d_r, d_z, d_new
-            d_turn = np.concatenate([d_r, d_z, d_new * r], 1)
-            g["turn"] += before.T @ d_turn
-            d_h = d * z + d_turn @ p["turn"].T + d_states[t]
-        every = d_gates.reshape(-1, 3 * n)
+            r, z, new, turn, ended = kept[t]
+            d_h[ended] = 0
+            d_r, d_z, d_new = d_gates[:, t]
+            rest = 1 - z
+            np.multiply(d_h, rest, out=d_new)
+            d_new *= 1 - new * new
+            np.multiply(d_h, states[t] - new, out=d_z)
+            d_z *= z
+            d_z *= rest
+            np.multiply(d_new, turn, out=d_r)
+            d_r *= r
+            d_r *= 1 - r
+            np.multiply(d_new, r, out=turned[t])
+            d_h *= z
+            d_h += d_r @ turns[0]
+            d_h += d_z @ turns[1]
+            d_h += turned[t] @ turns[2]
+            d_h += d_states[t]
+        before = states.reshape(-1, n).T
+        g["turn"] += np.concatenate([before @ x.reshape(-1, n) for x in (d_gates[0], d_gates[1], turned)], 1)
+        every = np.concatenate([x.reshape(-1, n) for x in d_gates], 1)
         g["bias"] += every.sum(0)
         # Rows of the table of gates are summed up word by word.
         w = words.ravel()
-        order = np.argsort(w, kind="stable")
+        order = np.argsort(w.astype(np.uint16), kind="stable")
         names, first = np.unique(w[order], return_index=True)
         g["gates"][names] += np.add.reduceat(every[order], first, axis=0)
         flat /= max(1, int(mask.sum()))

@@ -15,16 +15,16 @@ A word outside the vocabulary has the model's probability for any such word, tim
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.gru import END, OTHER, Learner, Model, Shape
 from lociflow.llm.packing import pack, unpack
-from lociflow.llm.text import ascii_words, remainder
+from lociflow.llm.text import remainder
 from lociflow.shared import cut, ensure_importable
 
 #: Words of a chunk; a longer document is a chunk of its own.
@@ -55,43 +55,50 @@ def chunks(rows: DataFrame) -> DataFrame:
     names = ["chunk", "docs", "lid", "word", "c"]
     types = [pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
 
-    def told(number: int, words: dict, docs: list):
+    def told(number: int, waiting: list[tuple]):
         name = f"{TaskContext.get().partitionId()}-{number}"
-        counts = np.zeros(len(words), np.int64)
-        for _, _, learn, ids in docs:
-            if learn:
-                counts += np.bincount(ids, minlength=len(words))
-        begin, held = 0, 0
-        for e in range(len(docs)):
-            held += len(docs[e][3])
-            if held < PACKED and e + 1 < len(docs):
-                continue
-            own = docs[begin : e + 1]
-            ids = np.array([0 if x[0] is None else x[0] for x in own], "<i8")
-            packed = pack(ids, np.array([x[0] is None for x in own]), np.array([x[1] for x in own], np.uint8), np.array([x[2] for x in own]), np.array([len(x[3]) for x in own], "<i8"), np.concatenate([x[3] for x in own]).astype("<u4"))
+        doc_ids, null, learn, sizes = (np.concatenate([x[k] for x in waiting]) for k in range(4))
+        coded = pa.concat_arrays([x[4] for x in waiting]).dictionary_encode()
+        listed = pa.concat_arrays([coded.dictionary, pa.array([END_WORD], pa.binary())])
+        ids = np.insert(coded.indices.to_numpy(), np.cumsum(sizes), len(listed) - 1).astype("<u4")
+        sizes = sizes + 1
+        counts = np.bincount(ids[np.repeat(learn, sizes)], minlength=len(listed))
+        parts = np.array([part_of(None if no else x) for x, no in zip(doc_ids.tolist(), null.tolist())], np.uint8)
+        upto, begin = np.append(0, np.cumsum(sizes)), 0
+        while begin < len(sizes):
+            end = min(len(sizes), int(np.searchsorted(upto, upto[begin] + PACKED)))
+            own = slice(begin, end)
+            packed = pack(doc_ids[own].astype("<i8"), null[own], parts[own], learn[own], sizes[own].astype("<i8"), ids[upto[begin] : upto[end]])
             yield pa.record_batch([pa.array([name]), pa.array([packed]), *(pa.nulls(1, t) for t in types[2:])], names)
-            begin, held = e + 1, 0
-        listed = list(words)
+            begin = end
         for b in range(0, len(listed), 1 << 16):
             part = listed[b : b + (1 << 16)]
             n = len(part)
-            yield pa.record_batch([pa.array([name] * n), pa.nulls(n, pa.binary()), pa.array(np.arange(b, b + n), pa.int32()), pa.array(part, pa.binary()), pa.array(counts[b : b + n])], names)
+            yield pa.record_batch([pa.array([name] * n), pa.nulls(n, pa.binary()), pa.array(np.arange(b, b + n), pa.int32()), part, pa.array(counts[b : b + n])], names)
 
     def run(batches):
-        number, held, words, docs = 0, 0, defaultdict(), []
-        words.default_factory = words.__len__
+        number, held, waiting = 0, 0, []
         for batch in batches:
-            for doc_id, learn, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                own = ascii_words(text)
-                own.append(END_WORD)
-                docs.append((doc_id, part_of(doc_id), learn, np.fromiter(map(words.__getitem__, own), np.int64, len(own)).astype(np.uint32)))
-                held += len(own)
+            doc_ids, learn, texts = (batch.column(k) for k in range(3))
+            null, doc_ids = pc.is_null(doc_ids).to_numpy(zero_copy_only=False), pc.fill_null(doc_ids, 0).to_numpy()
+            learn = learn.to_numpy(zero_copy_only=False).astype(bool)
+            # As text.ascii_words, but that empty words come before and after white space at a text's ends.
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+            words = pc.cast(lists.values, pa.binary())
+            some = pc.greater(pc.binary_length(words), 0)
+            upto = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))[np.asarray(lists.offsets)]
+            words, sizes, begin = words.filter(some), np.diff(upto), 0
+            total = np.append(0, np.cumsum(sizes + 1))
+            while begin < len(sizes):
+                end = min(len(sizes), int(np.searchsorted(total, total[begin] + CHUNK - held)))
+                waiting.append((doc_ids[begin:end], null[begin:end], learn[begin:end], sizes[begin:end], words[upto[begin] : upto[end]]))
+                held += int(total[end] - total[begin])
                 if held >= CHUNK:
-                    yield from told(number, words, docs)
-                    number, held, words, docs = number + 1, 0, defaultdict(), []
-                    words.default_factory = words.__len__
-        if docs:
-            yield from told(number, words, docs)
+                    yield from told(number, waiting)
+                    number, held, waiting = number + 1, 0, []
+                begin = end
+        if waiting:
+            yield from told(number, waiting)
 
     return rows.mapInArrow(run, _CHUNK_SCHEMA)
 

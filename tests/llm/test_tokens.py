@@ -112,6 +112,26 @@ def test_learning_lowers_the_loss():
     assert model.score(docs).sum() > 0.6 * before
 
 
+def test_words_of_a_chunk_are_counted_at_once(monkeypatch):
+    """Once for all documents, not once for each over the chunk's whole list of words."""
+    import pyarrow as pa
+
+    from lociflow.llm import lm_scoring
+
+    calls, counted = [], np.bincount
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return list(run([pa.record_batch([pa.array([1, 2, 3]), pa.array([True, False, True]), pa.array(["a b a", "b c", "A d"])], ["doc_id", "learn", "text"])]))
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(lm_scoring.np, "bincount", lambda *x, **y: calls.append(1) or counted(*x, **y))
+    out = lm_scoring.chunks(Rows())
+    words = {w: c for b in out if b.column("word").null_count == 0 for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist())}
+    assert words == {b"a": 3, b"b": 1, b"": 2, b"c": 0, b"d": 1}
+    assert len(calls) == 1
+
+
 def test_scores(spark, some, odd, empty):
     import math
     from collections import Counter
