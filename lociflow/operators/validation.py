@@ -9,6 +9,7 @@ from lociflow.functions.model import position_id, segment_length
 from lociflow.operators.graph import phased_ends
 from lociflow.operators.groups import general_violations, labeling_violations, molecule_violations
 from lociflow.operators.intervals import reference_telomeres
+from lociflow.shared import cut
 
 ENDS = ("chr1", "coord1", "strand1", "chr2", "coord2", "strand2")
 
@@ -30,7 +31,8 @@ def karyotype_report(segments: DataFrame, adjacencies: DataFrame, scnt: DataFram
     none = F.lit(None).cast("string")
     row = lambda rows, what, value: rows.select(F.lit(what).alias("what"), *(F.col(x).alias(x) if x in rows.columns else none.alias(x) for x in ("clone", "name")), value.cast("double").alias("value"))
     count = lambda rows, what, *by: row(rows.groupBy(*by).agg(F.count("*").alias("n")), what, F.col("n"))
-    found = excess(segments, adjacencies, scnt, acnt)
+    adjacencies = cut(adjacencies.select("aid", *ENDS, "at"), "adjacencies")  # made by joins and read twice
+    found = cut(excess(segments, adjacencies, scnt, acnt), "excess")  # a few rows a segment, from all adjacencies; read three times
     node: Column = F.concat("chr", F.lit(":"), "hap", F.lit(":"), "strand", F.col("coord").cast("string")).alias("name")
     own = scnt.join(segments, "sid").groupBy("clone").agg(F.sum(F.col("cn") * segment_length()).alias("x"))
     inferred = found.where("excess > 0").select("clone", "chr", "coord", "strand").distinct().join(telomeres.select("chr", "coord", "strand").distinct(), ["chr", "coord", "strand"], "left_anti")
@@ -44,6 +46,7 @@ def karyotype_report(segments: DataFrame, adjacencies: DataFrame, scnt: DataFram
         row(inferred.select("clone", position_id("chr", "coord", "strand").alias("name")), "unexpected_telomere", F.lit(1)),
     ]
     if groups is not None:
+        groups = cut(groups, "groups")  # of each kind read twice
         for what, broken in (("molecule_group", molecule_violations), ("labeling_group", labeling_violations), ("general_group", general_violations)):
             parts.append(row(broken(groups, acnt).select(F.col("gid").alias("name")), what, F.lit(1)))
     out = parts[0]

@@ -318,3 +318,13 @@ def test_clusters_are_parted_bin_by_bin(spark):
         brute.append((aid, side, sub))
     assert sorted((r["aid"], r["side"], r["sub"]) for r in found.collect()) == sorted(brute)
     assert not re.search(r"\[chr#\d+L?, cluster#\d+L?\], \[coord", found._jdf.queryExecution().optimizedPlan().toString())  # no window of all a cluster's rows
+
+
+def test_karyotype_report_makes_its_tables_once(spark):
+    """Groups and adjacencies are written before its parts read them, so no part numbers members or places ends anew."""
+    from lociflow.plans.queries import QUERIES
+
+    out = QUERIES["q_karyotype_report"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "lineitem" not in plan and "l_partkey" not in plan
+    assert out.where("what = 'adjacencies'").count() > 0
