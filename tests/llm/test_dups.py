@@ -303,3 +303,20 @@ def test_majorities():
             assert got[:, 0].tolist() == want and len(set(got[3].tolist())) == 3
     finally:
         near_dup._AT_ONCE = step
+
+
+def test_sampled_keys_are_a_short_expression(spark):
+    """The driver keeps every query's plan; keys bit by bit made one of megabytes."""
+    from pyspark.sql import functions as F
+
+    from lociflow.llm.near_dup import SAMPLED, sampled_keys
+
+    draw = np.random.default_rng(3)
+    a = draw.integers(0, 1 << 63, 500).astype(np.uint64)
+    b = a ^ np.array([sum(1 << int(k) for k in draw.choice(64, SAMPLED, replace=False)) for _ in a], np.uint64)
+    prints = spark.createDataFrame([tuple(x) for x in np.stack([a, b], 1).view(np.int64).tolist()], "a long, b long")
+    keys = lambda c: sampled_keys(F.col(c), 250_000, SAMPLED)
+    both = prints.select(F.size(F.array_intersect(keys("a"), keys("b"))).alias("n"), F.size(keys("a")).alias("all"))
+    assert len(both._jdf.queryExecution().toString()) < 100_000
+    rows = both.collect()
+    assert sum(r["n"] > 0 for r in rows) >= 480 and sum(r["n"] for r in rows) < 0.2 * sum(r["all"] for r in rows)
