@@ -8,7 +8,7 @@ import xxhash
 
 from lociflow.llm import suffix_array as S
 from lociflow.llm.bktree import Forest, spanning_links
-from lociflow.llm.fuzzy_lines import dedup_lines, edit_distance, normal
+from lociflow.llm.fuzzy_lines import dedup_lines, edit_distance, normal, removed_lines
 from lociflow.llm.near_dup import near_duplicates, simhash, simhash_components
 from lociflow.llm.suffix_dedup import remove_repeats
 
@@ -291,6 +291,42 @@ def test_near_duplicates_shuffle_few_texts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_normal_lines():
+    import re
+
+    from lociflow.llm.fuzzy_lines import normal_lines
+
+    other = re.compile(r"(?:[^\w\n]|_)+")
+    draw = np.random.default_rng(2)
+    odd = ["\n", " ", "_", "a", "Z", "é", "İ", "Σ", "\ud800", "𝔸", "😀", "½", "中", "\r", "\x1c", "٣", "9", ".", "\u0301", "\0"]
+    for n in range(2000):
+        text = "".join(odd[k] for k in draw.integers(0, len(odd), n % 25))
+        assert normal_lines(text) == [x.strip(" ") for x in other.sub(" ", text.lower()).split("\n")]
+
+
+def test_fuzzy_lines_move_a_text_once(spark, monkeypatch):
+    """Before candidates are looked for, a text is moved with its group, and not once more to be joined to it."""
+    from lociflow.llm import fuzzy_lines
+
+    monkeypatch.setattr(fuzzy_lines, "similar_links", lambda lines, least: spark.createDataFrame([], "a long, b long"))
+    draw = np.random.default_rng(7)
+    rows = [(i, draw.integers(97, 123, 4000).astype(np.uint8).tobytes().decode()) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    store, before = spark._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def sent():
+        executors = store.executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = sent()
+        assert removed_lines(docs, radius=None).count() == 0
+        assert sent() - start < 1.6 * sum(len(t) for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_majorities():
     from lociflow.llm import near_dup
 
