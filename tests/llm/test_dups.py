@@ -342,7 +342,7 @@ def test_majorities():
 
 
 def test_sampled_keys_are_a_short_expression(spark):
-    """The driver keeps every query's plan; keys bit by bit made one of megabytes."""
+    """The driver keeps every query's plan; keys bit by bit made one of half a megabyte."""
     from pyspark.sql import functions as F
 
     from lociflow.llm.near_dup import SAMPLED, sampled_keys
