@@ -356,3 +356,42 @@ def test_sampled_keys_are_a_short_expression(spark):
     assert len(both._jdf.queryExecution().toString()) < 100_000
     rows = both.collect()
     assert sum(r["n"] > 0 for r in rows) >= 480 and sum(r["n"] for r in rows) < 0.2 * sum(r["all"] for r in rows)
+
+
+def test_many_pairs_of_lines_are_compared_at_once(monkeypatch):
+    """Equal to one comparison after another, which only few pairs of a kind have."""
+    from lociflow.llm import fuzzy_lines as L
+
+    draw, lines = np.random.default_rng(3), []
+    letters = list("abcdefgh éü漢𝔸 ")
+    for n in (1, 2, 5, 20, 63, 64, 65, 128, 129, 300) * 60:
+        own = [letters[k] for k in draw.integers(0, len(letters), n)]
+        lines.append("".join(own))
+        for _ in range(int(draw.integers(0, 1 + n // 3))):
+            k = int(draw.integers(0, max(1, len(own))))
+            own[k : k + int(draw.integers(0, 2))] = letters[int(draw.integers(0, len(letters)))] * int(draw.integers(0, 2))
+        lines.append("".join(own))
+    x, y = np.arange(0, len(lines), 2), np.arange(1, len(lines), 2)
+    x, y = np.concatenate([x, draw.permutation(x), draw.permutation(y)]), np.concatenate([y, x, y])
+    expected, one = [L.similar(lines[i], lines[j], 0.8) for i, j in zip(x.tolist(), y.tolist())], L.edit_distance
+    calls = []
+    monkeypatch.setattr(L, "edit_distance", lambda *a: calls.append(a) or one(*a))
+    assert L.Lines(lines).similar(x, y, 0.8).tolist() == expected and 0.1 < np.mean(expected) < 0.9
+    assert len(calls) < len(x) / 4
+    # Sets are those that all pairs connect.
+    group, own = draw.integers(0, 40, 2000), draw.integers(0, len(lines), 2000)
+    label = L._join_similar(lines, np.zeros(len(lines), np.uint64), group, own, 0.8)
+    comp = list(range(len(lines)))
+
+    def root(k):
+        while comp[k] != k:
+            k = comp[k]
+        return k
+
+    for g in range(40):
+        some = sorted(set(own[group == g].tolist()))
+        for i in some:
+            for j in some:
+                if i < j and L.similar(lines[i], lines[j], 0.8):
+                    comp[root(i)] = root(j)
+    assert len({(root(k), int(label[k])) for k in range(len(lines))}) == len(set(label.tolist())) == len({root(k) for k in range(len(lines))})
