@@ -786,10 +786,9 @@ def _(v):
     SELECT n.read, n.read || '_' || n.chr || '_' || lo // 2 || '_' || ro // 2 AS gid, string_agg(e.aid || ':' || e.side, ',' ORDER BY e.o, e.aid, e.side) AS ends FROM n JOIN e ON e.read = n.read AND e.chr = n.chr AND e.o IN (lo, ro) GROUP BY ALL""",
 )
 def _(v):
-    chrs = v.breakend.select("chr").distinct()  # chromosomes
-    aligned = v.support.groupBy("read").agg(F.collect_set("aid").alias("aids")).crossJoin(F.broadcast(chrs)).select("read", F.col("chr").alias("aln"), "chr", F.lit(1).cast("long").alias("start"), F.lit(1_000_000).cast("long").alias("end"), "aids")
+    aligned, support = step_queries._aligned(v)
     ends = F.zip_with("aids", "agl", lambda a, s: F.concat(a, F.lit(":"), s.cast("string")))
-    return GR.alignment_labelings(v.breakend, aligned).select("read", "gid", F.array_join(ends, ",").alias("ends"))
+    return GR.alignment_labelings(v.breakend, aligned, support=support).select("read", "gid", F.array_join(ends, ",").alias("ends"))
 
 
 # --- set operations
