@@ -121,29 +121,45 @@ def bound_rows(i: Inputs):
 
 
 def _incident_top(i: Inputs) -> DataFrame:
-    """``(aid, clone, phasing, top)``: the least upper bound of the segments at either end."""
+    """``(aid, at, clone, phasing, top)``: the least upper bound of the segments at either end.
+
+    Bounds at an end are one row, so an adjacency meets each of its ends once and not for every clone and phasing.
+    """
     b = i.segments.join(i.bounds, "sid")
     ends = b.select("clone", "hap", "u", F.explode(F.array(F.struct(F.col("chr"), F.col("start").alias("coord"), F.lit("-").alias("strand")), F.struct(F.col("chr"), F.col("end").alias("coord"), F.lit("+").alias("strand")))).alias("e")).select("clone", "hap", "u", "e.*")
-    a = _phased(i, "chr1", "coord1", "strand1", "chr2", "coord2", "strand2")
+    ends = ends.groupBy("chr", "coord", "strand").agg(F.collect_list(F.struct("clone", "hap", "u")).alias("b"))
+    a = i.adjacencies.select("aid", "at", "chr1", "coord1", "strand1", "chr2", "coord2", "strand2")
     for k in (1, 2):
-        e = ends.select("clone", F.col("hap").alias(f"h{k}"), F.col("u").alias(f"u{k}"), F.col("chr").alias(f"chr{k}"), F.col("coord").alias(f"coord{k}"), F.col("strand").alias(f"strand{k}"))
-        a = a.withColumn(f"h{k}", F.substring("phasing", k, 1)).join(e, ["clone", f"h{k}", f"chr{k}", f"coord{k}", f"strand{k}"], "left")
+        a = a.join(ends.select(*(F.col(x).alias(f"{x}{k}") for x in ("chr", "coord", "strand", "b"))), [f"{x}{k}" for x in ("chr", "coord", "strand")], "left")
+    a = a.select("aid", "at", "b1", "b2", _phasings(i).alias("phasing")).crossJoin(_clones(i))
+    # Each of an end's bounds for the clone and haplotype, or none: as many rows as a join gives.
+    of = lambda k: F.filter(f"b{k}", lambda x: (x["clone"] == F.col("clone")) & (x["hap"] == F.substring("phasing", k, 1)))
+    for k in (1, 2):
+        a = a.withColumn(f"u{k}", F.explode_outer(F.transform(of(k), lambda x: x["u"])))
     return a.select("aid", "at", "clone", "phasing", F.coalesce(F.least("u1", "u2"), F.lit(TOP)).alias("top"))
 
 
-def product_rows(i: Inputs):
-    """acn = copies * present, made linear by the largest number of copies."""
+def product_lists(i: Inputs) -> DataFrame:
+    """``(clone, aid, phasing, rows)``: the four rows of ``product_rows`` (row, sense, rhs, terms) of each clone, adjacency and phasing together, not moved once made."""
     a = _incident_top(i)
     acn, present = name("acn", "clone", "aid", "phasing"), name("present", "clone", "aid", "phasing")
     whole = F.when(F.col("at") == "R", name("rcn", "clone", "aid", "phasing")).otherwise(name("ncn", "clone", "aid"))
     top = F.col("top")
-    row = lambda k: name(f"big{k}", "clone", "aid", "phasing")
-    return [
-        _rows(a, row(1), "<=", 0, (acn, 1), (present, -top), alone=True),
-        _rows(a, row(2), "<=", 0, (acn, 1), (whole, -1), alone=True),
-        _rows(a, row(3), ">=", -top, (acn, 1), (whole, -1), (present, -top), alone=True),
-        _rows(a, row(4), ">=", 0, (acn, 1), alone=True),
-    ]
+    number = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
+    term = lambda n, k: F.struct(n.alias("name"), number(k).alias("coef"))
+
+    def row(k, sense, rhs, *terms):
+        own = F.filter(F.array(*(term(*t) for t in terms)), lambda t: t["coef"] != 0)
+        return F.struct(name(f"big{k}", "clone", "aid", "phasing").alias("row"), F.lit(sense).alias("sense"), number(rhs).alias("rhs"), own.alias("terms"))
+
+    rows = F.array(row(1, "<=", 0, (acn, 1), (present, -top)), row(2, "<=", 0, (acn, 1), (whole, -1)), row(3, ">=", -top, (acn, 1), (whole, -1), (present, -top)), row(4, ">=", 0, (acn, 1)))
+    return a.select("clone", "aid", "phasing", rows.alias("rows"))
+
+
+def product_rows(i: Inputs):
+    """acn = copies * present, made linear by the largest number of copies."""
+    rows = product_lists(i).select(F.explode("rows").alias("x"))
+    return [(rows.select("x.row", "x.sense", "x.rhs"), rows.select("x.row", F.explode("x.terms").alias("t")).select("row", "t.name", "t.coef"))]
 
 
 def labeling_rows(i: Inputs):

@@ -205,3 +205,18 @@ def test_listed_rows_are_moved_once(spark):
     v = Views(spark, "/root/testdata/sf0.001")
     plan = _plan(model_queries._listed(v, milp.labeling_rows(_small(spark))))
     assert plan.count("Exchange hashpartitioning(row") == 1
+
+
+def test_product_rows_stay_where_they_are_made(spark):
+    """An adjacency is moved once; its 32 rows are not."""
+    from lociflow.plans.queries import QUERIES
+
+    store = spark._jsc.sc().statusStore()
+
+    def sent():
+        executors = store.executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    start = sent()
+    found = QUERIES["q_milp_product_rows"](spark, "/root/testdata/sf0.001").where("rows is not null").count()
+    assert found > 30_000 and sent() - start < 64 * found
