@@ -328,3 +328,32 @@ def test_karyotype_report_makes_its_tables_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "lineitem" not in plan and "l_partkey" not in plan
     assert out.where("what = 'adjacencies'").count() > 0
+
+
+def test_near_adjacencies_are_moved_few_times(spark):
+    """An adjacency is moved as itself and, on average, in 2.5 rows for the cells it is near to, not for each of five."""
+    rng = random.Random(6)
+    rows = [(f"a{i}", "1", rng.randrange(100_000), rng.choice("+-"), "1", rng.randrange(100_000), rng.choice("+-")) for i in range(4000)]
+    adj = spark.createDataFrame(rows, ADJ)
+    found = A.near_adjacencies(adj, 1000)
+    order = [tuple(sorted(((r[1], r[3], r[2]), (r[4], r[6], r[5])))) for r in rows]
+    near = lambda p, q: p[:2] == q[:2] and abs(p[2] - q[2]) <= 1000
+    by = {}
+    for k, (p, q) in enumerate(order):
+        by.setdefault((p[1], q[1], p[2] // 1000, q[2] // 1000), []).append(k)
+    brute = set()
+    for (s, t, i, j), own in by.items():
+        other = [k for u in (-1, 0, 1) for v in (-1, 0, 1) for k in by.get((s, t, i + u, j + v), ())]
+        brute |= {tuple(sorted((rows[a][0], rows[b][0]))) for a in own for b in other if a != b and near(order[a][0], order[b][0]) and near(order[a][1], order[b][1])}
+    assert sorted(map(tuple, found.collect())) == sorted(brute) and len(brute) > 1000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = A.near_adjacencies(adj, 1000)._jdf.queryExecution()
+        exchanges = plan.sparkPlan().toString(), plan.executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert exchanges[0].count("SortMergeJoin") == 1 and "Aggregate" not in exchanges[0]  # ends aren't put together first
+    # The rows that meet: one side each adjacency, the other those of its cells.
+    left, right = (plan.optimizedPlan().children().apply(0).children().apply(k) for k in (0, 1))
+    count = lambda side: spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, side).count()
+    assert count(left) + count(right) < 4 * len(rows)
